@@ -16,25 +16,20 @@ def epoch_us(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def ipv4_number(ip: Column) -> Column:
-    """Dotted IPv4 text as a number; NULL for anything else."""
-    part = F.split(ip, r"\.")
-    octet = [F.try_element_at(part, F.lit(i)).try_cast("long") for i in (1, 2, 3, 4)]
-    number = octet[0] * 16777216 + octet[1] * 65536 + octet[2] * 256 + octet[3]
-    return F.when(F.size(part) == 4, number)
-
-
-def _network(cidr: str) -> tuple[int, int]:
-    address, bits = cidr.split("/")
-    base = reduce(lambda acc, octet: acc * 256 + int(octet), address.split("."), 0)
-    size = 1 << (32 - int(bits))
-    return base - base % size, size
-
-
 def in_network(ip: Column, cidr: str) -> Column:
-    """True when the IPv4 text lies in the network; False for non-IPv4."""
-    start, size = _network(cidr)
-    return F.coalesce(ipv4_number(ip).between(start, start + size - 1), F.lit(False))
+    """True when the dotted IPv4 text lies in the network: whole octets as a prefix, at most one octet as a range."""
+    address, bits = cidr.split("/")
+    octets = [int(o) for o in address.split(".")]
+    whole, rest = divmod(int(bits), 8)
+    test = F.startswith(ip, F.lit("".join(f"{o}." for o in octets[:whole]))) if whole else F.lit(True)
+    if whole == 4:
+        test = ip == address
+    elif rest:
+        span = 1 << (8 - rest)
+        low = octets[whole] - octets[whole] % span
+        part = F.split_part(ip, F.lit("."), F.lit(whole + 1)).try_cast("int")
+        test = test & part.between(low, low + span - 1)
+    return F.coalesce(test, F.lit(False))
 
 
 def protocol_names(spark: SparkSession) -> DataFrame:
