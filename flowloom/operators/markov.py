@@ -247,7 +247,7 @@ class QuantizedMarkov:
     @classmethod
     def fit(cls, sequences: DataFrame, length: int, values: str = "values", by: str = K.TARGET_CLASS,
             ids: Sequence[str] = ("flow_id",), limit: int = K.MARKOV_CLUSTER_LIMIT) -> "QuantizedMarkov":
-        flat = sequences.select(F.explode(values).cast("double").alias("value"))
+        flat = sequences.select(F.explode(values).alias("value"))
         clusters = fit_value_codebook(flat, "value", limit)
         centres = F.array(*[F.struct(F.lit(float(c[0])).alias("c"), F.lit(i).alias("id"))
                             for i, c in enumerate(clusters.clusterCenters())])
