@@ -35,7 +35,7 @@ def stream_sessions(spark, sf):
 
 
 @query("stream_flows", events_sql(f"""
-select {_KEY}, flow_no, start_us, end_us, packets, bytes, first_sizes from (
+select {_KEY}, start_us, end_us, packets, bytes, first_sizes from (
   select f.*, lead(start_us) over (partition by {_KEY} order by flow_no) as next_start from (
     select {_KEY}, flow_no, min(t) as start_us, max(t) as end_us, count(*) as packets, sum(ip_size)::bigint as bytes,
       array_to_string(list((case when src_port = 443 then -ip_size else ip_size end) order by t, seq)[1:3], ',') as first_sizes
@@ -45,7 +45,7 @@ def stream_flows(spark, sf):
     out = S.stream_flows(_packets(spark, sf), A.KEY, F.col("ip_size"), (F.col("src_port") == 443).cast("int"), CONFIG, DELAY)
     sizes = F.transform(F.slice("ps", 1, 3), lambda x: x.cast("int").cast("string"))
     return S.run_available(out, "flows").select(
-        *A.KEY, "flow_no", "start_us", "end_us", "packets", "bytes", F.concat_ws(",", sizes).alias("first_sizes"))
+        *A.KEY, "start_us", "end_us", "packets", "bytes", F.concat_ws(",", sizes).alias("first_sizes"))
 
 
 @query("stream_throughput", "with " + EVENT_PACKETS.strip() + f"""

@@ -63,7 +63,7 @@ def stream_scored(stream: DataFrame, name: str, score: Column) -> DataFrame:
 
 
 _STATE = T.StructType([
-    T.StructField("flow_no", T.LongType()), T.StructField("start", T.LongType()), T.StructField("last", T.LongType()),
+    T.StructField("start", T.LongType()), T.StructField("last", T.LongType()),
     T.StructField("packets", T.LongType()), T.StructField("bytes", T.LongType()),
     T.StructField("ps", T.ArrayType(T.DoubleType())), T.StructField("ipt", T.ArrayType(T.DoubleType())),
     T.StructField("wait_t", T.ArrayType(T.LongType())), T.StructField("wait_seq", T.ArrayType(T.LongType())),
@@ -74,19 +74,17 @@ _STATE = T.StructType([
 def _starts(t: np.ndarray, start: int | None, last: int | None, idle: int, active: int) -> list[int]:
     """Positions in sorted times at which a new flow begins, given the open flow."""
     gaps = np.diff(t, prepend=t[0] if last is None else last) > idle
-    marks = set(np.nonzero(gaps)[0].tolist())
     if start is None:
-        marks.add(0)
-    found, begin, at = [], start, 0
-    ordered = sorted(marks)
+        gaps[0] = True
+    idle_starts = np.append(np.nonzero(gaps)[0], len(t))
+    found, at, begin = [], 0, start
     while at < len(t):
-        following = next((m for m in ordered if m >= at), len(t))
+        following = int(idle_starts[np.searchsorted(idle_starts, at)])
         cut = len(t) if begin is None else int(np.searchsorted(t, begin + active, side="right"))
         at = min(following, max(cut, at))
         if at < len(t):
             found.append(at)
             begin = int(t[at])
-            ordered = [m for m in ordered if m > at]
             at += 1
     return found
 
@@ -96,11 +94,11 @@ class _OpenFlow:
 
     def __init__(self, limit: int, state: tuple | None):
         self.limit = limit
-        self.flow_no, self.start, self.last, self.packets, self.bytes, self.ps, self.ipt = state or (0, None, None, 0, 0, [], [])
+        self.start, self.last, self.packets, self.bytes, self.ps, self.ipt = state or (None, None, 0, 0, [], [])
         self.ps, self.ipt = list(self.ps), list(self.ipt)
 
     def begin(self, t: int) -> None:
-        self.flow_no, self.start, self.last, self.packets, self.bytes = self.flow_no + 1, t, None, 0, 0
+        self.start, self.last, self.packets, self.bytes = t, None, 0, 0
         self.ps, self.ipt = [], []
 
     def add(self, t: np.ndarray, size: np.ndarray, direction: np.ndarray) -> None:
@@ -111,13 +109,13 @@ class _OpenFlow:
         self.packets, self.bytes, self.last = self.packets + len(t), self.bytes + int(size.sum()), int(t[-1])
 
     def row(self) -> dict:
-        return {"flow_no": self.flow_no, "start_us": self.start, "end_us": self.last, "packets": self.packets,
+        return {"start_us": self.start, "end_us": self.last, "packets": self.packets,
                 "bytes": self.bytes, "ps": self.ps, "ipt": self.ipt}
 
 
 def stream_flows(packets: DataFrame, keys: Sequence[str], size: Column, direction: Column, config: FlowConfig, delay: str,
                  on_flow: Callable[[dict], dict] | None = None, extra: T.StructType = T.StructType()) -> DataFrame:
-    """Idle and active timeouts on a stream; a flow is emitted when it can no longer change.
+    """Idle and active timeouts on a stream; a flow (key, start_us) is emitted when it can no longer change.
 
     State per key: the open flow's counters, its first N packets, and packets newer than the watermark, which wait there so
     that late packets fall into place. Input is processed per micro-batch in time order, so the state is bounded by
@@ -131,7 +129,7 @@ def stream_flows(packets: DataFrame, keys: Sequence[str], size: Column, directio
         *keys, "ts", F.unix_micros("ts").alias("t"), F.col("seq").cast("long").alias("seq"), size.cast("long").alias("size"),
         direction.cast("int").alias("dir"))
     out = T.StructType([staged.schema[k] for k in keys] + [
-        T.StructField("flow_no", T.LongType()), T.StructField("start_us", T.LongType()), T.StructField("end_us", T.LongType()),
+        T.StructField("start_us", T.LongType()), T.StructField("end_us", T.LongType()),
         T.StructField("packets", T.LongType()), T.StructField("bytes", T.LongType()),
         T.StructField("ps", T.ArrayType(T.DoubleType())), T.StructField("ipt", T.ArrayType(T.DoubleType())),
     ] + list(extra.fields))
@@ -139,8 +137,8 @@ def stream_flows(packets: DataFrame, keys: Sequence[str], size: Column, directio
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         saved = state.get if state.exists else None
-        flow = _OpenFlow(limit, saved[:7] if saved else None)
-        parts = [pd.DataFrame({"t": saved[7], "seq": saved[8], "size": saved[9], "dir": saved[10]})] if saved else []
+        flow = _OpenFlow(limit, saved[:6] if saved else None)
+        parts = [pd.DataFrame({"t": saved[6], "seq": saved[7], "size": saved[8], "dir": saved[9]})] if saved else []
         parts += [b[["t", "seq", "size", "dir"]] for b in batches]
         rows = pd.concat(parts, ignore_index=True).astype("int64").sort_values(["t", "seq"], kind="stable")
         watermark = state.getCurrentWatermarkMs() * 1000
@@ -162,13 +160,13 @@ def stream_flows(packets: DataFrame, keys: Sequence[str], size: Column, directio
                 flow.add(t[a:b], sizes[a:b], dirs[a:b])
         if flow.start is not None and watermark - flow.last > idle:
             close()
-            flow.start, flow.last, flow.packets, flow.bytes, flow.ps, flow.ipt = None, None, 0, 0, [], []
+            flow.start = None
         if flow.start is None and not len(waiting):
-            # the flow number goes on only while the key is remembered
-            state.update((flow.flow_no, None, None, 0, 0, [], [], [], [], [], []))
+            state.remove()
         else:
-            state.update((flow.flow_no, flow.start, flow.last, flow.packets, flow.bytes, flow.ps, flow.ipt,
-                          *[waiting[c].tolist() for c in ("t", "seq", "size", "dir")]))
+            flow_part = (flow.start, flow.last, flow.packets, flow.bytes, flow.ps, flow.ipt)
+            state.update((flow_part if flow.start is not None else (None, None, 0, 0, [], [])) + tuple(
+                waiting[c].tolist() for c in ("t", "seq", "size", "dir")))
             due = [int(waiting["t"].min()) // 1000] if len(waiting) else []
             due += [(flow.last + idle) // 1000] if flow.start is not None else []
             state.setTimeoutTimestamp(max(min(due), state.getCurrentWatermarkMs() + 1))
