@@ -199,7 +199,7 @@ class Codebook:
             return pd.DataFrame({"x": [pick(a, 0) for a in rows], "y": [pick(a, 1) for a in rows]})
 
         pairs = scaled(ids)
-        return F.zip_with(pairs["x"], pairs["y"], lambda x, y: F.when(~F.isnan(x), F.struct(
+        return F.zip_with(pairs["x"], pairs["y"], lambda x, y: F.when(x.isNotNull() & ~F.isnan(x), F.struct(
             Z.unscaled_ps(x).alias("ps"), Z.unscaled_ipt(y).alias("ipt")))).cast(pair)
 
 

@@ -1,8 +1,8 @@
 """Capture files (pcap) to the packets table.
 
-Files are read in chunks of a fixed number of bytes, so one huge capture is spread over many tasks. A chunk starts at
-the first record header from which a chain of plausible headers runs further than any packet is long; the task
-then checks that its own chain arrives exactly where the next chunk starts.
+Files are read in chunks of a fixed number of bytes, so one huge capture is spread over many tasks. A chunk boundary is
+found by following a chain of plausible record headers that runs further than any packet is long; each task then checks
+that its own records end exactly at the next boundary.
 """
 
 from __future__ import annotations
@@ -65,17 +65,26 @@ class _Capture:
         return at + RECORD_HEADER + kept if good else None
 
     def sync(self, at: int) -> int:
-        """First record start at or after a byte position."""
-        if at <= FILE_HEADER:
-            return FILE_HEADER
-        data = self._read(at, 2 * (MAX_RECORD + RECORD_HEADER))
-        for start in range(min(MAX_RECORD + RECORD_HEADER, len(data))):
-            place = start
-            while place is not None and place - start <= MAX_RECORD and place + RECORD_HEADER <= len(data):
+        """First record start at or after a byte position.
+
+        The search begins well before it: a chain found inside a packet (a capture carried as payload) has joined the
+        file's own chain by then. Both neighbours of a boundary call this and so agree on it.
+        """
+        room = 2 * (MAX_RECORD + RECORD_HEADER)
+        begin = max(FILE_HEADER, at - room)
+        data = self._read(begin, 2 * room)
+
+        def follow(place: int | None, until: int) -> int | None:
+            while place is not None and place < until and place + RECORD_HEADER <= len(data):
                 place = self._plausible(data, place)
-            if place is not None and place - start > MAX_RECORD:
-                return at + start
-        return self.length
+            return place
+
+        first = 0
+        if begin > FILE_HEADER:
+            starts = range(min(MAX_RECORD + RECORD_HEADER, len(data)))
+            first = next((s for s in starts if (follow(s, s + MAX_RECORD + 1) or 0) > s + MAX_RECORD), None)
+        found = None if first is None else follow(first, at - begin)
+        return self.length if found is None or found < at - begin else begin + found
 
     def records(self, start: int, stop: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, int, int]:
         """(bytes, data positions, kept lengths, times in us, exit position, truncated records) of records in [start, stop)."""
