@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 _IAT = "array<struct<ps:double,iat:double>>"
 
 
+def unnest(df: DataFrame, array: str, pos: str = "pos") -> DataFrame:
+    """One row per element, with its position; rows with an empty array vanish.
+
+    The outer form keeps Spark from inferring a filter on the array's size, which would compute the array a second time.
+    """
+    others = [c for c in df.columns if c != array]
+    return df.select(*others, F.posexplode_outer(array).alias(pos, array)).filter(F.col(pos).isNotNull())
+
+
 def ipt_to_iat(packets: Column) -> Column:
     """Replace the gap to the previous packet by the gap to the previous packet of the same direction.
 

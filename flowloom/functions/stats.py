@@ -1,47 +1,84 @@
 """Named statistics of one packet series in one direction of a flow.
 
-Each entry maps (value, condition, rank) to an aggregate: `value` is the series, `condition` selects the
-direction and `rank` is the 0-based place of the packet within its direction.
-Users add entries to `FEATURES`; they are computed in the same aggregation.
+Each entry maps a `Series` to an aggregate over the flow's packets. Users add entries to `FEATURES`; all of them
+are computed in the same aggregation. The given entries use only sums, counts and extremes, so the aggregation
+keeps a fixed number of plain numbers per flow.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-Feature = Callable[[Column, Column, Column], Column]
+
+@dataclass(frozen=True)
+class Series:
+    """Columns of one series: the value, whether the packet is of this direction, its 0-based place by arrival and by
+    value within the direction, and the number of packets of the direction."""
+
+    value: Column
+    here: Column
+    arrival: Column
+    place: Column
+    n: Column
+
+    def own(self) -> Column:
+        return F.when(self.here, self.value)
+
+
+Feature = Callable[[Series], Column]
 
 
 def _nth(n: int) -> Feature:
-    return lambda v, cond, rank: F.max(F.when(cond & (rank == n), v))
+    return lambda s: F.max(F.when(s.here & (s.arrival == n), s.value))
 
 
 def _quantile(p: float) -> Feature:
-    return lambda v, cond, rank: F.percentile(F.when(cond, v), F.lit(p))
+    """Linear interpolation between the two neighbouring places."""
+    def feature(s: Series) -> Column:
+        spot = F.lit(p) * (s.n - 1)
+        below, above = F.floor(spot), F.ceil(spot)
+        low = F.max(F.when(s.here & (s.place == below), s.value))
+        high = F.max(F.when(s.here & (s.place == above), s.value))
+        return low + F.max(F.when(s.here, spot - below)) * (high - low)
+
+    return feature
 
 
 FEATURES: dict[str, Feature] = {
     "0": _nth(0),
     "1": _nth(1),
-    "_max": lambda v, cond, rank: F.max(F.when(cond, v)),
-    "_min": lambda v, cond, rank: F.min(F.when(cond, v)),
-    "_avg": lambda v, cond, rank: F.avg(F.when(cond, v)),
+    "_max": lambda s: F.max(s.own()),
+    "_min": lambda s: F.min(s.own()),
+    "_avg": lambda s: F.avg(s.own()),
     "_median": _quantile(0.5),
     "_25q": _quantile(0.25),
     "_75q": _quantile(0.75),
-    "_sum": lambda v, cond, rank: F.sum(F.when(cond, v)),
-    "_number": lambda v, cond, rank: F.count_if(cond & (v > 0)).cast("double"),
+    "_sum": lambda s: F.sum(s.own()),
+    "_number": lambda s: F.count_if(s.here & (s.value > 0)).cast("double"),
 }
 
 
-def series_stats(prefix: str, base: str, value: Column, cond: Column, rank: Column,
-                 features: dict[str, Feature] | None = None) -> dict[str, Column]:
-    """All registered statistics of one series, keyed by output column name."""
-    return {f"{prefix}{base}{name}": fn(value, cond, rank) for name, fn in (features or FEATURES).items()}
-
-
 def continuous_names(bases: tuple[str, ...] = ("bulk", "packet"), features: dict[str, Feature] | None = None) -> list[str]:
     """Statistic names without the direction prefix."""
     return [f"{base}{name}" for name in (features or FEATURES) for base in bases]
+
+
+def flag_words(flag: Column, here: Column) -> list[Column]:
+    """The set of one-byte flags that occur, as the bits of four numbers."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (flag % 64).cast("int"))
+    return [F.bit_or(F.when(here & (F.floor(flag / 64) == word), bit)) for word in range(4)]
+
+
+def flags_of(words: list[Column]) -> Column:
+    """Sorted flags of the four numbers."""
+    def expanded(i: int, word: Column) -> Column:
+        def is_set(n: Column) -> Column:
+            return F.call_function("shiftright", word, (n % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+        found = F.filter(F.sequence(F.lit(64 * i), F.lit(64 * i + 63)), is_set)
+        return F.when(F.coalesce(word, F.lit(0).cast("long")) == 0, F.array().cast("array<int>")).otherwise(found)
+
+    return F.concat(*[expanded(i, word) for i, word in enumerate(words)])

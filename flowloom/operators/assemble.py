@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowloom import constants as K
 from flowloom.functions.columns import epoch_us, flow_id_text, with_protocol_name
-from flowloom.plans.storage import cut_lineage
+from flowloom.plans.storage import write_and_read
 
 KEY = ["key_protocol", "key_low", "key_high"]
 FLOW = [*KEY, "flow_no"]
@@ -115,7 +115,7 @@ def _chain_cuts(times: DataFrame, summary: DataFrame, sid: list[str], config: Fl
     lies in a later block; doubling the block length again and again gives, for the few points that can be the
     first start in a block, the first start beyond it. Walking back down marks the starts that are reached.
     """
-    points = cut_lineage(times.select(*sid, F.col("__t").alias("t")).distinct())
+    points = write_and_read(times.select(*sid, F.col("__t").alias("t")).distinct(), "times")
     session = F.col(sid[-1])
 
     def block(t: Column, level: int) -> Column:
@@ -125,7 +125,7 @@ def _chain_cuts(times: DataFrame, summary: DataFrame, sid: list[str], config: Fl
     depth = int(top).bit_length()
     firsts = points.groupBy(*sid, block(F.col("t"), 0).alias("b")).agg(F.min("t").alias("t")).select(*sid, "t")
     exits = _next_start(points, summary, sid, config, active_us)
-    levels = [cut_lineage(exits)]
+    levels = [write_and_read(exits, "level")]
     for level in range(1, depth):
         below = levels[-1]
         heads = below.filter(F.pmod(block(F.col("t"), 0), F.lit(1 << level)) == 0)
@@ -134,17 +134,17 @@ def _chain_cuts(times: DataFrame, summary: DataFrame, sid: list[str], config: Fl
         )
         hop = below.select(*sid, F.col("t").alias("exit"), F.col("exit").alias("hop"))
         inside = block(F.col("exit"), level) == block(F.col("t"), level)
-        levels.append(cut_lineage(
+        levels.append(write_and_read(
             heads.join(hop, [*sid, "exit"], "left").select(
                 *sid, "t", F.when(inside, F.col("hop")).otherwise(F.col("exit")).alias("exit")
-            )
+            ), "level"
         ))
     starts = points.select(*sid).distinct().withColumn("t", F.col(sid[-1]))
     for level in reversed(range(depth)):
         reached = starts.join(levels[level], [*sid, "t"], "inner").filter(
             F.col("exit").isNotNull() & (block(F.col("exit"), level + 1) == block(F.col("t"), level + 1))
         ).select(*sid, F.col("exit").alias("t"))
-        starts = cut_lineage(starts.unionByName(reached))
+        starts = write_and_read(starts.unionByName(reached), "starts")
     return starts.filter(F.col("t") != F.col(sid[-1])).select(*sid, F.col("t").alias("cut"))
 
 
@@ -181,7 +181,7 @@ def assign_flows(packets: DataFrame, keys: Sequence[str], config: FlowConfig = F
     summary = _summary(timed, keys, config)
     cuts = None
     if config.active is not None:
-        summary = cut_lineage(summary)
+        summary = write_and_read(summary, "steps")
         cuts = _active_cuts(timed, summary, keys, config)
     if cuts is None:
         steps = summary.withColumn("cut", F.lit(None).cast("long"))
@@ -216,12 +216,12 @@ def first_packets(packets: DataFrame, flow: Sequence[str], order: Sequence[str],
     ).drop("__rn")
 
 
-def with_direction(packets: DataFrame, flow: Sequence[str]) -> DataFrame:
+def with_direction(packets: DataFrame, flow: Sequence[str], order: Sequence[str] = ("pos",)) -> DataFrame:
     """Add the client endpoint (sender of the first packet) and `dir`: 0 from the client, 1 from the server.
 
-    Takes the bounded first packets of each flow.
+    Takes the bounded first packets of each flow; naming the order they were ranked by saves a sort.
     """
-    along = Window.partitionBy(*flow).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy(*flow).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     first = F.first(F.struct("src_ip", "src_port", "dst_ip", "dst_port")).over(along)
     return (
         packets.withColumn("__first", first)
@@ -239,9 +239,9 @@ def with_direction(packets: DataFrame, flow: Sequence[str]) -> DataFrame:
 
 
 def packet_series(packets: DataFrame, flow: Sequence[str], time_ms: Column, size: str, payload: str,
-                  window: Column, flags: Column) -> DataFrame:
+                  window: Column, flags: Column, order: Sequence[str] = ("pos",)) -> DataFrame:
     """Long packet form of the first N packets: signed size, gap to the previous packet, payload, window, flags."""
-    along = Window.partitionBy(*flow).orderBy("pos")
+    along = Window.partitionBy(*flow).orderBy(*order)
     signed = F.when(F.col("dir") == 1, -F.col(size)).otherwise(F.col(size)).cast("double")
     return packets.withColumn("__ms", time_ms).select(
         *packets.columns,
@@ -257,11 +257,12 @@ def flow_packets(packets: DataFrame, config: FlowConfig = FlowConfig()) -> DataF
     """Capture packets to the long form of the first N packets of every flow."""
     keyed = with_flow_key(packets)
     flows = assign_flows(keyed, KEY, config)
-    first = with_direction(first_packets(flows, FLOW, ["ts", "seq"], config.packet_limit), FLOW)
+    order = ["ts", "seq"]
+    first = with_direction(first_packets(flows, FLOW, order, config.packet_limit), FLOW, order)
     tcp4 = (F.col("protocol") == 6) & (F.col("ip_version") == 4)
     return packet_series(
         first, FLOW, epoch_us(F.col("ts")) / 1000.0, "ip_size", "payload_size",
-        F.when(tcp4, F.col("tcp_window")).otherwise(0), F.when(tcp4, F.col("tcp_flags")).otherwise(0),
+        F.when(tcp4, F.col("tcp_window")).otherwise(0), F.when(tcp4, F.col("tcp_flags")).otherwise(0), order,
     )
 
 

@@ -30,7 +30,7 @@ from flowloom.plans.storage import write_and_read
 class OneVsOne(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
     """One linear classifier per pair of classes; votes decide, margins break ties.
 
-    Each fit reads only the rows of its two classes and is itself a distributed job.
+    The rows are stored by class, so each fit, itself a distributed job, reads its two classes only.
     """
 
     def __init__(self, classifier: Estimator | None = None, parallelism: int = 8):
@@ -43,7 +43,7 @@ class OneVsOne(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
 
     def _fit(self, dataset: DataFrame) -> "OneVsOneModel":
         label = self.getLabelCol()
-        rows = write_and_read(dataset.select(self.getFeaturesCol(), label), "one-vs-one")
+        rows = write_and_read(dataset.select(self.getFeaturesCol(), label), "one-vs-one", (label,))
         classes = sorted(r[0] for r in rows.select(label).distinct().collect())  # classes, not rows
         pairs = list(combinations(range(len(classes)), 2))
 

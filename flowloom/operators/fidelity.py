@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowloom import constants as K
-from flowloom.functions.arrays import ipt_to_iat
+from flowloom.functions.arrays import ipt_to_iat, unnest
 from flowloom.plans.running import equal_slices, running_totals
 from flowloom.plans.storage import write_and_read
 
@@ -74,7 +74,7 @@ def wasserstein(density: DataFrame, by: Sequence[str]) -> DataFrame:
 def cumulated(rel: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per distinct value the weights of both sides and the weights of all smaller values."""
     weight = lambda side: F.sum(F.when(F.col("side") == side, F.col("weight")).otherwise(0))
-    flat = rel.groupBy(*by, "value").agg(weight("src").alias("src"), weight("gen").alias("gen"))
+    flat = write_and_read(rel.groupBy(*by, "value").agg(weight("src").alias("src"), weight("gen").alias("gen")), "values")
     sliced = equal_slices(flat, "value")
     return running_totals(sliced, by, "slice", ["value"], {"src": F.col("src"), "gen": F.col("gen")}).drop("slice")
 
@@ -115,7 +115,7 @@ def scaled_differences(cum: DataFrame, by: Sequence[str], points: Sequence[int]
 
 def directed_packets(flows: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     """Packets with same-direction gaps; direction client for positive, server for negative sizes."""
-    return flows.select(*by, order, F.posexplode(ipt_to_iat(F.col("packets"))).alias("pos", "p")).select(
+    return unnest(flows.select(*by, order, ipt_to_iat(F.col("packets")).alias("p")), "p").select(
         *by, order, "pos", F.when(F.col("p.ps") > 0, "client").otherwise("server").alias("direction"),
         F.col("p.ps").alias("ps"), F.col("p.iat").alias("iat"))
 
@@ -128,18 +128,16 @@ def throughput(flows: DataFrame, by: Sequence[str], order: str, bin_ms: int = 10
     """
     clocked = []
     for name, test in (("client", lambda p: p["ps"] > 0), ("server", lambda p: p["ps"] < 0)):
-        own = F.filter("iats", test)
-        clocked.append(F.struct(F.lit(name).alias("direction"), own.alias("own"),
-                                F.aggregate(own, F.lit(0.0), lambda a, p: a + p["iat"]).alias("spent")))
-    per_flow = flows.withColumn("iats", ipt_to_iat(F.col("packets"))).select(
-        *by, order, F.explode(F.array(*clocked)).alias("d")).select(*by, order, "d.*").filter(F.size("own") > 0)
+        clocked.append(F.struct(F.lit(name).alias("direction"), F.filter("iats", test).alias("own")))
+    per_flow = equal_slices(flows, order).select(*by, order, "slice", ipt_to_iat(F.col("packets")).alias("iats")).select(
+        *by, order, "slice", F.explode(F.array(*clocked)).alias("d")).select(*by, order, "slice", "d.*")
     keys = [*by, "direction"]
-    sliced = equal_slices(per_flow, order)
-    started = running_totals(sliced, keys, "slice", [order], {"spent": F.col("spent")})
+    spent = F.aggregate("own", F.lit(0.0), lambda a, p: a + p["iat"])
+    started = running_totals(per_flow, keys, "slice", [order], {"spent": spent})
     clock = F.transform(F.col("own"), lambda p, i: F.struct(
         (F.col("before_spent") + F.aggregate(F.slice("own", F.lit(1), i + 1), F.lit(0.0), lambda a, x: a + x["iat"])).alias("t"),
         p["ps"].alias("ps")))
-    packets = started.select(*keys, F.explode(clock).alias("p"))
+    packets = unnest(started.select(*keys, clock.alias("p")), "p")
     return packets.groupBy(*keys, F.floor(F.col("p.t") / bin_ms).alias("bin")).agg(F.sum("p.ps").alias("bytes"))
 
 

@@ -8,14 +8,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowloom import constants as K
 from flowloom.functions import stats as S
+from flowloom.functions.arrays import unnest
 from flowloom.plans.running import running_totals
 
 
-def _directional(series: DataFrame, flow: Sequence[str], direction: Column) -> DataFrame:
-    ranked = Window.partitionBy(*flow, "__dir").orderBy("pos")
-    return series.withColumn("__dir", direction).withColumn("__rank", F.row_number().over(ranked) - 1)
-
-
 def flow_stats(
     series: DataFrame,
     flow: Sequence[str],
@@ -28,30 +24,37 @@ def flow_stats(
     """Client and server statistics side by side: one row per flow.
 
     A direction without packets has 0 everywhere (and no flags); a direction with one packet keeps a NULL second value.
-    `direction` is 0 for the client and 1 for the server.
+    `direction` is 0 for the client and 1 for the server. The input holds the bounded first packets of each flow; the windows and
+    the aggregation share one partitioning by flow.
     """
     if bases is None:
         bases = {"bulk": F.col("bulk"), "packet": F.abs(F.col("ps"))}
-    work = _directional(series, flow, F.col("dir") if direction is None else direction)
+    side = Window.partitionBy(*flow, "__dir")
+    work = series.withColumn("__dir", F.col("dir") if direction is None else direction).withColumns(
+        {f"__v_{base}": value for base, value in bases.items()}
+    ).withColumns({
+        "__arrival": F.row_number().over(side.orderBy("pos")) - 1,
+        "__n": F.count(F.lit(1)).over(side),
+        **{f"__p_{base}": F.row_number().over(side.orderBy(f"__v_{base}")) - 1 for base in bases},
+    })
     aggs: dict[str, Column] = {}
-    for prefix, side in ((K.CLIENT, 0), (K.SERVER, 1)):
-        cond = F.col("__dir") == side
-        aggs[f"__{prefix}n"] = F.count_if(cond)
-        for base, value in bases.items():
-            aggs.update(S.series_stats(prefix, base, value, cond, F.col("__rank"), features))
+    for prefix, number in ((K.CLIENT, 0), (K.SERVER, 1)):
+        here = F.col("__dir") == number
+        aggs[f"__{prefix}n"] = F.count_if(here)
+        for base in bases:
+            one = S.Series(F.col(f"__v_{base}"), here, F.col("__arrival"), F.col(f"__p_{base}"), F.col("__n"))
+            aggs.update({f"{prefix}{base}{name}": fn(one) for name, fn in (features or S.FEATURES).items()})
         if tcp:
-            aggs[f"{prefix}tcp_window_avg"] = F.avg(F.when(cond, F.col("win")))
-            aggs[f"{prefix}found_tcp_flags"] = F.array_sort(F.collect_set(F.when(cond, F.col("flag"))))
+            aggs[f"{prefix}tcp_window_avg"] = F.avg(F.when(here, F.col("win")))
+            aggs.update({f"__{prefix}flags{i}": w for i, w in enumerate(S.flag_words(F.col("flag"), here))})
     wide = work.groupBy(*flow, *extra).agg(*[c.alias(n) for n, c in aggs.items()])
     out = []
-    for name in aggs:
-        if name.startswith("__"):
-            continue
-        prefix = K.CLIENT if name.startswith(K.CLIENT) else K.SERVER
-        if name.endswith("found_tcp_flags"):
-            out.append(F.col(name))
-        else:
-            out.append(F.when(F.col(f"__{prefix}n") == 0, F.lit(0.0)).otherwise(F.col(name)).alias(name))
+    for prefix in (K.CLIENT, K.SERVER):
+        for name in aggs:
+            if name.startswith(prefix):
+                out.append(F.when(F.col(f"__{prefix}n") == 0, F.lit(0.0)).otherwise(F.col(name)).alias(name))
+        if tcp:
+            out.append(S.flags_of([F.col(f"__{prefix}flags{i}") for i in range(4)]).alias(f"{prefix}found_tcp_flags"))
     return wide.select(*flow, *extra, *out)
 
 
@@ -69,7 +72,7 @@ def stats_from_sequences(
     """
     if any(f"{K.SERVER}{name}" in flows.columns for name in S.continuous_names()):
         return flows
-    exploded = flows.select(*flow, F.posexplode(F.slice(F.col(packets), 1, packet_limit)).alias("pos", "p")).select(
+    exploded = unnest(flows.select(*flow, F.slice(F.col(packets), 1, packet_limit).alias("p")), "p").select(
         *flow, "pos", F.col("p.ps").alias("ps"), F.col("p.ipt").alias("ipt")
     )
     positive, negative = (0, 1) if positive_is_client else (1, 0)
@@ -82,6 +85,14 @@ def stats_from_sequences(
     return flows.join(computed, list(flow), "left").fillna(0.0, subset=names)
 
 
+def apply_per_flow(series: DataFrame, flow: Sequence[str], plugin, schema) -> DataFrame:
+    """A user's Python function on the first N packets of each flow, given and returned as pandas frames in packet order."""
+    def run(packets):
+        return plugin(packets.sort_values("pos"))
+
+    return series.groupBy(*flow).applyInPandas(run, schema)
+
+
 def packets_per_flow(flows: DataFrame, packets: str = "packets") -> DataFrame:
     return flows.withColumn("n_packets", F.size(packets))
 
@@ -90,12 +101,11 @@ def length_ecdf(lengths: DataFrame, length: str, step: int = 4096) -> DataFrame:
     """Share of flows with at most n packets, over all flows and over flows of more than one packet."""
     counts = lengths.groupBy(F.col(length).cast("long").alias("n_packets")).agg(F.count("*").alias("flows"))
     counts = counts.withColumn("__all", F.lit(0)).withColumn("__step", F.floor(F.col("n_packets") / step))
-    total = counts.agg(F.sum("flows").alias("total"), F.coalesce(F.sum(F.when(F.col("n_packets") == 1, F.col("flows"))),
-                                                                 F.lit(0)).alias("single"))
+    single = F.when(F.col("n_packets") == 1, F.col("flows"))
+    totals = counts.groupBy("__all").agg(F.sum("flows").alias("total"), F.coalesce(F.sum(single), F.lit(0)).alias("single"))
     cumulated = running_totals(counts, ["__all"], "__step", ["n_packets"], {"flows": F.col("flows")})
     upto = F.col("before_flows") + F.col("flows")
-    # `total` is one row
-    return cumulated.join(F.broadcast(total)).select(
+    return cumulated.join(totals, "__all").select(
         "n_packets", "flows", (upto / F.col("total")).alias("ecdf"),
         F.try_divide(upto - F.col("single"), F.col("total") - F.col("single")).alias("ecdf_multi"),
     )

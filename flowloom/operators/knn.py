@@ -24,7 +24,8 @@ from flowloom.plans.storage import write_and_read
 
 BLOCK_ROWS = 8192
 BROADCAST_NUMBERS = 1 << 24
-FOUND = "query_id long, key_id long, label {label}, distance double"
+BUCKET_KEYS = 128
+FOUND = "query_id long, key_id long, label {label}, distance double, rank int"
 
 # Digits to which distances are compared, so that equal vectors tie.
 DIGITS = {"cosine": 12, "euclidean": 10}
@@ -66,16 +67,22 @@ def _best(query_ids, queries, key_ids, keys, labels, k: int, metric: str, skip_s
         value = d[row, col]
         arranged = np.lexsort((col, value, row))
         row, col, value = row[arranged], col[arranged], value[arranged]
-        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+        keep = rank <= k
         row, col, value = row[keep], col[keep], value[keep]
-        parts.append(pd.DataFrame({"query_id": ids[row], "key_id": key_ids[col], "label": labels[col], "distance": value}))
+        parts.append(pd.DataFrame({"query_id": ids[row], "key_id": key_ids[col], "label": labels[col], "distance": value,
+                                   "rank": rank[keep]}))
     return pd.concat(parts, ignore_index=True)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The best k over all blocks; at most k rows per query and block arrive here."""
     along = Window.partitionBy("query_id").orderBy("distance", "key_id")
-    return found.withColumn("rank", F.row_number().over(along)).filter(F.col("rank") <= k).withColumn(
-        "distance", F.when(F.col("distance") != float("inf"), F.col("distance")))
+    return _finite(found.withColumn("rank", F.row_number().over(along)).filter(F.col("rank") <= k))
+
+
+def _finite(found: DataFrame) -> DataFrame:
+    return found.withColumn("distance", F.when(F.col("distance") != float("inf"), F.col("distance")))
 
 
 def _prepared(side: DataFrame, id_col: str, vector: str, label: str | None = None) -> DataFrame:
@@ -107,7 +114,7 @@ def nearest(
     schema = FOUND.format(label=_label_type(t))
     size = t.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("numbers")).first()
     if size["n"] == 0:
-        return q.sparkSession.createDataFrame([], schema + ", rank int")
+        return q.sparkSession.createDataFrame([], schema)
     if size["numbers"] <= broadcast_numbers:
         local = t.toPandas()  # size checked above
         shared = q.sparkSession.sparkContext.broadcast(
@@ -119,8 +126,7 @@ def nearest(
                 if len(batch):
                     yield _best(batch["id"].to_numpy(), _matrix(batch["v"]), ids, vectors, labels, k, metric, skip_same)
 
-        # one batch carries all candidates of its queries, so this only numbers the k rows of each query
-        return _ranked(q.mapInPandas(search, schema), k)
+        return _finite(q.mapInPandas(search, schema))  # every batch sees all keys, so its ranks are final
     blocks = lambda n: max(1, math.ceil(n / block_rows))
     key_blocks, query_blocks = blocks(size["n"]), blocks(q.count())
     q = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(query_blocks))).withColumn(
@@ -133,7 +139,7 @@ def nearest(
 def _block_search(q: DataFrame, t: DataFrame, group: list[str], k: int, metric: str, skip_same: bool, schema: str) -> DataFrame:
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"query_id": [], "key_id": [], "label": [], "distance": []})
+            return pd.DataFrame({"query_id": [], "key_id": [], "label": [], "distance": [], "rank": []})
         return _best(left["id"].to_numpy(), _matrix(left["v"]), right["id"].to_numpy(), _matrix(right["v"]),
                      right["label"].to_numpy(), k, metric, skip_same)
 
@@ -174,11 +180,13 @@ def lsh_candidates(q: DataFrame, t: DataFrame, tables: int, bits: int, seed: int
 
 def nearest_lsh(
     queries: DataFrame, keys: DataFrame, k: int = 1, query_id: str = "id", key_id: str = "id", vector: str = "features",
-    label: str | None = None, skip_same: bool = False, tables: int = 8, bits: int = 10, search_epsilon: float = 0.0,
+    label: str | None = None, skip_same: bool = False, tables: int = 8, bits: int | None = None, search_epsilon: float = 0.0,
     seed: int = K.RANDOM_SEED, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Approximate cosine neighbours: keys that share a hash code in some table, ranked by exact distance.
 
+    Without `bits` the code length grows with the number of keys, so that buckets keep their size.
+
     A bucket of any size is searched: it is cut into blocks of keys and of queries, and each block pair returns k rows
     per query. Queries that find fewer than k candidates are searched exactly.
     """
@@ -187,6 +195,8 @@ def nearest_lsh(
     if label is None:
         t = t.withColumn("label", F.lit(None).cast("int"))
     schema = FOUND.format(label=_label_type(t))
+    if bits is None:
+        bits = min(30, max(4, math.ceil(math.log2(max(t.count(), 1) / BUCKET_KEYS + 1))))
     hashed_q, hashed_t = lsh_candidates(q, t, tables, bits, seed, search_epsilon)
     parts = lambda side, name: side.groupBy("tab", "code").agg(
         F.ceil(F.count("*") / F.lit(block_rows)).cast("long").alias(name))
@@ -198,7 +208,10 @@ def nearest_lsh(
     found = _block_search(left.select("id", "v", "tab", "code", "qb", "kb"),
                           right.select("id", "v", "label", "tab", "code", "qb", "kb"),
                           ["tab", "code", "qb", "kb"], k, "cosine", skip_same, schema)
-    found = write_and_read(_ranked(found.dropDuplicates(["query_id", "key_id"]), k), "lsh")
+    # the same pair from several tables has one dense rank; both steps need the rows by query only, so they share a shuffle
+    along = Window.partitionBy("query_id").orderBy("distance", "key_id")
+    best = found.withColumn("rank", F.dense_rank().over(along)).filter(F.col("rank") <= k)
+    found = write_and_read(_finite(best.dropDuplicates(["query_id", "key_id"])), "lsh")
     complete = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
     short = q.join(complete, q["id"] == complete["query_id"], "left_anti")
     exact = nearest(short.withColumnRenamed("v", "features"), t.withColumnRenamed("v", "features"), k, "cosine",
@@ -213,8 +226,8 @@ def candidate_pairs(queries: DataFrame, keys: DataFrame, query_id: str = "id", k
     hq, ht = lsh_candidates(q, t, tables, bits, seed, search_epsilon)
     size = lambda side, n: side.groupBy("tab", "code").agg(F.count("*").alias(n))
     pairs = size(hq, "a").join(size(ht, "b"), ["tab", "code"]).agg(F.sum(F.col("a") * F.col("b")).alias("compared"))
-    return pairs.join(q.agg(F.count("*").alias("nq"))).join(t.agg(F.count("*").alias("nk"))).select(
-        F.coalesce("compared", F.lit(0)).alias("compared"), (F.col("nq") * F.col("nk")).alias("all_pairs"))
+    return pairs.select(F.coalesce("compared", F.lit(0)).alias("compared"),
+                        (F.lit(q.count()) * F.lit(t.count())).alias("all_pairs"))
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
@@ -235,7 +248,7 @@ class _NeighbourParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     idCol = Param(Params._dummy(), "idCol", "unique row number", TypeConverters.toString)
     method = Param(Params._dummy(), "method", "cosine, euclidean or lsh", TypeConverters.toString)
     tables = Param(Params._dummy(), "tables", "hash tables", TypeConverters.toInt)
-    bits = Param(Params._dummy(), "bits", "sign bits per table", TypeConverters.toInt)
+    bits = Param(Params._dummy(), "bits", "sign bits per table; 0 takes them from the number of keys", TypeConverters.toInt)
     searchEpsilon = Param(Params._dummy(), "searchEpsilon", "margin within which bits are tried both ways", TypeConverters.toFloat)
 
 
@@ -243,10 +256,10 @@ class NeighbourClassifier(Estimator, _NeighbourParams):
     """k nearest neighbours with majority vote as an estimator."""
 
     @keyword_only
-    def __init__(self, *, nNeighbors=3, idCol="flow_id", method="cosine", tables=8, bits=10, searchEpsilon=0.0,
+    def __init__(self, *, nNeighbors=3, idCol="flow_id", method="cosine", tables=8, bits=0, searchEpsilon=0.0,
                  featuresCol="features", labelCol="label", predictionCol="prediction"):
         super().__init__()
-        self._setDefault(nNeighbors=3, idCol="flow_id", method="cosine", tables=8, bits=10, searchEpsilon=0.0)
+        self._setDefault(nNeighbors=3, idCol="flow_id", method="cosine", tables=8, bits=0, searchEpsilon=0.0)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "NeighbourModel":
@@ -264,7 +277,7 @@ class NeighbourModel(Model, _NeighbourParams):
         common = dict(k=get("nNeighbors"), query_id=get("idCol"), key_id=get("idCol"), vector=self.getFeaturesCol(),
                       label=self.getLabelCol())
         if get("method") == "lsh":
-            return nearest_lsh(dataset, self.keys, tables=get("tables"), bits=get("bits"),
+            return nearest_lsh(dataset, self.keys, tables=get("tables"), bits=get("bits") or None,
                                search_epsilon=get("searchEpsilon"), **common)
         return nearest(dataset, self.keys, metric=get("method"), **common)
 

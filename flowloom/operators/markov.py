@@ -1,4 +1,7 @@
-"""Class-wise Markov models of token sequences as sparse tables."""
+"""Class-wise Markov models of token sequences as sparse tables.
+
+`by` names at least one column; data without classes gets a constant one.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +13,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from flowloom import constants as K
+from flowloom.functions.arrays import unnest
 from flowloom.operators.quantize import fit_value_codebook
 from flowloom.plans.running import equal_slices, running_totals
-from flowloom.plans.storage import cut_lineage, write_and_read
+from flowloom.plans.storage import write_and_read
 
 BROADCAST_STATES = 1 << 20
 BROADCAST_TRANSITIONS = 1 << 22
+SLOT_ROWS = 4096
 
 
 def state_index(states: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
@@ -28,20 +33,24 @@ def state_index(states: DataFrame, column: str, by: Sequence[str] = ()) -> DataF
 
 def _pairs(ids: Column) -> Column:
     return F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(ids) - 1), lambda i: i > 0),
+        F.when(F.size(ids) > 1, F.sequence(F.lit(1), F.size(ids) - 1)),
         lambda i: F.struct(F.get(ids, i - 1).alias("from"), F.get(ids, i).alias("to")),
     )
 
 
 def transition_counts(sequences: DataFrame, ids: str = "input_ids", by: Sequence[str] = (K.TARGET_CLASS,)) -> DataFrame:
     """Pairs of neighbouring states: taken inside the row, counted with map-side combine."""
-    pairs = sequences.filter(F.size(ids) >= 1).select(*by, F.explode(_pairs(F.col(ids))).alias("p"))
+    pairs = unnest(sequences.select(*by, _pairs(F.col(ids)).alias("p")), "p")
     return pairs.groupBy(*by, F.col("p.from").alias("from"), F.col("p.to").alias("to")).agg(F.count("*").alias("cnt"))
 
 
+def _states(sequences: DataFrame, ids: str, by: Sequence[str]) -> DataFrame:
+    return unnest(sequences.select(*by, F.array_distinct(F.col(ids)).alias("state")), "state").select(*by, "state").distinct()
+
+
 def state_counts(sequences: DataFrame, ids: str = "input_ids", by: Sequence[str] = (K.TARGET_CLASS,)) -> DataFrame:
     """Distinct states per class."""
-    states = sequences.select(*by, F.explode(F.array_distinct(F.col(ids))).alias("state")).distinct()
+    states = _states(sequences, ids, by)
     return states.groupBy(*by).agg(F.count("*").alias("n_states"))
 
 
@@ -54,7 +63,7 @@ def transitions(sequences: DataFrame, ids: str = "input_ids", by: Sequence[str]
     counts = transition_counts(sequences, ids, by)
     rows = counts.groupBy(*by, "from").agg(F.sum("cnt").alias("row_cnt"))
     sizes = state_counts(sequences, ids, by)
-    rows = rows.join(sizes, by, "inner") if by else rows.join(F.broadcast(sizes))
+    rows = rows.join(sizes, by, "inner")
     weight = F.col("row_cnt") + F.col("n_states") * F.lit(K.SMOOTHING)
     return counts.join(rows, [*by, "from"], "inner").select(
         *by, "from", "to", "cnt", "n_states",
@@ -66,11 +75,10 @@ def transitions(sequences: DataFrame, ids: str = "input_ids", by: Sequence[str]
 def priors(sequences: DataFrame, ids: str = "input_ids", by: Sequence[str] = (K.TARGET_CLASS,)) -> DataFrame:
     """Share of sequences that start in each state."""
     by = list(by)
-    counts = sequences.filter(F.size(ids) > 0).groupBy(*by, F.get(F.col(ids), F.lit(0)).alias("state")).agg(
-        F.count("*").alias("cnt"))
+    first = sequences.select(*by, F.get(F.col(ids), F.lit(0)).alias("state"))
+    counts = first.filter("state is not null").groupBy(*by, "state").agg(F.count("*").alias("cnt"))
     totals = counts.groupBy(*by).agg(F.sum("cnt").alias("total"))
-    joined = counts.join(totals, by, "inner") if by else counts.join(F.broadcast(totals))
-    return joined.select(*by, "state", "cnt", (F.col("cnt") / F.col("total")).alias("p"))
+    return counts.join(totals, by, "inner").select(*by, "state", "cnt", (F.col("cnt") / F.col("total")).alias("p"))
 
 
 def normalize_rows(weights: DataFrame, row: str, value: str) -> DataFrame:
@@ -120,18 +128,30 @@ class MarkovModel:
 
     @classmethod
     def fit(cls, sequences: DataFrame, length: int, ids: str = "input_ids", by: str = K.TARGET_CLASS) -> "MarkovModel":
-        states = sequences.select(by, F.explode(F.array_distinct(F.col(ids))).alias("state")).distinct()
-        tables = (priors(sequences, ids, [by]), transitions(sequences, ids, [by]), states)
+        sequences = write_and_read(sequences.select(by, ids), "sequences")
+        tables = (priors(sequences, ids, [by]), transitions(sequences, ids, [by]), _states(sequences, ids, [by]))
         return cls(*[write_and_read(t, "markov") for t in tables], by, length)
 
+    def class_sizes(self) -> DataFrame:
+        """Fitted sequences per class as (class, flows)."""
+        return self.prior.groupBy(self.by).agg(F.sum("cnt").alias("flows"))
+
+    def sample_like_source(self, cap: int = K.CLASS_CAP, seed: int = K.RANDOM_SEED) -> DataFrame:
+        """As many sequences per class as were fitted, up to the cap; all classes in one job."""
+        wanted = self.class_sizes().select(self.by, F.least("flows", F.lit(cap).cast("long")).alias("n"))
+        return self.sample(wanted, seed)
+
     def sample(self, wanted: DataFrame, seed: int = K.RANDOM_SEED, force_joins: bool = False) -> DataFrame:
         """`wanted(class, n)` to sequences (class, seq_id, input_ids).
 
         The randomness belongs to (seed, class, sequence, position): neither the partitioning nor the method
         changes the result. Small models travel to the tasks, larger ones are joined position by position.
         """
+        part = F.lit(SLOT_ROWS).cast("long")
         slots = wanted.filter("n > 0").select(
-            self.by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("seq_id"))
+            self.by, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / part))).alias("part"),
+        ).repartition(self.by, "part").select(self.by, F.explode(F.sequence(
+            F.col("part") * part, F.least((F.col("part") + 1) * part, "n") - 1)).alias("seq_id"))
         small = (self.trans.limit(BROADCAST_TRANSITIONS + 1).count() <= BROADCAST_TRANSITIONS
                  and self.states.limit(BROADCAST_STATES + 1).count() <= BROADCAST_STATES)
         return self._sample_by_joins(slots, seed) if force_joins or not small else self._sample_in_tasks(slots, seed)
@@ -186,7 +206,7 @@ class MarkovModel:
             now = now.join(steps, [by, "state"], "left").join(states, by).withColumn("drawn", drawn).select(
                 by, "seq_id", "r", F.col("drawn").alias("state"), F.concat("input_ids", F.array("drawn")).alias("input_ids"))
             if pos % 8 == 0:
-                now = cut_lineage(now)
+                now = write_and_read(now, "walk")
         return now.select(by, "seq_id", "input_ids")
 
 
@@ -247,6 +267,7 @@ class QuantizedMarkov:
     @classmethod
     def fit(cls, sequences: DataFrame, length: int, values: str = "values", by: str = K.TARGET_CLASS,
             ids: Sequence[str] = ("flow_id",), limit: int = K.MARKOV_CLUSTER_LIMIT) -> "QuantizedMarkov":
+        sequences = write_and_read(sequences.select(by, values), "values")
         flat = sequences.select(F.explode(values).alias("value"))
         clusters = fit_value_codebook(flat, "value", limit)
         centres = F.array(*[F.struct(F.lit(float(c[0])).alias("c"), F.lit(i).alias("id"))

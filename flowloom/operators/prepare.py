@@ -11,6 +11,7 @@ from flowloom import constants as K
 from flowloom.functions import columns as C
 from flowloom.operators.packets import multi_packet_flows
 from flowloom.plans.running import hash_order, ranked_by_hash
+from flowloom.plans.storage import small_side
 
 
 def exclude_files(flows: DataFrame, patterns: Iterable[str] = (), name: str = "source_file") -> DataFrame:
@@ -78,8 +79,11 @@ def rare_classes(flows: DataFrame, floor: int = K.CLASS_FLOOR, label: str = K.TA
 def prune_classes(
     flows: DataFrame, floor: int = K.CLASS_FLOOR, pruned: DataFrame | None = None, label: str = K.TARGET_CLASS
 ) -> tuple[DataFrame, DataFrame]:
-    """Without the classes below the floor (or without a given list); also returns the list."""
-    rare = rare_classes(flows, floor, label) if pruned is None else pruned
+    """Without the classes below the floor (or without a given list); also returns the list.
+
+    Classes are counted first, so the rows themselves are only filtered while the list is small.
+    """
+    rare = small_side(rare_classes(flows, floor, label)) if pruned is None else pruned
     return flows.join(rare, label, "left_anti").select(*flows.columns), rare
 
 

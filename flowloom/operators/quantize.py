@@ -133,11 +133,15 @@ class Codebook:
             self._index = self.spark.sparkContext.broadcast(_CellIndex(self.centres))
         return self._index
 
-    def _inline(self, x: Column, y: Column) -> Column:
+    def _closest(self, x: Column, y: Column) -> Column:
+        """Nearest of the literal centres; NULL and NaN distances never win over the check in `_inline`."""
         ranked = F.transform(self._literal(), lambda c: F.struct(
             ((x - c["x"]) * (x - c["x"]) + (y - c["y"]) * (y - c["y"])).alias("d"), c["id"].alias("id")))
-        missing = x.isNull() | y.isNull() | F.isnan(x) | F.isnan(y) | (F.abs(x) == float("inf")) | (F.abs(y) == float("inf"))
-        return F.when(missing, F.lit(K.NO_PACKET)).otherwise(F.array_min(ranked)["id"]).cast("int")
+        return F.array_min(ranked)["id"]
+
+    def _inline(self, x: Column, y: Column) -> Column:
+        known = F.abs(x) + F.abs(y) < float("inf")
+        return F.when(known, self._closest(x, y)).otherwise(F.lit(K.NO_PACKET)).cast("int")
 
     def encode(self, ps: Column, ipt: Column) -> Column:
         """Nearest centre of a packet, ties to the lowest id; -1 where size or gap is absent or infinite."""
@@ -155,7 +159,9 @@ class Codebook:
     def encode_flow(self, packets: Column) -> Column:
         """Ids of a flow's packet array, in order; the array stays in its row, so nothing is shuffled."""
         if self.size <= INLINE_CODEBOOK:
-            return F.transform(packets, lambda p: self._inline(Z.scaled_ps(p["ps"]), Z.scaled_ipt(p["ipt"])))
+            scaled = F.transform(packets, lambda p: F.struct(
+                Z.scaled_ps(p["ps"]).alias("x"), Z.scaled_ipt(p["ipt"]).alias("y")))
+            return F.transform(scaled, lambda s: self._inline(s["x"], s["y"]))
         index = self._searcher()
 
         @F.pandas_udf("array<int>")
@@ -179,14 +185,10 @@ class Codebook:
         """Packet array of an id array; an absent packet is a NULL pair."""
         pair = "array<struct<ps:double,ipt:double>>"
         if self.size <= INLINE_CODEBOOK:
-            centres = self._literal()
-
-            def restore(i: Column) -> Column:
-                c = F.element_at(centres, F.when((i >= self.size) | (i < 0), 1).otherwise(i + 1))
-                return F.when(i != K.NO_PACKET, F.struct(
-                    Z.unscaled_ps(c["x"]).alias("ps"), Z.unscaled_ipt(c["y"]).alias("ipt")))
-
-            return F.transform(ids, restore).cast(pair)
+            pairs = F.array(*[F.struct(Z.unscaled_ps(F.lit(float(x))).alias("ps"), Z.unscaled_ipt(F.lit(float(y))).alias("ipt"))
+                              for x, y in self.centres])
+            return F.transform(ids, lambda i: F.when(i != K.NO_PACKET, F.element_at(
+                pairs, F.when((i >= self.size) | (i < 0), 1).otherwise(i + 1)))).cast(pair)
         centres = self.spark.sparkContext.broadcast(self.centres)
 
         @F.pandas_udf("struct<x:array<double>,y:array<double>>")

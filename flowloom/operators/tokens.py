@@ -13,13 +13,23 @@ from flowloom.operators.quantize import Codebook
 VOCAB_SCHEMA = "token_id int, token string"
 
 
+MAX_TOKENS = 1 << 20
+
+
 class Vocabulary:
-    """Special and class tokens; their ids follow the codebook ids. The table holds one row per token."""
+    """Special and class tokens; their ids follow the codebook ids.
+
+    A vocabulary is a model parameter with a checked limit, so its table is kept as literal rows and may be broadcast.
+    """
 
     def __init__(self, table: DataFrame, codebook_size: int):
-        self.table, self.codebook_size = table, codebook_size
-        special = {r["token"]: r["token_id"] for r in table.filter(F.col("token").isin(*K.SPECIAL_TOKENS)).collect()}
-        self.eof, self.pad, self.unk, self.bof = (special[t] for t in K.SPECIAL_TOKENS)
+        rows = sorted(tuple(r) for r in table.select("token_id", "token").limit(MAX_TOKENS + 1).collect())
+        if len(rows) > MAX_TOKENS:
+            raise ValueError(f"a vocabulary holds at most {MAX_TOKENS} tokens")
+        self.table, self.codebook_size = table.sparkSession.createDataFrame(rows, VOCAB_SCHEMA), codebook_size
+        ids = {token: token_id for token_id, token in rows}
+        self.eof, self.pad, self.unk, self.bof = (ids[t] for t in K.SPECIAL_TOKENS)
+        self._ids, self._tokens = ids, dict(rows)
 
     @classmethod
     def create(cls, spark: SparkSession, codebook_size: int, stored: dict[int, str] | None = None) -> "Vocabulary":
@@ -29,27 +39,20 @@ class Vocabulary:
 
     def add_classes(self, names: DataFrame, column: str = K.TARGET_CLASS) -> "Vocabulary":
         """Unseen class names get the next ids in alphabetical order; `names` is reduced to distinct classes first."""
-        last = self.table.agg(F.max("token_id")).first()[0]
         new = names.select(F.col(column).alias("token")).filter("token is not null").distinct().join(
-            self.table.select("token"), "token", "left_anti")
+            F.broadcast(self.table.select("token")), "token", "left_anti")
         numbered = new.select(
-            (F.lit(last) + F.row_number().over(Window.orderBy("token"))).cast("int").alias("token_id"), "token")
+            (F.lit(max(self._tokens)) + F.row_number().over(Window.orderBy("token"))).cast("int").alias("token_id"), "token")
         return Vocabulary(self.table.unionByName(numbered), self.codebook_size)
 
     def size(self) -> int:
-        return self.codebook_size + self.table.count()
+        return self.codebook_size + len(self._tokens)
 
     def id_of(self, token: str) -> int:
-        found = self.table.filter(F.col("token") == token).first()
-        if found is None:
-            raise KeyError(token)
-        return found["token_id"]
+        return self._ids[token]
 
     def token_of(self, token_id: int) -> str:
-        found = self.table.filter(F.col("token_id") == token_id).first()
-        if found is None:
-            raise KeyError(token_id)
-        return found["token"]
+        return self._tokens[token_id]
 
     def save(self, path: str) -> None:
         self.table.coalesce(1).write.mode("overwrite").parquet(path)
@@ -69,7 +72,7 @@ def encode_flows(
         first = F.lit(vocab.bof)
         if label is not None:
             names = vocab.table.select(F.col("token_id").alias("__first"), F.col("token").alias("__token"))
-            out = out.join(names, out[label] == names["__token"], "inner")
+            out = out.join(F.broadcast(names), out[label] == names["__token"], "inner")
             first = F.col("__first")
         ids = X.expand_tokens(F.col("__ids"), first, vocab.eof, vocab.pad, max_length)
     else:
@@ -82,10 +85,10 @@ def encode_flows(
 
 def pad_batch(encoded: DataFrame, vocab: Vocabulary, length: int) -> DataFrame:
     """Pad every sequence to one length, as sequence models need; longer sequences are an error."""
-    size = F.size("input_ids")
-    fill = F.array_repeat(F.lit(vocab.pad).cast("int"), F.lit(length) - size)
-    checked = F.assert_true(size <= length, F.lit("sequence longer than the batch length"))
-    padded = encoded.filter(checked.isNull()).withColumn("input_ids", F.concat("input_ids", fill))
+    ids = F.col("input_ids")
+    fill = F.array_repeat(F.lit(vocab.pad).cast("int"), F.lit(length) - F.size(ids))
+    too_long = F.raise_error(F.lit("sequence longer than the batch length")).cast("array<int>")
+    padded = encoded.withColumn("input_ids", F.when(F.size(ids) <= length, F.concat(ids, fill)).otherwise(too_long))
     return padded.withColumn("attention_mask", X.attention_mask(F.col("input_ids"), vocab.pad))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -23,19 +23,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder for a table that later steps read back."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; all paths of one application share a parent that can be deleted after it ends."""
+    return f"{shared_folder(spark).rstrip('/')}/flowloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
 
+def write_and_read(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Materialise once as parquet in the shared folder, so a costly plan is not run per consumer.
 
-def write_and_read(df: DataFrame, name: str) -> DataFrame:
-    """Materialise once as parquet in the shared folder, so a costly plan is not run per consumer."""
+    The table survives the loss of executors, ends the lineage and tells Spark its size.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """A side of a join that is usually tiny: literal rows to broadcast when it has at most `limit` rows, else a stored table.
+
+    Deciding now spares the large side a shuffle that adaptive execution would start before it knows the size.
+    """
+    stored = write_and_read(df, "side")
+    if stored.count() > limit:
+        return stored
+    rows = stored.collect()  # size checked above
+    return F.broadcast(df.sparkSession.createDataFrame(rows, stored.schema))

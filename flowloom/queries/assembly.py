@@ -163,7 +163,7 @@ def raw_wide(spark, sf):
 def raw_long(spark, sf):
     """Wide columns back to packets."""
     wide = line_flows(spark, sf).select("flow_id", *X.to_wide(F.col("packets"), 8))
-    return wide.select("flow_id", F.posexplode(X.from_wide(8)).alias("pos", "p")).select(
+    return X.unnest(wide.select("flow_id", X.from_wide(8).alias("p")), "p").select(
         "flow_id", "pos", "p.ps", "p.ipt"
     )
 
@@ -177,7 +177,7 @@ iats as (select flow_id, pos, ps,
 @query("ipt_to_iat", lines_sql("select flow_id, pos, ps, iat from iats", more=_IAT))
 def ipt_to_iat(spark, sf):
     flows = line_flows(spark, sf)
-    return flows.select("flow_id", F.posexplode(X.ipt_to_iat(F.col("packets"))).alias("pos", "p")).select(
+    return X.unnest(flows.select("flow_id", X.ipt_to_iat(F.col("packets")).alias("p")), "p").select(
         "flow_id", "pos", "p.ps", "p.iat"
     )
 

@@ -136,13 +136,14 @@ def events_sql(body: str, idle: int | None = CONFIG.idle, active: int | None = C
 def line_packets(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
     """lineitem rows as the long packet form: an order is a flow, a day of shipping time plays 100 ms."""
     items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "flow_id")
-    first = A.first_packets(items, ["flow_id"], ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"], n)
+    order = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"]
+    first = A.first_packets(items, ["flow_id"], order, n)
     sized = first.withColumn("dir", (F.col("l_linestatus") == "O").cast("int")).withColumn(
         "size", F.col("l_quantity") * 30.0
     )
     series = A.packet_series(
         sized, ["flow_id"], F.unix_date(F.col("l_shipdate").cast("date")) * 100.0, "size", "l_extendedprice",
-        F.col("l_partkey") % 65536, F.col("l_suppkey") % 64,
+        F.col("l_partkey") % 65536, F.col("l_suppkey") % 64, order,
     )
     return series.select("flow_id", "pos", "dir", "ps", "ipt", "bulk", "win", "flag")
 

@@ -222,9 +222,9 @@ def classify_grid(spark, sf):
 # ---- fidelity ----
 
 def _sides(spark, sf):
-    """Orders of status P against all others, by class."""
+    """Orders of status P against all others, by class; stored once because several passes follow."""
     status = table(spark, sf, "orders").select(F.col("o_orderkey").alias("flow_id"), "o_orderstatus")
-    flows = line_flows(spark, sf).join(classes(spark, sf), "flow_id").join(status, "flow_id")
+    flows = write_and_read(line_flows(spark, sf).join(classes(spark, sf), "flow_id").join(status, "flow_id"), "flows")
     return flows.filter("o_orderstatus <> 'P'").drop("o_orderstatus"), flows.filter("o_orderstatus = 'P'").drop("o_orderstatus")
 
 

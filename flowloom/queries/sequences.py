@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from flowloom.functions import arrays as X
-from flowloom.operators import assemble as A, markov as M, prepare as D, quantize as Q, tokens as T
+from flowloom.operators import markov as M, quantize as Q, tokens as T
 from flowloom.queries.inputs import classes, line_flows, line_packets, lines_sql, table
 from flowloom.queries.registry import query
 
@@ -166,7 +166,8 @@ from coded join book on id = cluster_id where pos < 6 and flow_id in (select o_o
 def detokenize(spark, sf):
     encoded, book, vocab = token_sequences(spark, sf)
     decoded = T.decode_flows(encoded, book, vocab)
-    return decoded.select("flow_id", F.posexplode("packets").alias("pos", "p")).filter("p is not null").select(
+    packets = X.unnest(decoded.select("flow_id", F.col("packets").alias("p")), "p")
+    return packets.filter("p is not null").select(
         "flow_id", "pos", F.round("p.ps", 4).alias("ps"), F.round("p.ipt", 4).alias("ipt"))
 
 
@@ -251,16 +252,29 @@ def markov_perplexity(spark, sf):
     return M.perplexity(rows.filter("o_orderstatus = 'P'"), model).withColumn("perplexity", F.round("perplexity", 5))
 
 
+def _generated(spark, sf):
+    encoded, book, vocab = token_sequences(spark, sf)
+    return M.MarkovModel.fit(encoded, LENGTH).sample_like_source(cap=2500), book, vocab
+
+
 @query("markov_sample")
 def markov_sample(spark, sf):
     """Per class as many generated flows as there are source flows, up to the cap, decoded to packets."""
-    encoded, book, vocab = token_sequences(spark, sf)
-    model = M.MarkovModel.fit(encoded, LENGTH)
-    wanted = D.class_caps(encoded).select("target_class", F.col("to_generate").alias("n"))
-    drawn = T.decode_flows(model.sample(wanted), book, vocab)
+    drawn = T.decode_flows(*_generated(spark, sf))
     return drawn.select("target_class", "seq_id", *X.to_wide(F.col("packets"), LENGTH - 2))
 
 
+@query("markov_sample_shape", lines_sql("""
+select t.target_class, least(count(*), 2500) as flows, any_value(first)::integer as first_token, 8 as shortest, 8 as longest
+from tokens t join names n on n.target_class = t.target_class group by 1""", more=_TOKENS))
+def markov_sample_shape(spark, sf):
+    """Generated sequences per class, their length and their class token."""
+    size = F.size("input_ids")
+    return _generated(spark, sf)[0].groupBy("target_class").agg(
+        F.count("*").alias("flows"), F.max(F.get("input_ids", F.lit(0))).alias("first_token"),
+        F.min(size).alias("shortest"), F.max(size).alias("longest"))
+
+
 @query("markov_sample_values")
 def markov_sample_values(spark, sf):
     """Packet sizes through 1-D clusters and a Markov model."""
@@ -268,5 +282,5 @@ def markov_sample_values(spark, sf):
     slots = F.sequence(F.lit(0), F.lit(5))
     values = F.transform(slots, lambda i: F.coalesce(F.get(F.col("packets"), i)["ps"], F.lit(0.0)))
     model = M.QuantizedMarkov.fit(flows.select("target_class", values.alias("values")), 6)
-    wanted = D.class_caps(flows).select("target_class", F.col("to_generate").alias("n"))
+    wanted = model.model.class_sizes().select("target_class", F.least("flows", F.lit(2500).cast("long")).alias("n"))
     return model.sample(wanted)

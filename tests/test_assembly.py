@@ -117,7 +117,7 @@ def test_single_packet_has_no_second_value(spark):
 def test_user_feature_function(spark):
     from flowloom.functions.stats import FEATURES
 
-    mine = {**FEATURES, "_range": lambda v, cond, rank: F.max(F.when(cond, v)) - F.min(F.when(cond, v))}
+    mine = {**FEATURES, "_range": lambda s: F.max(s.own()) - F.min(s.own())}
     rows = [packet(0, size=100), packet(5, size=300)]
     got = G.flow_stats(A.flow_packets(frame(spark, rows)), A.FLOW, features=mine).first()
     assert got["client_packet_range"] == 200
@@ -191,3 +191,13 @@ def test_multi_packet_and_present(spark):
     assert [r["id"] for r in P.multi_packet_flows(flows, strict_reference=True).collect()] == [1, 2]
     series = spark.createDataFrame([(1.0, 2.0), (None, 1.0), (float("nan"), 1.0), (1.0, float("inf"))], "ps double, ipt double")
     assert P.present_packets(series).count() == 1
+
+
+def test_user_plugin_sees_packets_in_order(spark):
+    import pandas as pd
+
+    rows = [packet(0, size=100), packet(5, size=300), packet(9, size=50)]
+    series = A.flow_packets(frame(spark, rows).repartition(3))
+    plugin = lambda p: pd.DataFrame({"flow_no": [p["flow_no"].iloc[0]], "sizes": [p["ps"].tolist()]})
+    got = G.apply_per_flow(series, A.FLOW, plugin, "flow_no long, sizes array<double>").first()
+    assert got["sizes"] == [100.0, 300.0, 50.0]

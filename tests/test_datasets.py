@@ -82,7 +82,7 @@ def test_running_totals_equal_a_plain_window(spark):
 def test_scratch_folder_is_the_configured_one(spark):
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert storage.shared_folder(spark) == folder
-    assert storage.write_and_read(spark.range(3), "t").count() == 3 and storage.cut_lineage(spark.range(4)).count() == 4
+    assert storage.write_and_read(spark.range(3), "t").count() == 3
 
 
 def test_csv_round_trip_with_missing_cells(spark, tmp_path):
