@@ -59,8 +59,8 @@ def compare(spark, con, name, fn, sql, sf_dir):
     types = dict(df.dtypes)
     odd = {c: (types[c], kinds[c]) for c in columns if _kind(types[c]) != kinds[c]}
     if a != b:
-        only_a = [r for r in a if r not in set(b)][:3]
-        only_b = [r for r in b if r not in set(a)][:3]
+        in_a, in_b = set(a), set(b)
+        only_a, only_b = [r for r in a if r not in in_b][:3], [r for r in b if r not in in_a][:3]
         return False, f"{name}: rows {len(a)} against {len(b)}\n  columns {columns}\n  spark {only_a}\n  sql   {only_b}"
     if odd:
         return False, f"{name}: types differ {odd}"
