@@ -16,7 +16,7 @@ _KEY = "key_protocol, key_low, key_high, flow_no"
 
 
 def _rounded(df, keep):
-    return df.select(*[F.round(c, 4).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
 
 
 def _flow_table(flows):
@@ -82,9 +82,9 @@ def _stats_sql(keys: str, source: str, tcp: bool = True, bases=(("bulk", "bulk")
                 ("_75q", f"quantile_cont({v}, 0.75)"), ("_sum", f"sum({v})"),
                 ("_number", f"count(*) filter (d = {side} and {value} > 0)"),
             ):
-                cols.append(f"round(({empty} {sql} end)::double, 4) as {prefix}{base}{name}")
+                cols.append(f"round(({empty} {sql} end)::double, 6) as {prefix}{base}{name}")
         if tcp:
-            cols.append(f"round(({empty} avg(case when d = {side} then win end) end)::double, 4) as {prefix}tcp_window_avg")
+            cols.append(f"round(({empty} avg(case when d = {side} then win end) end)::double, 6) as {prefix}tcp_window_avg")
             cols.append(f"coalesce(array_to_string(list_sort(list(distinct flag) filter (d = {side})), ','), '') "
                         f"as {prefix}found_tcp_flags")
     return f"""select {keys}, {', '.join(cols)}
