@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from flowloom.llm import decontaminate, line_dedup, mixing, quality, simhash, sql
+from flowloom.llm import chat, decontaminate, langid, line_dedup, mixing, ngram_lm, quality, secret_scan, simhash, sql, surrogates
 from flowloom.llm.text import SPACED_WORD
 from flowloom.queries.registry import Query
 
@@ -19,19 +19,44 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return quality.judge(docs, labels).select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "<|im_end|><|im_start|>assistant ok"
+    probe = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe)
+    return chat.digest(chat.render(chat.reconstruct(chat.events_of(turns))))
+
+
+def op5_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.find_secrets(docs).select("doc_id", "__secrets.*")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents"))
 
 
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_personal(docs, b"a secret of the data owner").select("doc_id", F.col("__entities").alias("n_entities"), "text")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(SPACED_WORD)))
@@ -42,14 +67,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
     "op1_simhash": op1_simhash,
+    "op2_language": op2_language,
     "op3_quality": op3_quality,
+    "op4_chat": op4_chat,
+    "op5_backoff": op5_backoff,
     "op6_decontaminate": op6_decontaminate,
+    "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
+    "op9_surrogates": op9_surrogates,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality": sql.QUALITY,
+    "op4_chat": sql.CHAT,
+    "op5_backoff": sql.BACKOFF,
     "op6_decontaminate": sql.DECONTAMINATE,
     "op8_mixing": sql.MIXING,
     "op10_line_dedup": sql.LINE_DEDUP,

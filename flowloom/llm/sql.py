@@ -130,3 +130,45 @@ text as (
 select w.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, t.text
 from raw w join key k on w.doc_id is not distinct from k.doc_id and w.text is not distinct from k.text left join text t on k.r = t.r
 """
+
+_ESCAPED = "replace(replace({}, '␛', '␛e'), '<|', '<␛|')"
+
+CHAT = rf"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(length('<|im_start|>' || replace({_ESCAPED.format('role')}, chr(10), '␛n') || chr(10) || {_ESCAPED.format('text')} || '<|im_end|>' || chr(10)))::bigint
+    as formatted_chars
+from t group by conv_id
+"""
+
+BACKOFF = r"""
+with d as (
+  select row_number() over () as r, doc_id,
+    trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as x
+  from documents),
+tok as (select r, unnest(regexp_extract_all(x, '(?s).')) as c, unnest(range(length(x))) as i from d),
+gram as (
+  select r, coalesce(lag(c, 2) over w, '') as a, coalesce(lag(c) over w, '') as b, c from tok window w as (partition by r order by i)),
+m as (select r, a, b, c, count(*) as abc from gram group by all),
+own as (
+  select *, sum(abc) over (partition by r, a, b) as ab, sum(abc) over (partition by r, b, c) as bc,
+    sum(abc) over (partition by r, b) as b1, sum(abc) over (partition by r, c) as c1 from m),
+t as (select a, b, c, sum(abc) as abc from m group by all),
+corpus as (
+  select *, sum(abc) over (partition by a, b) as ab, sum(abc) over (partition by b, c) as bc,
+    sum(abc) over (partition by b) as b1, sum(abc) over (partition by c) as c1, sum(abc) over () as n from t),
+rest as (
+  select r, o.abc as k, p.abc - o.abc as abc, p.ab - o.ab as ab, p.bc - o.bc as bc, p.b1 - o.b1 as b1, p.c1 - o.c1 as c1, n
+  from own o join corpus p using (a, b, c)),
+scored as (
+  select r, sum(k)::bigint as n_tokens, sum(k * log10(case when abc > 0 then abc / ab when bc > 0 then 0.4::double * bc / b1
+    when c1 > 0 then 0.16::double * c1 / n else 0.064::double / (n + 1) end)) / sum(k) as score
+  from rest group by r)
+select doc_id, coalesce(n_tokens, 0) as n_tokens, round(score, 6) as score from d left join scored using (r)
+"""
