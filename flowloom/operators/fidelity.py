@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from flowloom import constants as K
 from flowloom.functions.arrays import ipt_to_iat, unnest
+from flowloom.plans.keys import join_on
 from flowloom.plans.running import equal_slices, running_totals
 from flowloom.plans.storage import write_and_read
 
@@ -31,7 +32,7 @@ def _moments(rel: DataFrame, by: Sequence[str]) -> DataFrame:
     first = rel.groupBy(*keys).agg(
         F.sum("weight").alias("n"), F.max("value").alias("top"),
         (F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("mean"))
-    spread = rel.join(first, keys).groupBy(*keys, "n", "top").agg(
+    spread = join_on(rel, first, keys).groupBy(*keys, "n", "top").agg(
         F.sum(F.col("weight") * F.pow(F.col("value") - F.col("mean"), 2)).alias("ss"))
     var = F.try_divide(F.col("ss"), F.col("n") - 1)
     return spread.select(*keys, "n", "top", F.when(var > 0, F.sqrt(var) * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"))
@@ -43,7 +44,8 @@ def kde(rel: DataFrame, by: Sequence[str], points: int = K.KDE_POINTS) -> DataFr
     Each distinct value adds to the fixed number of places and is summed up before the shuffle.
     """
     keys = [*by, "side"]
-    spread = rel.join(_moments(rel, by).filter("h is not null"), keys).withColumn(
+    rel = write_and_read(rel, "samples")
+    spread = join_on(rel, _moments(rel, by).filter("h is not null"), keys).withColumn(
         "i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     z = (F.col("top") * F.col("i") / F.lit(float(points - 1)) - F.col("value")) / F.col("h")
     density = spread.groupBy(*keys, "i").agg(F.sum(F.col("weight") * F.exp(-z * z / 2)).alias("d"))
@@ -72,26 +74,23 @@ def wasserstein(density: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def cumulated(rel: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per distinct value the weights of both sides and the weights of all smaller values."""
+    """Per distinct value the weights of both sides, the weights of all smaller values and the totals n_src and n_gen."""
     weight = lambda side: F.sum(F.when(F.col("side") == side, F.col("weight")).otherwise(0))
     flat = write_and_read(rel.groupBy(*by, "value").agg(weight("src").alias("src"), weight("gen").alias("gen")), "values")
+    totals = flat.groupBy(*by).agg(F.sum("src").alias("n_src"), F.sum("gen").alias("n_gen"))
     sliced = equal_slices(flat, "value")
-    return running_totals(sliced, by, "slice", ["value"], {"src": F.col("src"), "gen": F.col("gen")}).drop("slice")
-
-
-def _totals(cum: DataFrame, by: Sequence[str]) -> DataFrame:
-    return cum.groupBy(*by).agg(F.sum("src").alias("n_src"), F.sum("gen").alias("n_gen"))
+    running = running_totals(sliced, by, "slice", ["value"], {"src": F.col("src"), "gen": F.col("gen")}).drop("slice")
+    return join_on(running, totals, by)
 
 
 def ks_statistic(cum: DataFrame, by: Sequence[str]) -> DataFrame:
     """Largest distance of the two distribution functions."""
     share = lambda s: F.try_divide(F.col(f"before_{s}") + F.col(s), F.col(f"n_{s}"))
-    return cum.join(_totals(cum, by), list(by)).groupBy(*by).agg(F.max(F.abs(share("src") - share("gen"))).alias("value"))
+    return cum.groupBy(*by).agg(F.max(F.abs(share("src") - share("gen"))).alias("value"))
 
 
 def percentiles(cum: DataFrame, by: Sequence[str], points: Sequence[int] = PERCENTILES) -> DataFrame:
     """Linearly interpolated percentiles of both sides, read off the running totals."""
-    joined = cum.join(_totals(cum, by), list(by))
     found: list[Column] = []
     for side in ("src", "gen"):
         for p in points:
@@ -100,7 +99,7 @@ def percentiles(cum: DataFrame, by: Sequence[str], points: Sequence[int] = PERCE
                 hit = (F.col(f"before_{side}") <= rank) & (rank < F.col(f"before_{side}") + F.col(side))
                 found.append(F.max(F.when(hit, F.col("value"))).alias(f"{side}_{p}_{name}"))
             found.append(F.max(place - F.floor(place)).alias(f"{side}_{p}_f"))
-    rows = joined.groupBy(*by).agg(*found)
+    rows = cum.groupBy(*by).agg(*found)
     value = lambda side, p: F.col(f"{side}_{p}_lo") + F.col(f"{side}_{p}_f") * (F.col(f"{side}_{p}_hi") - F.col(f"{side}_{p}_lo"))
     return rows.select(*by, F.explode(F.array(*[
         F.struct(F.lit(p).alias("percentile"), value("src", p).alias("src"), value("gen", p).alias("gen")) for p in points
@@ -123,17 +122,19 @@ def directed_packets(flows: DataFrame, by: Sequence[str], order: str) -> DataFra
 def throughput(flows: DataFrame, by: Sequence[str], order: str, bin_ms: int = 1000) -> DataFrame:
     """Bytes per non-empty bin of a virtual clock that runs through the packets of one direction, flow after flow.
 
-    `order` is a unique number that fixes the order of the flows. The clock at the start of a flow is a running total
+    `order` is unique and fixes the order of the flows: numbers count up, ids of another type are ordered by their hash. The clock at the start of a flow is a running total
     over flows; inside a flow it is an array fold.
     """
     clocked = []
     for name, test in (("client", lambda p: p["ps"] > 0), ("server", lambda p: p["ps"] < 0)):
         clocked.append(F.struct(F.lit(name).alias("direction"), F.filter("iats", test).alias("own")))
-    per_flow = equal_slices(flows, order).select(*by, order, "slice", ipt_to_iat(F.col("packets")).alias("iats")).select(
-        *by, order, "slice", F.explode(F.array(*clocked)).alias("d")).select(*by, order, "slice", "d.*")
+    number = F.col(order) if isinstance(flows.schema[order].dataType, T.NumericType) else F.xxhash64(order)
+    sliced = equal_slices(flows.withColumn("__number", number), "__number")
+    per_flow = sliced.select(*by, order, "__number", "slice", ipt_to_iat(F.col("packets")).alias("iats")).select(
+        *by, order, "__number", "slice", F.explode(F.array(*clocked)).alias("d")).select(*by, order, "__number", "slice", "d.*")
     keys = [*by, "direction"]
     spent = F.aggregate("own", F.lit(0.0), lambda a, p: a + p["iat"])
-    started = running_totals(per_flow, keys, "slice", [order], {"spent": spent})
+    started = running_totals(per_flow, keys, "slice", ["__number", order], {"spent": spent})
     clock = F.transform(F.col("own"), lambda p, i: F.struct(
         (F.col("before_spent") + F.aggregate(F.slice("own", F.lit(1), i + 1), F.lit(0.0), lambda a, x: a + x["iat"])).alias("t"),
         p["ps"].alias("ps")))
@@ -178,13 +179,13 @@ def fidelity_report(source: DataFrame, generated: DataFrame, by: Sequence[str] =
     """Long report (by, metric, value) of all classes at once; a metric that cannot be estimated is NULL."""
     by = list(by)
     columns = [*by, order, "packets"]
-    flows = source.select(*columns).withColumn("side", F.lit("src")).unionByName(
-        generated.select(*columns).withColumn("side", F.lit("gen")))
+    flows = write_and_read(source.select(*columns).withColumn("side", F.lit("src")).unionByName(
+        generated.select(*columns).withColumn("side", F.lit("gen"))), "flows")
     samples, rates = traffic_samples(flows, by, order)
     samples = write_and_read(samples, "samples")
     keys = [*by, "series"]
-    density = kde(samples, keys)
-    cum = cumulated(samples, keys)
+    density = write_and_read(kde(samples, keys), "density")
+    cum = write_and_read(cumulated(samples, keys), "running")
 
     def named(part: DataFrame, prefix: Column) -> DataFrame:
         return part.select(*by, F.concat(prefix, F.lit("_"), "series").alias("metric"), "value")

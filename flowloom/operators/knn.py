@@ -25,7 +25,8 @@ from flowloom.plans.storage import write_and_read
 BLOCK_ROWS = 8192
 BROADCAST_NUMBERS = 1 << 24
 BUCKET_KEYS = 128
-FOUND = "query_id long, key_id long, label {label}, distance double, rank int"
+MOST_BITS = 16
+FOUND = "query_id {query}, key_id {key}, label {label}, distance double, rank int"
 
 # Digits to which distances are compared, so that equal vectors tie.
 DIGITS = {"cosine": 12, "euclidean": 10}
@@ -87,14 +88,16 @@ def _finite(found: DataFrame) -> DataFrame:
 
 def _prepared(side: DataFrame, id_col: str, vector: str, label: str | None = None) -> DataFrame:
     values = vector_to_array(F.col(vector)) if isinstance(side.schema[vector].dataType, VectorUDT) else F.col(vector)
-    columns = [F.col(id_col).cast("long").alias("id"), values.cast("array<double>").alias("v")]
+    columns = [F.col(id_col).alias("id"), values.cast("array<double>").alias("v")]
     if label is not None:
         columns.append(F.col(label).alias("label"))
     return side.select(*columns)
 
 
-def _label_type(keys: DataFrame) -> str:
-    return keys.schema["label"].dataType.simpleString()
+def _schema(queries: DataFrame, keys: DataFrame) -> str:
+    """Ids keep their types; numbers are whole ones."""
+    kinds = {"query": queries.schema["id"].dataType, "key": keys.schema["id"].dataType, "label": keys.schema["label"].dataType}
+    return FOUND.format(**{name: kind.simpleString() for name, kind in kinds.items()})
 
 
 def nearest(
@@ -111,7 +114,7 @@ def nearest(
     t = _prepared(keys, key_id, vector, label)
     if label is None:
         t = t.withColumn("label", F.lit(None).cast("int"))
-    schema = FOUND.format(label=_label_type(t))
+    schema = _schema(q, t)
     size = t.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("numbers")).first()
     if size["n"] == 0:
         return q.sparkSession.createDataFrame([], schema)
@@ -180,12 +183,14 @@ def lsh_candidates(q: DataFrame, t: DataFrame, tables: int, bits: int, seed: int
 
 def nearest_lsh(
     queries: DataFrame, keys: DataFrame, k: int = 1, query_id: str = "id", key_id: str = "id", vector: str = "features",
-    label: str | None = None, skip_same: bool = False, tables: int = 8, bits: int | None = None, search_epsilon: float = 0.0,
-    seed: int = K.RANDOM_SEED, block_rows: int = BLOCK_ROWS,
+    label: str | None = None, skip_same: bool = False, tables: int | None = None, bits: int | None = None,
+    search_epsilon: float = 0.0, seed: int = K.RANDOM_SEED, block_rows: int = BLOCK_ROWS, recall_target: float = 0.995,
+    near_angle: float = 20.0,
 ) -> DataFrame:
     """Approximate cosine neighbours: keys that share a hash code in some table, ranked by exact distance.
 
-    Without `bits` the code length grows with the number of keys, so that buckets keep their size.
+    Without `bits` the code length grows with the number of keys up to `MOST_BITS`, so that buckets keep their size. Without
+    `tables` there are as many as find a neighbour within `near_angle` degrees with probability `recall_target`, whatever the bits.
 
     A bucket of any size is searched: it is cut into blocks of keys and of queries, and each block pair returns k rows
     per query. Queries that find fewer than k candidates are searched exactly.
@@ -194,9 +199,13 @@ def nearest_lsh(
     t = _prepared(keys, key_id, vector, label)
     if label is None:
         t = t.withColumn("label", F.lit(None).cast("int"))
-    schema = FOUND.format(label=_label_type(t))
+    schema, n_keys = _schema(q, t), t.count()
+    if n_keys == 0:
+        return q.sparkSession.createDataFrame([], schema)
     if bits is None:
-        bits = min(30, max(4, math.ceil(math.log2(max(t.count(), 1) / BUCKET_KEYS + 1))))
+        bits = min(MOST_BITS, max(4, math.ceil(math.log2(n_keys / BUCKET_KEYS + 1))))
+    if tables is None:
+        tables = tables_for(bits, recall_target, near_angle)
     hashed_q, hashed_t = lsh_candidates(q, t, tables, bits, seed, search_epsilon)
     parts = lambda side, name: side.groupBy("tab", "code").agg(
         F.ceil(F.count("*") / F.lit(block_rows)).cast("long").alias(name))
@@ -219,6 +228,12 @@ def nearest_lsh(
     return found.join(complete, "query_id", "left_semi").select(*exact.columns).unionByName(exact)
 
 
+def tables_for(bits: int, recall_target: float, near_angle: float) -> int:
+    """Hash tables after which a vector at the given angle has shared a code of so many bits with the wanted probability."""
+    same = (1 - near_angle / 180) ** bits
+    return max(1, math.ceil(math.log(1 - recall_target) / math.log(1 - same)))
+
+
 def candidate_pairs(queries: DataFrame, keys: DataFrame, query_id: str = "id", key_id: str = "id", vector: str = "features",
                     tables: int = 8, bits: int = 10, search_epsilon: float = 0.0, seed: int = K.RANDOM_SEED) -> DataFrame:
     """How many comparisons the hash tables ask for, next to all pairs."""
@@ -245,9 +260,9 @@ def vote(neighbours: DataFrame) -> DataFrame:
 
 class _NeighbourParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     nNeighbors = Param(Params._dummy(), "nNeighbors", "neighbours that vote", TypeConverters.toInt)
-    idCol = Param(Params._dummy(), "idCol", "unique row number", TypeConverters.toString)
+    idCol = Param(Params._dummy(), "idCol", "unique row id of any type", TypeConverters.toString)
     method = Param(Params._dummy(), "method", "cosine, euclidean or lsh", TypeConverters.toString)
-    tables = Param(Params._dummy(), "tables", "hash tables", TypeConverters.toInt)
+    tables = Param(Params._dummy(), "tables", "hash tables; 0 takes as many as the recall target needs", TypeConverters.toInt)
     bits = Param(Params._dummy(), "bits", "sign bits per table; 0 takes them from the number of keys", TypeConverters.toInt)
     searchEpsilon = Param(Params._dummy(), "searchEpsilon", "margin within which bits are tried both ways", TypeConverters.toFloat)
 
@@ -256,10 +271,10 @@ class NeighbourClassifier(Estimator, _NeighbourParams):
     """k nearest neighbours with majority vote as an estimator."""
 
     @keyword_only
-    def __init__(self, *, nNeighbors=3, idCol="flow_id", method="cosine", tables=8, bits=0, searchEpsilon=0.0,
+    def __init__(self, *, nNeighbors=3, idCol="flow_id", method="cosine", tables=0, bits=0, searchEpsilon=0.0,
                  featuresCol="features", labelCol="label", predictionCol="prediction"):
         super().__init__()
-        self._setDefault(nNeighbors=3, idCol="flow_id", method="cosine", tables=8, bits=0, searchEpsilon=0.0)
+        self._setDefault(nNeighbors=3, idCol="flow_id", method="cosine", tables=0, bits=0, searchEpsilon=0.0)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "NeighbourModel":
@@ -277,7 +292,7 @@ class NeighbourModel(Model, _NeighbourParams):
         common = dict(k=get("nNeighbors"), query_id=get("idCol"), key_id=get("idCol"), vector=self.getFeaturesCol(),
                       label=self.getLabelCol())
         if get("method") == "lsh":
-            return nearest_lsh(dataset, self.keys, tables=get("tables"), bits=get("bits") or None,
+            return nearest_lsh(dataset, self.keys, tables=get("tables") or None, bits=get("bits") or None,
                                search_epsilon=get("searchEpsilon"), **common)
         return nearest(dataset, self.keys, metric=get("method"), **common)
 

@@ -10,11 +10,12 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from flowloom import constants as K
 from flowloom.functions.arrays import unnest
 from flowloom.operators.quantize import fit_value_codebook
+from flowloom.plans.keys import join_on
 from flowloom.plans.running import equal_slices, running_totals
 from flowloom.plans.storage import write_and_read
 
@@ -32,53 +33,66 @@ def state_index(states: DataFrame, column: str, by: Sequence[str] = ()) -> DataF
 
 
 def _pairs(ids: Column) -> Column:
-    return F.transform(
-        F.when(F.size(ids) > 1, F.sequence(F.lit(1), F.size(ids) - 1)),
-        lambda i: F.struct(F.get(ids, i - 1).alias("from"), F.get(ids, i).alias("to")),
-    )
+    """Neighbouring states; the first state is the target of a pair that starts the sequence."""
+    return F.transform(ids, lambda x, i: F.struct((i == 0).alias("start"), F.get(ids, i - 1).alias("from"), x.alias("to")))
+
+
+def pair_counts(sequences: DataFrame, ids: str = "input_ids", by: Sequence[str] = (K.TARGET_CLASS,)) -> DataFrame:
+    """(by, start, from, to, cnt): one pass over the sequences that transitions, priors and states are all read off."""
+    pairs = unnest(sequences.select(*by, _pairs(F.col(ids)).alias("p")), "p")
+    return pairs.groupBy(*by, F.col("p.start").alias("start"), F.col("p.from").alias("from"), F.col("p.to").alias("to")).agg(
+        F.count("*").alias("cnt"))
 
 
 def transition_counts(sequences: DataFrame, ids: str = "input_ids", by: Sequence[str] = (K.TARGET_CLASS,)) -> DataFrame:
     """Pairs of neighbouring states: taken inside the row, counted with map-side combine."""
-    pairs = unnest(sequences.select(*by, _pairs(F.col(ids)).alias("p")), "p")
-    return pairs.groupBy(*by, F.col("p.from").alias("from"), F.col("p.to").alias("to")).agg(F.count("*").alias("cnt"))
+    return pair_counts(sequences, ids, by).filter("not start").drop("start")
 
 
-def _states(sequences: DataFrame, ids: str, by: Sequence[str]) -> DataFrame:
-    return unnest(sequences.select(*by, F.array_distinct(F.col(ids)).alias("state")), "state").select(*by, "state").distinct()
+def states_of(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Distinct states per class."""
+    return pairs.select(*by, F.col("to").alias("state")).distinct()
 
 
 def state_counts(sequences: DataFrame, ids: str = "input_ids", by: Sequence[str] = (K.TARGET_CLASS,)) -> DataFrame:
     """Distinct states per class."""
-    states = _states(sequences, ids, by)
-    return states.groupBy(*by).agg(F.count("*").alias("n_states"))
+    return states_of(pair_counts(sequences, ids, by), by).groupBy(*by).agg(F.count("*").alias("n_states"))
 
 
-def transitions(sequences: DataFrame, ids: str = "input_ids", by: Sequence[str] = (K.TARGET_CLASS,)) -> DataFrame:
-    """Observed transitions with smoothed probability; every unseen pair has `p_unseen` of its row.
-
-    Tables beyond the first count hold one row per state or class.
-    """
+def transitions_of(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Transitions from stored pair counts; a NULL class is a class."""
     by = list(by)
-    counts = transition_counts(sequences, ids, by)
+    counts = pairs.filter("not start").drop("start")
     rows = counts.groupBy(*by, "from").agg(F.sum("cnt").alias("row_cnt"))
-    sizes = state_counts(sequences, ids, by)
-    rows = rows.join(sizes, by, "inner")
+    sizes = states_of(pairs, by).groupBy(*by).agg(F.count("*").alias("n_states"))
+    rows = join_on(rows, sizes, by)
     weight = F.col("row_cnt") + F.col("n_states") * F.lit(K.SMOOTHING)
-    return counts.join(rows, [*by, "from"], "inner").select(
+    return join_on(counts, rows, [*by, "from"]).select(
         *by, "from", "to", "cnt", "n_states",
         ((F.col("cnt") + F.lit(K.SMOOTHING)) / weight).alias("p"),
         (F.lit(K.SMOOTHING) / weight).alias("p_unseen"),
     )
 
 
-def priors(sequences: DataFrame, ids: str = "input_ids", by: Sequence[str] = (K.TARGET_CLASS,)) -> DataFrame:
-    """Share of sequences that start in each state."""
+def transitions(sequences: DataFrame, ids: str = "input_ids", by: Sequence[str] = (K.TARGET_CLASS,)) -> DataFrame:
+    """Observed transitions with smoothed probability; every unseen pair has `p_unseen` of its row.
+
+    The sequences are read once; everything else is read off their counted pairs.
+    """
+    return transitions_of(write_and_read(pair_counts(sequences, ids, by), "pairs"), by)
+
+
+def priors_of(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     by = list(by)
-    first = sequences.select(*by, F.get(F.col(ids), F.lit(0)).alias("state"))
-    counts = first.filter("state is not null").groupBy(*by, "state").agg(F.count("*").alias("cnt"))
+    counts = pairs.filter("start and to is not null").select(*by, F.col("to").alias("state"), "cnt")
     totals = counts.groupBy(*by).agg(F.sum("cnt").alias("total"))
-    return counts.join(totals, by, "inner").select(*by, "state", "cnt", (F.col("cnt") / F.col("total")).alias("p"))
+    return join_on(counts, totals, by).select(*by, "state", "cnt", (F.col("cnt") / F.col("total")).alias("p"))
+
+
+def priors(sequences: DataFrame, ids: str = "input_ids", by: Sequence[str] = (K.TARGET_CLASS,)) -> DataFrame:
+    """Share of sequences that start in each state."""
+    first = sequences.select(*by, F.slice(F.col(ids), 1, 1).alias(ids))
+    return priors_of(write_and_read(pair_counts(first, ids, by), "starts"), by)
 
 
 def normalize_rows(weights: DataFrame, row: str, value: str) -> DataFrame:
@@ -95,18 +109,21 @@ def perplexity(heldout: DataFrame, model: DataFrame, sequences_ids: str = "input
     """exp of the mean negative log probability of held-out transitions per class.
 
     Held-out pairs are counted before the join, so its size is that of the distinct pairs.
-    A state the model never left gives every successor the same chance.
+    A state the model never left gives every successor the same chance. Transitions of a class that the model lacks are counted as
+    `unjudged`; the perplexity is that of the others.
     """
     by = list(by)
+    model = write_and_read(model.select(*by, "from", "to", "p", "p_unseen", "n_states"), "model")
     counts = transition_counts(heldout, sequences_ids, by).withColumnRenamed("cnt", "held")
     known = model.select(*by, "from", "to", "p")
     rows = model.groupBy(*by, "from").agg(F.max("p_unseen").alias("p_unseen"))
     sizes = model.groupBy(*by).agg(F.max("n_states").alias("n_states"))
-    joined = counts.join(known, [*by, "from", "to"], "left").join(rows, [*by, "from"], "left").join(sizes, by, "inner")
+    joined = join_on(join_on(join_on(counts, known, [*by, "from", "to"], "left"), rows, [*by, "from"], "left"), sizes, by, "left")
     chance = F.coalesce("p", "p_unseen", F.lit(1.0) / F.col("n_states"))
+    judged = F.when(F.col("n_states").isNotNull(), F.col("held"))
     return joined.groupBy(*by).agg(
-        F.sum("held").alias("transitions"),
-        F.exp(-F.sum(F.col("held") * F.log(chance)) / F.sum("held")).alias("perplexity"),
+        F.sum("held").alias("transitions"), F.coalesce(F.sum(F.col("held")) - F.coalesce(F.sum(judged), F.lit(0)), F.lit(0)).alias("unjudged"),
+        F.exp(-F.sum(judged * F.log(chance)) / F.sum(judged)).alias("perplexity"),
     )
 
 
@@ -128,17 +145,29 @@ class MarkovModel:
 
     @classmethod
     def fit(cls, sequences: DataFrame, length: int, ids: str = "input_ids", by: str = K.TARGET_CLASS) -> "MarkovModel":
-        sequences = write_and_read(sequences.select(by, ids), "sequences")
-        tables = (priors(sequences, ids, [by]), transitions(sequences, ids, [by]), _states(sequences, ids, [by]))
+        """Sequences without a class are left out: there is no name under which to draw them again."""
+        pairs = write_and_read(pair_counts(sequences.filter(F.col(by).isNotNull()), ids, [by]), "pairs")
+        tables = (priors_of(pairs, [by]), transitions_of(pairs, [by]), states_of(pairs, [by]))
         return cls(*[write_and_read(t, "markov") for t in tables], by, length)
 
     def class_sizes(self) -> DataFrame:
         """Fitted sequences per class as (class, flows)."""
         return self.prior.groupBy(self.by).agg(F.sum("cnt").alias("flows"))
 
-    def sample_like_source(self, cap: int = K.CLASS_CAP, seed: int = K.RANDOM_SEED) -> DataFrame:
-        """As many sequences per class as were fitted, up to the cap; all classes in one job."""
-        wanted = self.class_sizes().select(self.by, F.least("flows", F.lit(cap).cast("long")).alias("n"))
+    def save(self, path: str) -> None:
+        for name, table in (("prior", self.prior), ("trans", self.trans), ("states", self.states)):
+            table.withColumn("__length", F.lit(self.length)).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, by: str = K.TARGET_CLASS) -> "MarkovModel":
+        tables = [spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in ("prior", "trans", "states")]
+        length = tables[0].select("__length").first()[0]
+        return cls(*[t.drop("__length") for t in tables], by, length)
+
+    def sample_like_source(self, cap: int | None = K.CLASS_CAP, seed: int = K.RANDOM_SEED) -> DataFrame:
+        """As many sequences per class as were fitted, up to the cap if there is one; all classes in one job."""
+        size = F.col("flows") if cap is None else F.least("flows", F.lit(cap).cast("long"))
+        wanted = self.class_sizes().select(self.by, size.alias("n"))
         return self.sample(wanted, seed)
 
     def sample(self, wanted: DataFrame, seed: int = K.RANDOM_SEED, force_joins: bool = False) -> DataFrame:

@@ -57,11 +57,10 @@ def drop_duplicate_flows(flows: DataFrame, protocol: str, left: str, right: str,
 
     Ranking with a limit of one keeps a single row per key and input task before the shuffle.
     """
-    pair = Window.partitionBy("__proto", "__low", "__high").orderBy(*order)
+    pair = Window.partitionBy("__proto", "__ends").orderBy(*order)
     return (
         flows.withColumn("__proto", F.col(protocol))
-        .withColumn("__low", F.least(left, right))
-        .withColumn("__high", F.greatest(left, right))
+        .withColumn("__ends", F.array_sort(F.array(left, right)))  # an absent endpoint is an endpoint
         .withColumn("__rn", F.row_number().over(pair))
         .filter("__rn = 1")
         .select(*flows.columns)

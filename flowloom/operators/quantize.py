@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -166,10 +166,13 @@ class Codebook:
 
         @F.pandas_udf("array<int>")
         def nearest(xs: pd.Series, ys: pd.Series) -> pd.Series:
-            sizes = xs.map(len).to_numpy()
-            flat = [np.concatenate([np.asarray(a, dtype=float) for a in s]) if len(s) else np.empty(0) for s in (xs, ys)]
-            ids = index.value.nearest(np.column_stack(flat))
-            return pd.Series(np.split(ids, np.cumsum(sizes)[:-1]), index=xs.index)
+            there = xs.notna()  # an absent array stays absent
+            out = pd.Series([None] * len(xs), index=xs.index, dtype=object)
+            if there.any():
+                flat = [np.concatenate([np.asarray(a, dtype=float) for a in s[there]]) for s in (xs, ys)]
+                parts = np.split(index.value.nearest(np.column_stack(flat)), np.cumsum(xs[there].map(len).to_numpy())[:-1])
+                out[there] = pd.Series(parts, index=out.index[there], dtype=object)
+            return out
 
         return nearest(
             F.transform(packets, lambda p: Z.scaled_ps(p["ps"])), F.transform(packets, lambda p: Z.scaled_ipt(p["ipt"])))
@@ -194,6 +197,8 @@ class Codebook:
         @F.pandas_udf("struct<x:array<double>,y:array<double>>")
         def scaled(rows: pd.Series) -> pd.DataFrame:
             def pick(a, axis):
+                if a is None:
+                    return None
                 a = np.asarray(a, dtype=np.int64)
                 safe = np.where((a < 0) | (a >= len(centres.value)), 0, a)
                 return np.where(a == K.NO_PACKET, np.nan, centres.value[safe, axis])
@@ -206,9 +211,14 @@ class Codebook:
 
 
 def fit_codebook(series: DataFrame, k: int = K.CODEBOOK_SIZE, seed: int = K.RANDOM_SEED, max_iter: int = 20,
-                 tol: float = 0.01) -> Codebook:
-    """K-means over all packets of multi-packet flows. `series` is the long packet form."""
-    scaled = scale_packets(present_packets(series)).select("s_ps", "s_ipt")
+                 tol: float = 0.01, flow: Sequence[str] = ("flow_id",)) -> Codebook:
+    """K-means over all packets of multi-packet flows. `series` is the long packet form.
+
+    With fewer distinct packets than `k` there are as many centres as distinct packets.
+    """
+    present = present_packets(series)
+    several = present.filter("pos = 1").select(*flow).distinct()
+    scaled = scale_packets(present.join(several, list(flow), "left_semi")).select("s_ps", "s_ipt")
     vectors = VectorAssembler(inputCols=["s_ps", "s_ipt"], outputCol="features").transform(scaled).select("features")
     model = KMeans(k=k, seed=seed, tol=tol, maxIter=max_iter, initMode="k-means||").fit(vectors)
     return Codebook(series.sparkSession, np.array(model.clusterCenters()))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from flowloom import constants as K
 from flowloom.functions import arrays as X
@@ -62,18 +62,25 @@ class Vocabulary:
         return cls(spark.read.schema(VOCAB_SCHEMA).parquet(path), codebook_size)
 
 
+def _unknown(label: str) -> Column:
+    return F.raise_error(F.concat(F.lit("class is not in the vocabulary: "), F.coalesce(F.col(label), F.lit("NULL"))))
+
+
 def encode_flows(
     flows: DataFrame, codebook: Codebook, vocab: Vocabulary, packets: str = "packets", label: str | None = None,
     special: bool = True, mask: bool = True, mask_first: bool = False, max_length: int = K.MAX_SEQUENCE,
 ) -> DataFrame:
-    """Add `input_ids` (and `attention_mask`); with `label` the class token comes first, else the begin token."""
+    """Add `input_ids` (and `attention_mask`); with `label` the class token comes first, else the begin token.
+
+    A flow whose class has no token is an error.
+    """
     out = flows.withColumn("__ids", codebook.encode_flow(F.col(packets)))
     if special:
         first = F.lit(vocab.bof)
         if label is not None:
             names = vocab.table.select(F.col("token_id").alias("__first"), F.col("token").alias("__token"))
-            out = out.join(F.broadcast(names), out[label] == names["__token"], "inner")
-            first = F.col("__first")
+            out = out.join(F.broadcast(names), out[label] == names["__token"], "left")
+            first = F.coalesce(F.col("__first"), _unknown(label).cast("int"))
         ids = X.expand_tokens(F.col("__ids"), first, vocab.eof, vocab.pad, max_length)
     else:
         ids = X.pad_tokens(F.col("__ids"), vocab.pad)
@@ -108,8 +115,9 @@ def labelled_tokens(
     """Token sequences with the class number of a fitted encoder table (class, label)."""
     encoded = encode_flows(flows, codebook, vocab, special=special, mask_first=mask_first)
     numbers = encoder.select(F.col("class").alias("__class"), "label")
-    return encoded.join(numbers, encoded[label] == numbers["__class"], "inner").select(
-        *keep, "input_ids", "attention_mask", "label")
+    number = F.coalesce(F.col("label"), _unknown(label).cast(encoder.schema["label"].dataType))
+    return encoded.join(numbers, encoded[label] == numbers["__class"], "left").select(
+        *keep, "input_ids", "attention_mask", number.alias("label"))
 
 
 def size_tokens(flows: DataFrame, n: int = K.PACKET_LIMIT, size_range: int = K.SIZE_TOKEN_RANGE,

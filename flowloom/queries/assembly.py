@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowloom import constants as K
 from flowloom.functions import arrays as X, stats as S
 from flowloom.functions.columns import epoch_us
 from flowloom.operators import assemble as A, flowstats as G, packets as P
+from flowloom.plans.running import running_totals
 from flowloom.queries.inputs import (
     CONFIG, EVENT_PACKETS, event_packets, events_sql, line_flows, line_packets, lines_sql, table,
 )
@@ -115,11 +117,11 @@ def flow_stats(spark, sf):
         f"coalesce({side}_{base}{name}, 0) as {side}_{base}{name}" for side in ("client", "server")
         for base in ("packet", "iat") for name in S.FEATURES
     ) + " from (" + _stats_sql(
-        "flow_id", "(select *, case when ps > 0 then 1 when ps < 0 then 0 end as d from pl where pos < 6)", tcp=False,
+        "flow_id", "(select *, case when ps > 0 then 1 when ps < 0 then 0 end as d from pl)", tcp=False,
         bases=(("packet", "abs(ps)"), ("iat", "ipt"))) + ") y"))
 def flow_stats_from_raw(spark, sf):
     flows = line_flows(spark, sf)
-    out = G.stats_from_sequences(flows, ["flow_id"], packet_limit=6, with_iat=True, positive_is_client=False)
+    out = G.stats_from_sequences(flows, ["flow_id"], with_iat=True, positive_is_client=False)
     return _rounded(out.drop("packets"), ["flow_id"])
 
 
@@ -154,16 +156,16 @@ def flow_sizes(spark, sf):
 
 @query("raw_wide", lines_sql("select flow_id, " + ", ".join(
     f"max(case when pos = {i} then ps end) as raw_packet{i}, max(case when pos = {i} then ipt end) as raw_iat{i}"
-    for i in range(8)) + " from pl group by flow_id"))
+    for i in range(K.PACKET_LIMIT)) + " from pl group by flow_id"))
 def raw_wide(spark, sf):
-    return line_flows(spark, sf).select("flow_id", *X.to_wide(F.col("packets"), 8))
+    return line_flows(spark, sf).select("flow_id", *X.to_wide(F.col("packets"), K.PACKET_LIMIT))
 
 
-@query("raw_long", lines_sql("select flow_id, pos, ps, ipt from pl where pos < 8"))
+@query("raw_long", lines_sql("select flow_id, pos, ps, ipt from pl"))
 def raw_long(spark, sf):
     """Wide columns back to packets."""
-    wide = line_flows(spark, sf).select("flow_id", *X.to_wide(F.col("packets"), 8))
-    return X.unnest(wide.select("flow_id", X.from_wide(8).alias("p")), "p").select(
+    wide = line_flows(spark, sf).select("flow_id", *X.to_wide(F.col("packets"), K.PACKET_LIMIT))
+    return X.unnest(wide.select("flow_id", X.from_wide(K.PACKET_LIMIT).alias("p")), "p").select(
         "flow_id", "pos", "p.ps", "p.ipt"
     )
 
@@ -231,12 +233,12 @@ def device_split(spark, sf):
 
 @query("packets_merged", "with " + EVENT_PACKETS.strip() + """
 select src_mac, seq, rn::integer as rn from (
-  select src_mac, seq, row_number() over (partition by src_mac order by t, seq) as rn from packets) x where rn <= 10""")
+  select src_mac, seq, row_number() over (partition by src_mac order by t, seq) as rn from packets) x""")
 def packets_merged(spark, sf):
     packets = event_packets(spark, sf)
     server = packets.filter(F.col("source_file").isin("capture_purchase", "capture_error"))
     client = packets.filter(~F.col("source_file").isin("capture_purchase", "capture_error"))
     merged = P.merge_captures(server, client)
-    return A.first_packets(merged, ["src_mac"], ["ts", "seq"], 10).select(
-        "src_mac", "seq", (F.col("pos") + 1).alias("rn")
-    )
+    hourly = merged.select("src_mac", "ts", "seq", F.floor(epoch_us(F.col("ts")) / 3_600_000_000).alias("hour"))
+    ranked = running_totals(hourly, ["src_mac"], "hour", ["ts", "seq"], {"packets": F.lit(1)})
+    return ranked.select("src_mac", "seq", (F.col("before_packets") + 1).cast("int").alias("rn"))

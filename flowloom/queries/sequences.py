@@ -5,13 +5,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from flowloom import constants as K
 from flowloom.functions import arrays as X
 from flowloom.operators import markov as M, quantize as Q, tokens as T
+from flowloom.plans.storage import write_and_read
 from flowloom.queries.inputs import classes, line_flows, line_packets, lines_sql, table
 from flowloom.queries.registry import query
 
 _SIZES, _GAPS = (-0.75, -0.25, 0.25, 0.75), (0.0, 2.0, 3.2)
-LENGTH = 8
 
 
 def small_codebook(spark):
@@ -22,6 +23,11 @@ def large_codebook(spark):
     return Q.Codebook(spark, np.array([[i / 15 - 1, j / 2] for i in range(31) for j in range(10)]))
 
 
+def grid_codebook(spark):
+    """As many centres as the default codebook has."""
+    return Q.Codebook(spark, np.array([[i / 64 - 1, j / 25] for i in range(128) for j in range(128)]))
+
+
 _SCALED = """
 scaled as (select flow_id, pos, ps, ipt, ps / 1500.0 as s_ps,
   case when abs(ipt) <= 1e-8 then 0 else log10(ipt) end as s_ipt from pl)"""
@@ -64,6 +70,30 @@ def quantize_large(spark, sf):
     return line_packets(spark, sf).select("flow_id", "pos", book.encode(F.col("ps"), F.col("ipt")).alias("cluster_id"))
 
 
+_GRID = _SCALED + """,
+xs as (select i, i / 64.0::double - 1 as x from range(128) a(i)), ys as (select j, j / 25.0::double as y from range(128) b(j)),
+near_x as (select s_ps, arg_min(i, {d: (s_ps - x) * (s_ps - x), i: i}) as i from (select distinct s_ps from scaled), xs group by 1),
+near_y as (select s_ipt, arg_min(j, {d: (s_ipt - y) * (s_ipt - y), j: j}) as j from (select distinct s_ipt from scaled), ys group by 1),
+coded as (select flow_id, pos, (i * 128 + j)::integer as cluster_id from scaled join near_x using (s_ps) join near_y using (s_ipt))"""
+
+
+@query("quantize_16384", lines_sql("select flow_id, array_to_string(list(cluster_id order by pos), ',') as ids from coded group by 1", more=_GRID))
+def quantize_16384(spark, sf):
+    """The grid is separable, so SQL finds the nearest centre axis by axis."""
+    book = grid_codebook(spark)
+    return _text(line_flows(spark, sf).select("flow_id", book.encode_flow(F.col("packets")).alias("ids")), "ids")
+
+
+@query("dequantize_16384", lines_sql("""
+select flow_id, pos, round((cluster_id // 128 / 64.0::double - 1) * 1500, 4)::double as ps,
+  round(case when cluster_id % 128 = 0 then 0 else pow(10, cluster_id % 128 / 25.0::double) end, 4)::double as ipt from coded""", more=_GRID))
+def dequantize_16384(spark, sf):
+    book = grid_codebook(spark)
+    coded = line_flows(spark, sf).select("flow_id", book.encode_flow(F.col("packets")).alias("ids"))
+    packets = X.unnest(coded.select("flow_id", book.decode_flow(F.col("ids")).alias("p")), "p")
+    return packets.select("flow_id", "pos", F.round("p.ps", 4).alias("ps"), F.round("p.ipt", 4).alias("ipt"))
+
+
 @query("dequantize", lines_sql("""
 select flow_id, pos, cluster_id, round(x * 1500, 4)::double as ps,
   round(case when abs(y) <= 1e-3 then 0 else pow(10, y) end, 4)::double as ipt
@@ -107,21 +137,22 @@ def vocabulary(spark, sf, size):
 
 
 def token_sequences(spark, sf, label="target_class"):
-    """Padded token sequences of all orders with their class."""
+    """Token sequences of all orders with their class, padded to the longest, with codebook, vocabulary and length."""
     book = small_codebook(spark)
     vocab = vocabulary(spark, sf, book.size)
-    flows = line_flows(spark, sf).join(classes(spark, sf), "flow_id")
-    encoded = T.encode_flows(flows, book, vocab, label=label, max_length=LENGTH)
-    return T.pad_batch(encoded, vocab, LENGTH), book, vocab
+    flows = write_and_read(line_flows(spark, sf).join(classes(spark, sf), "flow_id"), "flows")
+    longest = min(K.MAX_SEQUENCE, 2 + flows.agg(F.coalesce(F.max(F.size("packets")), F.lit(0))).first()[0])
+    encoded = T.encode_flows(flows, book, vocab, label=label)
+    return T.pad_batch(encoded, vocab, longest), book, vocab, longest
 
 
 _TOKENS = _SMALL + """,
 names as (select o_orderpriority as target_class, (15 + row_number() over (order by o_orderpriority))::integer as first
   from orders group by 1),
-ids as (select flow_id, list(cluster_id order by pos) as ids from coded where pos < 6 group by 1),
+ids as (select flow_id, list(cluster_id order by pos) as ids from coded group by 1),
 tokens as (
   select flow_id, o.o_orderpriority as target_class, o.o_orderstatus as status,
-    list_resize([first] || ids || [12], 8, 13) as input_ids
+    list_resize([first] || ids || [12], (select max(len(ids)) + 2 from ids), 13) as input_ids
   from ids join orders o on o_orderkey = flow_id join names n on n.target_class = o.o_orderpriority)"""
 
 
@@ -130,7 +161,7 @@ select flow_id, target_class, array_to_string(input_ids, ',') as input_ids,
   array_to_string([case when x <> 13 then 1 else 0 end for x in input_ids], ',') as attention_mask from tokens""",
                              more=_TOKENS))
 def tokenize(spark, sf):
-    encoded, _, _ = token_sequences(spark, sf)
+    encoded, *_ = token_sequences(spark, sf)
     return _text(encoded.select("flow_id", "target_class", "input_ids", "attention_mask"), "input_ids", "attention_mask")
 
 
@@ -139,7 +170,7 @@ select flow_id, array_to_string([15] || ids || [12], ',') as input_ids from ids"
 def tokenize_plain(spark, sf):
     book = small_codebook(spark)
     vocab = T.Vocabulary.create(spark, book.size)
-    return _text(T.encode_flows(line_flows(spark, sf), book, vocab, mask=False, max_length=LENGTH).select(
+    return _text(T.encode_flows(line_flows(spark, sf), book, vocab, mask=False).select(
         "flow_id", "input_ids"), "input_ids")
 
 
@@ -156,15 +187,15 @@ def tokenize_unpadded(spark, sf):
 select flow_id, array_to_string([case when x = 13 then -100 else x end for x in input_ids], ',') as labels from tokens""",
                               more=_TOKENS))
 def lm_labels(spark, sf):
-    encoded, _, vocab = token_sequences(spark, sf)
+    encoded, _, vocab, _ = token_sequences(spark, sf)
     return _text(T.with_lm_labels(encoded, vocab).select("flow_id", "labels"), "labels")
 
 
 @query("detokenize", lines_sql("""
 select flow_id, pos, round(x * 1500, 4)::double as ps, round(case when abs(y) <= 1e-3 then 0 else pow(10, y) end, 4)::double as ipt
-from coded join book on id = cluster_id where pos < 6 and flow_id in (select o_orderkey from orders)""", more=_TOKENS))
+from coded join book on id = cluster_id where flow_id in (select o_orderkey from orders)""", more=_TOKENS))
 def detokenize(spark, sf):
-    encoded, book, vocab = token_sequences(spark, sf)
+    encoded, book, vocab, _ = token_sequences(spark, sf)
     decoded = T.decode_flows(encoded, book, vocab)
     packets = X.unnest(decoded.select("flow_id", F.col("packets").alias("p")), "p")
     return packets.filter("p is not null").select(
@@ -173,11 +204,11 @@ def detokenize(spark, sf):
 
 @query("size_tokens", lines_sql("""
 select flow_id, array_to_string(list(
-  (case when ps is null then 0 else least(greatest(ps, -399), 399) end + 400)::integer order by i), ',') as size_tokens
-from (select f.flow_id, i, ps from (select distinct flow_id from pl) f cross join range(10) r(i)
+  (case when ps is null then 0 else least(greatest(ps, -2499), 2499) end + 2500)::integer order by i), ',') as size_tokens
+from (select f.flow_id, i, ps from (select distinct flow_id from pl) f cross join range(20) r(i)
   left join pl on pl.flow_id = f.flow_id and pl.pos = i) x group by 1"""))
 def size_tokens(spark, sf):
-    return _text(T.size_tokens(line_flows(spark, sf), 10, 800).select("flow_id", "size_tokens"), "size_tokens")
+    return _text(T.size_tokens(line_flows(spark, sf)).select("flow_id", "size_tokens"), "size_tokens")
 
 
 @query("class_vocab", """
@@ -199,7 +230,7 @@ def labelled_tokens(spark, sf):
 
     book = small_codebook(spark)
     vocab = T.Vocabulary.create(spark, book.size)
-    flows = line_flows(spark, sf, LENGTH - 2).join(classes(spark, sf), "flow_id")
+    flows = line_flows(spark, sf).join(classes(spark, sf), "flow_id")
     encoder = label_encoder(classes(spark, sf), "target_class")
     return _text(T.labelled_tokens(flows, book, vocab, encoder).drop("attention_mask"), "input_ids")
 
@@ -210,7 +241,8 @@ def markov_states(spark, sf):
 
 
 _PAIRS = """
-pairs as (select target_class, status, input_ids[i] as "from", input_ids[i + 1] as "to" from tokens, range(1, 8) r(i)),
+pairs as (select target_class, status, input_ids[i] as "from", input_ids[i + 1] as "to"
+  from (select *, unnest(range(1, len(input_ids))) as i from tokens) t),
 states as (select target_class, count(distinct s) as n from (select target_class, unnest(input_ids) as s from tokens) u group by 1)"""
 
 
@@ -219,7 +251,7 @@ select p.target_class, "from", "to", count(*) as cnt,
   round((count(*) + 1e-6) / (sum(count(*)) over (partition by p.target_class, "from") + any_value(n) * 1e-6), 9)::double as p
 from pairs p join states s on s.target_class = p.target_class group by 1, 2, 3""", more=_TOKENS + "," + _PAIRS))
 def markov_transitions(spark, sf):
-    encoded, _, _ = token_sequences(spark, sf)
+    encoded, *_ = token_sequences(spark, sf)
     return M.transitions(encoded).select("target_class", "from", "to", "cnt", F.round("p", 9).alias("p"))
 
 
@@ -227,12 +259,12 @@ def markov_transitions(spark, sf):
 select target_class, input_ids[1] as state, count(*) as cnt,
   round(count(*) / sum(count(*)) over (partition by target_class), 9)::double as p from tokens group by 1, 2""", more=_TOKENS))
 def markov_priors(spark, sf):
-    encoded, _, _ = token_sequences(spark, sf)
+    encoded, *_ = token_sequences(spark, sf)
     return M.priors(encoded).withColumn("p", F.round("p", 9))
 
 
 @query("markov_perplexity", lines_sql("""
-select target_class, sum(held)::bigint as transitions, round(exp(-sum(held * ln(coalesce(p, u, 1.0 / n))) / sum(held)), 5)::double as perplexity
+select target_class, sum(held)::bigint as transitions, coalesce(sum(held) filter (n is null), 0)::bigint as unjudged, round(exp(-sum(held * ln(coalesce(p, u, 1.0 / n))) / sum(held)), 5)::double as perplexity
 from (
   select h.target_class, h.held, m.p, r.u, t.n from
     (select target_class, "from", "to", count(*) as held from pairs where status = 'P' group by 1, 2, 3) h
@@ -241,36 +273,38 @@ from (
       from pairs p join tn on tn.target_class = p.target_class where status <> 'P' group by 1, 2, 3) m using (target_class, "from", "to")
     left join (select p.target_class, "from", 1e-6 / (count(*) + any_value(n) * 1e-6) as u
       from pairs p join tn on tn.target_class = p.target_class where status <> 'P' group by 1, 2) r using (target_class, "from")
-    join tn t on t.target_class = h.target_class) x group by 1""", more=_TOKENS + "," + _PAIRS + """,
+    left join tn t on t.target_class = h.target_class) x group by 1""", more=_TOKENS + "," + _PAIRS + """,
 tn as (select target_class, count(distinct s) as n from
   (select target_class, unnest(input_ids) as s from tokens where status <> 'P') u group by 1)"""))
 def markov_perplexity(spark, sf):
-    encoded, _, _ = token_sequences(spark, sf)
+    encoded, *_ = token_sequences(spark, sf)
     status = table(spark, sf, "orders").select(F.col("o_orderkey").alias("flow_id"), "o_orderstatus")
-    rows = encoded.join(status, "flow_id")
+    rows = write_and_read(encoded.select("flow_id", "target_class", "input_ids").join(status, "flow_id"), "tokens")
     model = M.transitions(rows.filter("o_orderstatus <> 'P'"))
     return M.perplexity(rows.filter("o_orderstatus = 'P'"), model).withColumn("perplexity", F.round("perplexity", 5))
 
 
-def _generated(spark, sf):
-    encoded, book, vocab = token_sequences(spark, sf)
-    return M.MarkovModel.fit(encoded, LENGTH).sample_like_source(cap=2500), book, vocab
+def _generated(spark, sf, cap=K.CLASS_CAP):
+    encoded, book, vocab, length = token_sequences(spark, sf)
+    return M.MarkovModel.fit(encoded, length).sample_like_source(cap), book, vocab, length
 
 
 @query("markov_sample")
 def markov_sample(spark, sf):
     """Per class as many generated flows as there are source flows, up to the cap, decoded to packets."""
-    drawn = T.decode_flows(*_generated(spark, sf))
-    return drawn.select("target_class", "seq_id", *X.to_wide(F.col("packets"), LENGTH - 2))
+    sampled, book, vocab, length = _generated(spark, sf)
+    drawn = T.decode_flows(sampled, book, vocab)
+    return drawn.select("target_class", "seq_id", *X.to_wide(F.col("packets"), length - 2))
 
 
 @query("markov_sample_shape", lines_sql("""
-select t.target_class, least(count(*), 2500) as flows, any_value(first)::integer as first_token, 8 as shortest, 8 as longest
+select t.target_class, count(*) as flows, any_value(first)::integer as first_token,
+  min(len(input_ids))::integer as shortest, max(len(input_ids))::integer as longest
 from tokens t join names n on n.target_class = t.target_class group by 1""", more=_TOKENS))
 def markov_sample_shape(spark, sf):
-    """Generated sequences per class, their length and their class token."""
+    """Generated sequences per class without a cap, their length and their class token."""
     size = F.size("input_ids")
-    return _generated(spark, sf)[0].groupBy("target_class").agg(
+    return _generated(spark, sf, None)[0].groupBy("target_class").agg(
         F.count("*").alias("flows"), F.max(F.get("input_ids", F.lit(0))).alias("first_token"),
         F.min(size).alias("shortest"), F.max(size).alias("longest"))
 
@@ -279,8 +313,7 @@ def markov_sample_shape(spark, sf):
 def markov_sample_values(spark, sf):
     """Packet sizes through 1-D clusters and a Markov model."""
     flows = line_flows(spark, sf).join(classes(spark, sf), "flow_id")
-    slots = F.sequence(F.lit(0), F.lit(5))
+    slots = F.sequence(F.lit(0), F.lit(K.PACKET_LIMIT - 1))
     values = F.transform(slots, lambda i: F.coalesce(F.get(F.col("packets"), i)["ps"], F.lit(0.0)))
-    model = M.QuantizedMarkov.fit(flows.select("target_class", values.alias("values")), 6)
-    wanted = model.model.class_sizes().select("target_class", F.least("flows", F.lit(2500).cast("long")).alias("n"))
-    return model.sample(wanted)
+    model = M.QuantizedMarkov.fit(flows.select("target_class", values.alias("values")), K.PACKET_LIMIT)
+    return model.sample(model.model.class_sizes().withColumnRenamed("flows", "n"))

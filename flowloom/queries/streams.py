@@ -21,39 +21,43 @@ def _packets(spark, sf):
     return A.with_flow_key(as_packets(_events(spark, sf)))
 
 
+LAST = {"event_id": -1, "ts": "2200-01-01 00:00:00", "user_id": 1, "event_type": "end", "value": 1.0, "props": '{"k": 0}'}
+
+
+def _to_end(spark, sf, transform, name):
+    packets = lambda events: transform(A.with_flow_key(as_packets(events)))
+    return S.run_to_end(spark, sf, table(spark, sf, "events").schema, packets, LAST, name, "events.parquet")
+
+
 _KEY = "key_protocol, key_low, key_high"
-_WATERMARK = "(select max(t) // 1000 - 3600000 from packets)"
 
 
 @query("stream_sessions", "with recursive " + EVENT_PACKETS.strip() + "," + flows_sql(CONFIG.idle, None) + f"""
 select {_KEY}, min(t) as first_us, max(t) as last_us, count(*) as packets, sum(ip_size)::bigint as bytes
-from flows group by {_KEY}, flow_no having (max(t) + {CONFIG.idle}000000) // 1000 <= {_WATERMARK}""")
+from flows group by {_KEY}, flow_no""")
 def stream_sessions(spark, sf):
-    out = S.stream_sessions(_packets(spark, sf), A.KEY, F.col("ip_size"), CONFIG.idle, DELAY)
-    return S.run_available(out, "sessions").select(
+    sessions = lambda packets: S.stream_sessions(packets, A.KEY, F.col("ip_size"), CONFIG.idle, DELAY)
+    return _to_end(spark, sf, sessions, "sessions").select(
         *A.KEY, F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "packets", "bytes")
 
 
 @query("stream_flows", events_sql(f"""
-select {_KEY}, start_us, end_us, packets, bytes, first_sizes from (
-  select f.*, lead(start_us) over (partition by {_KEY} order by flow_no) as next_start from (
-    select {_KEY}, flow_no, min(t) as start_us, max(t) as end_us, count(*) as packets, sum(ip_size)::bigint as bytes,
-      array_to_string(list((case when src_port = 443 then -ip_size else ip_size end) order by t, seq)[1:3], ',') as first_sizes
-    from flows group by all) f) x
-where next_start <= {_WATERMARK} * 1000 or end_us + {CONFIG.idle}000000 < {_WATERMARK} * 1000"""))
+select {_KEY}, min(t) as start_us, max(t) as end_us, count(*) as packets, sum(ip_size)::bigint as bytes,
+  array_to_string(list((case when src_port = 443 then -ip_size else ip_size end) order by t, seq)[1:3], ',') as first_sizes
+from flows group by {_KEY}, flow_no"""))
 def stream_flows(spark, sf):
-    out = S.stream_flows(_packets(spark, sf), A.KEY, F.col("ip_size"), (F.col("src_port") == 443).cast("int"), CONFIG, DELAY)
+    flows = lambda packets: S.stream_flows(packets, A.KEY, F.col("ip_size"), (F.col("src_port") == 443).cast("int"), CONFIG, DELAY)
     sizes = F.transform(F.slice("ps", 1, 3), lambda x: x.cast("int").cast("string"))
-    return S.run_available(out, "flows").select(
+    return _to_end(spark, sf, flows, "flows").select(
         *A.KEY, "start_us", "end_us", "packets", "bytes", F.concat_ws(",", sizes).alias("first_sizes"))
 
 
 @query("stream_throughput", "with " + EVENT_PACKETS.strip() + f"""
 select protocol as key_protocol, (t // 1000000) * 1000000 as start_us, sum(ip_size)::bigint as bytes from packets
-group by 1, 2 having (start_us + 1000000) // 1000 <= {_WATERMARK}""")
+group by 1, 2""")
 def stream_throughput(spark, sf):
-    out = S.stream_throughput(_packets(spark, sf), ["key_protocol"], F.col("ip_size"), "1 second", DELAY)
-    return S.run_available(out, "rates").select("key_protocol", F.unix_micros("start_ts").alias("start_us"), "bytes")
+    rates = lambda packets: S.stream_throughput(packets, ["key_protocol"], F.col("ip_size"), "1 second", DELAY)
+    return _to_end(spark, sf, rates, "rates").select("key_protocol", F.unix_micros("start_ts").alias("start_us"), "bytes")
 
 
 @query("stream_score", "with " + EVENT_PACKETS.strip() + """,

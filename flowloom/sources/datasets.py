@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import hashlib
+import json
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -55,9 +57,18 @@ def write_per_class(flows: DataFrame, path: str, label: str = K.TARGET_CLASS) ->
 
 
 def fingerprint(flows: DataFrame) -> DataFrame:
-    """One row that identifies the content regardless of order: count, hash sum, hash xor."""
-    hashed = F.xxhash64(*[F.col(c) for c in sorted(flows.columns)])
-    return flows.select(hashed.alias("h")).agg(
+    """One row that identifies names, types and content regardless of the order of rows: count, hash sum, hash xor.
+
+    Every cell is hashed with a mark whether it is absent, so that values cannot move over empty cells; nested cells are
+    hashed as text that keeps their empty parts.
+    """
+    cells = [F.lit(",".join(sorted(f"{f.name} {f.dataType.simpleString()}" for f in flows.schema)))]
+    for name in sorted(flows.columns):
+        cell = F.col(f"`{name}`")
+        if isinstance(flows.schema[name].dataType, (T.ArrayType, T.StructType, T.MapType)):
+            cell = F.to_json(F.struct(cell.alias("x")), {"ignoreNullFields": "false"})
+        cells += [F.col(f"`{name}`").isNull(), cell]
+    return flows.select(F.xxhash64(*cells).alias("h")).agg(
         F.count("*").alias("rows"),
         F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash_sum"),
         F.coalesce(F.bit_xor("h"), F.lit(0).cast("long")).alias("hash_xor"),
@@ -69,19 +80,35 @@ def version_of(flows: DataFrame) -> str:
     return f"{row['rows']}_{row['hash_sum'].replace('-', 'm')}_{row['hash_xor'] & 0xFFFFFFFFFFFFFFFF:016x}"
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to this folder has ended well."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def _write_once(flows: DataFrame, path: str) -> None:
+    """A folder that was written to its end is kept; what a failed write has left is replaced."""
+    if not _complete(flows.sparkSession, path):
+        flows.write.mode("overwrite").parquet(path)
+
+
 def save_version(flows: DataFrame, folder: str) -> str:
     """Write under a path that names the content; an existing version is kept."""
     path = f"{folder.rstrip('/')}/v={version_of(flows)}"
-    flows.write.mode("ignore").parquet(path)
+    _write_once(flows, path)
     return path
 
 
-def cached_version(source: DataFrame, folder: str, build) -> DataFrame:
-    """The stored result of `build(source)` for this content of `source`, computed and stored on first use."""
-    path = f"{folder.rstrip('/')}/v={version_of(source)}"
-    result = build(source)
-    result.write.mode("ignore").parquet(path)
-    return source.sparkSession.read.schema(result.schema).parquet(path)
+def cached_version(source: DataFrame, folder: str, build: Callable[[DataFrame], DataFrame], name: str, **parameters) -> DataFrame:
+    """The stored result of `build(source)` for this content of `source`, computed and stored on first use.
+
+    `name` and `parameters` say what is built: other names or parameters have results of their own.
+    """
+    said = hashlib.sha256(json.dumps([name, parameters], sort_keys=True, default=str).encode()).hexdigest()[:16]
+    path = f"{folder.rstrip('/')}/{name}-{said}/v={version_of(source)}"
+    if not _complete(source.sparkSession, path):
+        _write_once(build(source), path)
+    return source.sparkSession.read.parquet(path)
 
 
 def file_sizes(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -34,6 +34,26 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/table")
 
 
+def run_to_end(spark: SparkSession, folder: str, schema: T.StructType, transform: Callable[[DataFrame], DataFrame], last: dict, name: str,
+               pattern: str | None = None) -> DataFrame:
+    """Process all files as a stream that then ends: what is still open is reported too.
+
+    After the files, the same query goes on with one more row (`last`), later than all others by more than any timeout. It moves the watermark
+    past everything; what belongs to that row itself stays open and is not reported.
+    """
+    base = scratch_path(spark, name)
+    spark.createDataFrame([], schema).write.parquet(f"{base}/end")
+    for closing in (False, True):
+        if closing:
+            row = spark.range(1).select(*[F.lit(last[f.name]).cast(f.dataType).alias(f.name) for f in schema])
+            row.write.mode("append").parquet(f"{base}/end")
+        source = read_stream(spark, folder, schema, pattern).unionByName(read_stream(spark, f"{base}/end", schema))
+        out = transform(source)
+        (out.writeStream.format("parquet").option("path", f"{base}/table").option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(out.schema).parquet(f"{base}/table")
+
+
 def stream_sessions(packets: DataFrame, keys: Sequence[str], size: Column, idle_s: int, delay: str) -> DataFrame:
     """Idle-only flows: emitted once the watermark has passed their last packet by the idle timeout."""
     return (

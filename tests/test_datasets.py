@@ -116,8 +116,30 @@ def test_versions_ignore_order_and_notice_changes(spark, tmp_path):
     assert spark.read.parquet(path).count() == 100 and S.save_version(a, str(tmp_path / "v")) == path
     calls = []
     build = lambda d: calls.append(1) or d.withColumn("w", F.col("v") + 1)
-    assert S.cached_version(a, str(tmp_path / "c"), build).count() == 100
-    assert S.cached_version(a, str(tmp_path / "c"), build).agg(F.sum("w")).first()[0] == 10000
+    assert S.cached_version(a, str(tmp_path / "c"), build, "plus").count() == 100
+    assert S.cached_version(a, str(tmp_path / "c"), build, "plus").agg(F.sum("w")).first()[0] == 10000 and len(calls) == 1
+    other = lambda d: d.withColumn("w", F.lit(5))
+    assert S.cached_version(a, str(tmp_path / "c"), other, "five").agg(F.sum("w")).first()[0] == 500
+    assert S.cached_version(a, str(tmp_path / "c"), build, "plus", by=2).count() == 100 and len(calls) == 2
+
+
+def test_versions_tell_empty_cells_names_and_types_apart(spark):
+    pairs = [(1.0, None), (None, 1.0)], [(None, 1.0), (1.0, None)]
+    one = [spark.createDataFrame([p], "a double, b double") for p in pairs[0]]
+    assert S.version_of(one[0]) != S.version_of(one[1])
+    assert S.version_of(one[0]) != S.version_of(one[0].withColumnRenamed("a", "c"))
+    assert S.version_of(spark.range(3)) != S.version_of(spark.range(3).withColumn("id", F.col("id").cast("int")))
+    holes = [spark.createDataFrame([(x,)], "a array<double>") for x in ([1.0, None], [None, 1.0])]
+    assert S.version_of(holes[0]) != S.version_of(holes[1])
+
+
+def test_half_written_versions_are_replaced(spark, tmp_path):
+    a = spark.range(50)
+    path = S.save_version(a, str(tmp_path))
+    (tmp_path / path.rsplit("/", 1)[1] / "_SUCCESS").unlink()
+    for part in (tmp_path / path.rsplit("/", 1)[1]).glob("part-*"):
+        part.unlink()
+    assert S.save_version(a, str(tmp_path)) == path and spark.read.parquet(path).count() == 50
 
 
 def test_per_class_output_splitting_and_report(spark, tmp_path):
