@@ -29,7 +29,7 @@ from flowloom.plans.storage import write_and_read
 WORDS = 3
 BITS = 3
 #: Fingerprints that a shard should hold, the bound of the sample that the top of the tree is fitted on, its largest depth.
-SHARD, SAMPLE, DEPTH = 8_000, 16_384, 14
+SHARD, SAMPLE, DEPTH = 16_384, 16_384, 14
 #: Fingerprints that are compared all with all, and pairs looked at in one step.
 BLOCK, TILE = 256, 1 << 20
 _CHUNK = 65_536
@@ -71,13 +71,13 @@ def _best_radius(distances: np.ndarray, bits: int) -> tuple[int, int]:
     return radius, int(larger[radius])
 
 
-def plan_tree(sample: np.ndarray, depth: int, bits: int) -> list[tuple[int, int] | None]:
-    """Nodes (vantage, radius) in heap order; None where a leaf begins."""
-    nodes: list[tuple[int, int] | None] = [None] * (2 ** (depth + 1) - 1)
+def plan_tree(sample: np.ndarray, count: int, bits: int, shard: int = SHARD) -> dict[int, tuple[int, int]]:
+    """Nodes (vantage, radius) by heap number; a leaf begins where `count` fingerprints like the sample leave at most `shard`."""
+    nodes: dict[int, tuple[int, int]] = {}
     stack = [(0, sample)]
     while stack:
         at, own = stack.pop()
-        if 2 * at + 2 >= len(nodes) or len(own) < 8:
+        if at >= 2**DEPTH - 1 or len(own) < 8 or len(own) / len(sample) * count <= shard:
             continue
         vantage = own[0]
         distances = np.bitwise_count(own ^ vantage)
@@ -89,14 +89,14 @@ def plan_tree(sample: np.ndarray, depth: int, bits: int) -> list[tuple[int, int]
     return nodes
 
 
-def deal(nodes: list[tuple[int, int] | None], fps: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+def deal(nodes: dict[int, tuple[int, int]], fps: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """(leaf, its fingerprints): every two that are within `bits` of each other share a leaf."""
     stack = [(0, fps)]
     while stack:
         at, own = stack.pop()
         if not len(own):
             continue
-        if at >= len(nodes) or nodes[at] is None:
+        if at not in nodes:
             yield at, own
             continue
         vantage, radius = nodes[at]
@@ -147,22 +147,24 @@ def spanning_links(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def links(distinct: DataFrame, count: int, bits: int = BITS) -> DataFrame:
     """(u, v): links among distinct fingerprints `fp` that connect exactly what pairs within `bits` bits connect."""
-    depth = int(np.clip(np.ceil(np.log(max(1, count) / SHARD) / np.log(1 / 0.65)), 0, DEPTH))
     sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    nodes = plan_tree(sample, depth, bits)
+    nodes = plan_tree(sample, count, bits)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for leaf, own in deal(nodes, fps, bits):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), leaf, np.int32)), pa.array(own.view(np.int64))], ["shard", "fp"])
+            dealt = list(deal(nodes, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits))
+            if dealt:
+                offsets = np.cumsum([0, *(len(own) for _, own in dealt)], dtype=np.int32)
+                held = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([own for _, own in dealt]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([leaf for leaf, _ in dealt], pa.int32()), held], ["shard", "fps"])
 
     def search(table: pa.Table) -> pa.Table:
-        fps = table.column("fp").to_numpy().view(np.uint64)
+        fps = table.column("fps").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         u, v = spanning_links(fps, bits)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    dealt = distinct.select("fp").mapInArrow(shards, "shard int, fp long")
+    # a row holds what one batch deals to one shard
+    dealt = distinct.select("fp").mapInArrow(shards, "shard int, fps array<long>")
     return dealt.groupBy("shard").applyInArrow(search, "u long, v long")
 
 

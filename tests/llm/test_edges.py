@@ -78,7 +78,7 @@ def test_trees_find_every_close_pair():
     centres = [random.getrandbits(64) for _ in range(1500)]
     fps = list({c ^ sum(1 << b for b in random.sample(range(64), random.randint(0, 4))) for c in centres for _ in range(3)})
     a = np.array(fps, np.uint64)
-    nodes = simhash.plan_tree(a[:800], 4, 3)
+    nodes = simhash.plan_tree(a[:800], len(a), 3, 1_000)
     edges, seen = [], 0
     for _, own in simhash.deal(nodes, a, 3):
         seen += len(own)
