@@ -211,14 +211,16 @@ class Codebook:
 
 
 def fit_codebook(series: DataFrame, k: int = K.CODEBOOK_SIZE, seed: int = K.RANDOM_SEED, max_iter: int = 20,
-                 tol: float = 0.01, flow: Sequence[str] = ("flow_id",)) -> Codebook:
-    """K-means over all packets of multi-packet flows. `series` is the long packet form.
+                 tol: float = 0.01, flow: Sequence[str] | None = ("flow_id",)) -> Codebook:
+    """K-means over all packets of multi-packet flows. `series` is the long packet form; `flow=None` takes all its packets.
 
     With fewer distinct packets than `k` there are as many centres as distinct packets.
     """
     present = present_packets(series)
-    several = present.filter("pos = 1").select(*flow).distinct()
-    scaled = scale_packets(present.join(several, list(flow), "left_semi")).select("s_ps", "s_ipt")
+    if flow is not None:
+        several = present.filter("pos = 1").select(*flow).distinct()
+        present = present.join(several, list(flow), "left_semi")
+    scaled = scale_packets(present).select("s_ps", "s_ipt")
     vectors = VectorAssembler(inputCols=["s_ps", "s_ipt"], outputCol="features").transform(scaled).select("features")
     model = KMeans(k=k, seed=seed, tol=tol, maxIter=max_iter, initMode="k-means||").fit(vectors)
     return Codebook(series.sparkSession, np.array(model.clusterCenters()))

@@ -62,7 +62,7 @@ def test_codebook_fit_refine_save(spark, tmp_path):
     rng = np.random.default_rng(1)
     rows = [(float(rng.choice([100, -1400]) + rng.normal(0, 3)), float(rng.choice([1.0, 1000.0]))) for _ in range(400)]
     series = spark.createDataFrame(rows, "ps double, ipt double")
-    fitted = Q.fit_codebook(series, k=4)
+    fitted = Q.fit_codebook(series, k=4, flow=None)
     assert Q.quantizer_error(series, fitted).first()["mae"] < 0.01
     start = Q.Codebook(spark, fitted.centres + 0.05)
     refined = Q.refine_codebook(series, start, tol=1e-6)
