@@ -284,7 +284,7 @@ class Scanner:
         for at, spans in enumerate(found):
             if spans:
                 points = np.cumsum((np.frombuffer(encoded[at] + b"\x00", np.uint8) & 0xC0) != 0x80) - 1
-                found[at] = sorted((int(points[s]), int(points[s]) + e - s, k) for s, e, k in spans)
+                found[at] = sorted(((int(points[s]), int(points[e]), k) for s, e, k in spans), key=lambda x: (x[0], x[2]))
         return found
 
 
