@@ -61,6 +61,44 @@ FEATURES: dict[str, Feature] = {
 }
 
 
+def _place(p: float) -> Callable[[Column, Column], Column]:
+    def feature(own: Column, ordered: Column) -> Column:
+        spot = F.lit(p) * (F.size(ordered) - 1)
+        low, high = F.get(ordered, F.floor(spot).cast("int")), F.get(ordered, F.ceil(spot).cast("int"))
+        return low + (spot - F.floor(spot)) * (high - low)
+
+    return feature
+
+
+def _total(own: Column) -> Column:
+    return F.aggregate(own, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+
+
+#: The same statistics of a bounded array of values, given by arrival and by value: nothing has to be grouped.
+ARRAY_FEATURES: dict[str, Callable[[Column, Column], Column]] = {
+    "0": lambda own, ordered: F.get(own, F.lit(0)),
+    "1": lambda own, ordered: F.get(own, F.lit(1)),
+    "_max": lambda own, ordered: F.array_max(own),
+    "_min": lambda own, ordered: F.array_min(own),
+    "_avg": lambda own, ordered: F.try_divide(_total(own), F.size(F.filter(own, lambda x: x.isNotNull()))),
+    "_median": _place(0.5),
+    "_25q": _place(0.25),
+    "_75q": _place(0.75),
+    "_sum": lambda own, ordered: _total(own),
+    "_number": lambda own, ordered: F.size(F.filter(own, lambda x: x > 0)).cast("double"),
+}
+
+
+def array_statistics(own: Column) -> Column:
+    """A struct of all statistics; each array is built once."""
+    def of(values: Column) -> Column:
+        return F.get(F.transform(F.array(F.sort_array(values)), lambda ordered: F.struct(*[
+            F.coalesce(fn(values, ordered).cast("double"), F.lit(0.0)).alias(name) for name, fn in ARRAY_FEATURES.items()
+        ])), F.lit(0))
+
+    return F.get(F.transform(F.array(own), of), F.lit(0))
+
+
 def continuous_names(bases: tuple[str, ...] = ("bulk", "packet"), features: dict[str, Feature] | None = None) -> list[str]:
     """Statistic names without the direction prefix."""
     return [f"{base}{name}" for name in (features or FEATURES) for base in bases]

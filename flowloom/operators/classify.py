@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Callable
 from itertools import combinations
 from multiprocessing.pool import ThreadPool
@@ -158,8 +159,10 @@ def _spark_param(kind: str, name: str, value, shape: dict):
 
 
 def _translated(kind: str, params: dict, shape: dict) -> dict:
-    pairs = [_spark_param(kind, name, value, shape) for name, value in params.items()]
-    return dict(p for p in pairs if p is not None)
+    pairs = {name: _spark_param(kind, name, value, shape) for name, value in params.items()}
+    if lost := sorted(name for name, pair in pairs.items() if pair is None):
+        warnings.warn(f"{kind}: left out for want of a counterpart: {', '.join(lost)}", stacklevel=3)
+    return dict(p for p in pairs.values() if p is not None)
 
 
 def expand_ranges(settings: dict) -> dict:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowloom import constants as K
 from flowloom.functions import stats as S
-from flowloom.functions.arrays import unnest
 from flowloom.plans.running import running_totals
 
 
@@ -72,17 +71,18 @@ def stats_from_sequences(
     """
     if any(f"{K.SERVER}{name}" in flows.columns for name in S.continuous_names()):
         return flows
-    exploded = unnest(flows.select(*flow, F.slice(F.col(packets), 1, packet_limit).alias("p")), "p").select(
-        *flow, "pos", F.col("p.ps").alias("ps"), F.col("p.ipt").alias("ipt")
-    )
-    positive, negative = (0, 1) if positive_is_client else (1, 0)
-    direction = F.when(F.col("ps") > 0, positive).when(F.col("ps") < 0, negative)
-    bases = {"packet": F.abs(F.col("ps"))}
-    if with_iat:
-        bases["iat"] = F.col("ipt")
-    computed = flow_stats(exploded, flow, bases, direction, tcp=False)
-    names = [c for c in computed.columns if c not in flow]
-    return flows.join(computed, list(flow), "left").fillna(0.0, subset=names)
+    first = F.slice(F.col(packets), 1, packet_limit)
+    values = {"packet": lambda p: F.abs(p["ps"])} | ({"iat": lambda p: p["ipt"]} if with_iat else {})
+    sides = {K.CLIENT: positive_is_client, K.SERVER: not positive_is_client}
+    parts, names = [], []
+    for prefix, positive in sides.items():
+        own = F.filter(first, lambda p: p["ps"] > 0) if positive else F.filter(first, lambda p: p["ps"] < 0)
+        for base, value in values.items():
+            parts.append(S.array_statistics(F.transform(own, value)).alias(f"{prefix}{base}"))
+            names += [(f"{prefix}{base}", name) for name in S.ARRAY_FEATURES]
+    # the row holds its packets: no shuffle
+    computed = flows.select("*", F.explode(F.array(F.struct(*parts))).alias("__stats"))
+    return computed.select(*flows.columns, *[F.coalesce(F.col("__stats")[part][name], F.lit(0.0)).alias(part + name) for part, name in names])
 
 
 def apply_per_flow(series: DataFrame, flow: Sequence[str], plugin, schema) -> DataFrame:
