@@ -23,6 +23,7 @@ MAGIC = {
 }
 FILE_HEADER, RECORD_HEADER, MAX_RECORD = 24, 16, 262144
 LINK_HEADER = {1: 14, 101: 0, 113: 16}
+EXTENSIONS = 8
 
 CHUNK_BYTES = 64 << 20
 BATCH_PACKETS = 100_000
@@ -65,44 +66,66 @@ class _Capture:
         return at + RECORD_HEADER + kept if good else None
 
     def sync(self, at: int) -> int:
-        """First record start at or after a byte position.
+        """First provable record start at or after a byte position, or the end of the file.
 
-        The search begins well before it: a chain found inside a packet (a capture carried as payload) has joined the
-        file's own chain by then. Both neighbours of a boundary call this and so agree on it.
+        Provable is a start from which headers follow each other further than any packet is long, or exactly to the file's end. The
+        search begins well before the position: a chain found inside a packet (a capture carried as payload) has joined the
+        file's own chain by then. Where a chain breaks, the search goes on behind the break. Both neighbours of a
+        boundary call this and so agree on it.
         """
         room = 2 * (MAX_RECORD + RECORD_HEADER)
         begin = max(FILE_HEADER, at - room)
         data = self._read(begin, 2 * room)
-
-        def follow(place: int | None, until: int) -> int | None:
-            while place is not None and place < until and place + RECORD_HEADER <= len(data):
-                place = self._plausible(data, place)
-            return place
-
-        first = 0
-        if begin > FILE_HEADER:
-            starts = range(min(MAX_RECORD + RECORD_HEADER, len(data)))
-            first = next((s for s in starts if (follow(s, s + MAX_RECORD + 1) or 0) > s + MAX_RECORD), None)
-        found = None if first is None else follow(first, at - begin)
-        return self.length if found is None or found < at - begin else begin + found
+        whole = begin + len(data) >= self.length
+
+        def follow(place: int, until: int) -> tuple[int, bool]:
+            """(where the chain is at or beyond `until`, or where it breaks; whether it held)."""
+            while place < until:
+                if place + RECORD_HEADER > len(data):
+                    return place, place == len(data) and whole
+                following = self._plausible(data, place)
+                if following is None:
+                    return place, False
+                place = following
+            return place, True
+
+        search = 0
+        while search < len(data):
+            last = min(search + MAX_RECORD + RECORD_HEADER + 1, len(data))
+            proven = (0,) if begin == FILE_HEADER and search == 0 else (
+                s for s in range(search, last) if self._chain_ends_well(follow(s, s + MAX_RECORD + 1), len(data), whole))
+            first = next(iter(proven), None)
+            if first is None:
+                return self.length
+            place, held = follow(first, at - begin)
+            if held:
+                return min(begin + place, self.length)
+            search = place + 1
+        return self.length
+
+    @staticmethod
+    def _chain_ends_well(end: tuple[int, bool], size: int, whole: bool) -> bool:
+        place, held = end
+        return held and (place <= size or not whole)
 
     def records(self, start: int, stop: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, int, int]:
-        """(bytes, data positions, kept lengths, times in us, exit position, truncated records) of records in [start, stop)."""
+        """(bytes, data positions, kept lengths, times in us, exit position, broken records) of records in [start, stop).
+
+        A broken or truncated record is counted, and reading goes on at the next provable record start, whatever the size of the
+        file or the chunk.
+        """
         data = self._read(start, stop - start + MAX_RECORD + RECORD_HEADER)
         places, kept_sizes, times, at, bad = [], [], [], 0, 0
         while start + at < stop:
-            if at + RECORD_HEADER > len(data):
-                bad, at = 1, self.length - start
-                break
+            following = self._plausible(data, at) if at + RECORD_HEADER <= len(data) else None
+            if following is None or following > len(data):
+                bad, at = bad + 1, min(self.sync(start + at + 1), stop) - start
+                continue
             seconds, fraction, kept, _ = self.unpack(data, at)
-            body = at + RECORD_HEADER
-            if kept > MAX_RECORD or body + kept > len(data):
-                bad, at = 1, self.length - start
-                break
-            places.append(body)
+            places.append(at + RECORD_HEADER)
             kept_sizes.append(kept)
             times.append(seconds * 1_000_000 + fraction // self.per_us)
-            at = body + kept
+            at = following
         arrays = [np.array(a, dtype=np.int64) for a in (places, kept_sizes, times)]
         return data, *arrays, start + at, bad
 
@@ -142,11 +165,18 @@ def _packets(data: bytes, place: np.ndarray, kept: np.ndarray, time: np.ndarray,
         is_ip = np.ones(len(place), dtype=bool)
     version = byte(ip) >> 4
     four, six = is_ip & (version == 4) & (end - ip >= 20), is_ip & (version == 6) & (end - ip >= 40)
-    protocol = np.where(four, byte(ip + 9), byte(ip + 6))
-    ip_header = np.where(four, (byte(ip) & 15) * 4, 40)
+    protocol, after, later = byte(ip + 6), ip + 40, four & ((short(ip + 6) & 0x1FFF) > 0)
+    for _ in range(EXTENSIONS):  # IPv6 headers that stand before the transport header
+        part, proof = six & (protocol == 44), six & (protocol == 51)
+        more = part | proof | (six & np.isin(protocol, (0, 43, 60, 135)))
+        later |= part & ((short(after + 2) >> 3) > 0)
+        size = np.where(part, 8, np.where(proof, (byte(after + 1) + 2) * 4, (byte(after + 1) + 1) * 8))
+        protocol, after = np.where(more, byte(after), protocol), np.where(more, after + size, after)
+    protocol = np.where(four, byte(ip + 9), protocol)
+    ip_header = np.where(four, (byte(ip) & 15) * 4, after - ip)
     ip_size = np.where(four, short(ip + 2), short(ip + 4) + 40)
     layer4 = ip + ip_header
-    tcp, udp = protocol == 6, protocol == 17
+    tcp, udp = (protocol == 6) & ~later, (protocol == 17) & ~later  # later fragments carry no transport header
     ports = (tcp | udp) & (layer4 + 4 <= end)
     header = np.where(tcp, (byte(layer4 + 12) >> 4) * 4, np.where(udp, 8, 0))
     keep = four | six
@@ -200,7 +230,7 @@ def _scan(chunks: DataFrame, columns: T.StructType, read) -> DataFrame:
 def read_captures(spark: SparkSession, path: str | list[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """All IP packets of capture files; `seq` is the byte position, so (source_file, seq) is unique and in file order.
 
-    A truncated record ends its file. `chunk_bytes=0` reads each file in one task.
+    Broken and truncated records are left out and reading goes on behind them. `chunk_bytes=0` reads each file in one task.
     """
     def packets(row, capture, start, data, place, kept, time, bad):
         name = row.path.rsplit("/", 1)[-1]
@@ -212,7 +242,7 @@ def read_captures(spark: SparkSession, path: str | list[str], chunk_bytes: int =
 
 
 def capture_quality(spark: SparkSession, path: str | list[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Records and truncated records per file."""
+    """Records and broken or truncated records per file."""
     columns = T.StructType([T.StructField("source_file", T.StringType()), T.StructField("records", T.LongType()),
                             T.StructField("truncated", T.LongType())])
 

@@ -204,3 +204,32 @@ def test_large_capture_is_split_without_loss(spark, tmp_path, chunk):
     df = captures.read_captures(spark, str(tmp_path / "big.pcap"), chunk)
     rows = df.select("seq", "src_port").orderBy("seq").collect()
     assert [r["src_port"] for r in rows] == [i % 60000 for i in range(6000)]
+
+
+@pytest.mark.parametrize("chunk", [0, 64 << 20, 300_000])
+@pytest.mark.parametrize("n", [300, 9000])
+def test_broken_records_are_counted_and_passed_over(spark, tmp_path, n, chunk):
+    frames = [frame_bytes(17, bytes([i % 251]) * (20 + i % 60), sport=i) for i in range(n)]
+    data, at = bytearray(capture_bytes(frames)), 24
+    broken = [n // 3, n - n // 9]  # what lies between is provable in the large file only by its length
+    broken = broken if n > 1000 else broken[:1]
+    for i, f in enumerate(frames):
+        if i in broken:
+            data[at + 8:at + 12] = b"\xff\xff\xff\x7f"
+        at += 16 + len(f)
+    (tmp_path / "broken.pcap").write_bytes(bytes(data))
+    rows = captures.read_captures(spark, str(tmp_path), chunk).select("src_port").collect()
+    assert sorted(r["src_port"] for r in rows) == [i for i in range(n) if i not in broken]
+    assert tuple(captures.capture_quality(spark, str(tmp_path), chunk).first())[1:] == (n - len(broken), len(broken))
+
+
+def test_fragments_and_extension_headers(spark, tmp_path):
+    later = bytearray(frame_bytes(17, b"\x01\x02\x03\x04\x05\x06\x07\x08", 53, 999))
+    later[14 + 6:14 + 8] = struct.pack(">H", 185)
+    hop = struct.pack(">BB", 17, 0) + bytes(6)  # options, then UDP
+    udp = struct.pack(">HHHH", 53, 5353, 11, 0) + b"abc"
+    part = struct.pack(">BBHI", 17, 0, 8 << 3, 7)
+    six = lambda first, rest: bytes(12) + b"\x86\xdd" + struct.pack(">IHBB", 6 << 28, len(rest), first, 64) + bytes(15) + b"\x01" + bytes(15) + b"\x02" + rest
+    (tmp_path / "f.pcap").write_bytes(capture_bytes([bytes(later), six(0, hop + udp), six(44, part + udp)]))
+    rows = captures.read_captures(spark, str(tmp_path / "f.pcap")).orderBy("seq").collect()
+    assert [(r["protocol"], r["src_port"], r["dst_port"], r["payload_size"]) for r in rows] == [(17, 0, 0, 16), (17, 53, 5353, 3), (17, 0, 0, 11)]
