@@ -16,7 +16,7 @@ from flowloom import constants as K
 from flowloom.functions.arrays import unnest
 from flowloom.operators.quantize import fit_value_codebook
 from flowloom.plans.keys import join_on
-from flowloom.plans.running import equal_slices, running_totals
+from flowloom.plans.running import HASH_BITS, equal_slices, running_totals, text_hash
 from flowloom.plans.storage import write_and_read
 
 BROADCAST_STATES = 1 << 20
@@ -130,8 +130,8 @@ def perplexity(heldout: DataFrame, model: DataFrame, sequences_ids: str = "input
 def _uniforms(seed: int, by: Sequence[str], length: int) -> Column:
     """Two reproducible uniforms per position from hashes of (seed, class, sequence, position)."""
     def unit(salt: int, pos: Column) -> Column:
-        h = F.xxhash64(F.lit(seed).cast("long"), F.lit(salt), *[F.col(c) for c in by], F.col("seq_id"), pos)
-        return F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
+        h = text_hash(F.lit(seed), F.lit(salt), *[F.col(c) for c in by], F.col("seq_id"), pos)
+        return F.shiftright(h, 8).cast("double") / float(1 << (HASH_BITS - 8))
 
     return F.transform(F.sequence(F.lit(0), F.lit(length - 1)),
                        lambda pos: F.struct(unit(0, pos).alias("u"), unit(1, pos).alias("v")))

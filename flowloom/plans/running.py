@@ -58,15 +58,24 @@ def running_totals(
     )
 
 
+HASH_BITS = 60
+
+
+def text_hash(*parts: Column) -> Column:
+    """A number of 60 bits from the MD5 of the parts' texts, so that SQL elsewhere can recompute it."""
+    texts = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *texts).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
 def hash_order(seed: int, *columns: str) -> Column:
     """A reproducible pseudo-random order that does not depend on the partitioning."""
-    return F.xxhash64(F.lit(seed).cast("long"), *[F.col(c) for c in columns])
+    return text_hash(F.lit(seed), *[F.col(c) for c in columns])
 
 
 def ranked_by_hash(df: DataFrame, by: Sequence[str], ids: Sequence[str], seed: int, slice_bits: int = 14) -> DataFrame:
     """Add `hash_rank`, the exact 0-based rank of each row in its group by seeded hash."""
     hashed = df.withColumn("__hash", hash_order(seed, *ids)).withColumn(
-        "__part", F.shiftright("__hash", 64 - slice_bits)
+        "__part", F.shiftright("__hash", HASH_BITS - slice_bits)
     )
     ranked = running_totals(hashed, by, "__part", ["__hash", *ids], {"rows": F.lit(1).cast("long")})
     return ranked.withColumnRenamed("before_rows", "hash_rank").drop("__hash", "__part")

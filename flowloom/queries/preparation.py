@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from flowloom.operators import prepare as D
 from flowloom.queries.inputs import classes, line_flows, lines_sql, table
 from flowloom.queries.registry import query
+from flowloom.plans.running import running_totals
+from flowloom.plans.storage import write_and_read
 from flowloom.sources.datasets import fingerprint
 
 
@@ -123,22 +125,30 @@ def dataset_fingerprint(spark, sf):
     return fingerprint(table(spark, sf, "orders"))
 
 
-@query("stratified_split", """
-select o_orderpriority as label, round(count(*) * 0.25)::bigint as test_rows, count(*) as all_rows from orders group by 1""")
+_HASH = "('0x' || substr(md5('1|' || o_orderkey), 1, 15))::bigint"
+
+
+@query("stratified_split", f"""
+select o_orderkey, o_orderpriority, row_number() over (partition by o_orderpriority order by {_HASH}, o_orderkey)
+  <= round(count(*) over (partition by o_orderpriority) * 0.25) as is_test from orders""")
 def stratified_split(spark, sf):
-    split = D.stratified_split(table(spark, sf, "orders"), "o_orderpriority", ["o_orderkey"])
-    return split.groupBy(F.col("o_orderpriority").alias("label")).agg(
-        F.count_if("is_test").alias("test_rows"), F.count("*").alias("all_rows"))
+    return D.stratified_split(table(spark, sf, "orders"), "o_orderpriority", ["o_orderkey"]).select(
+        "o_orderkey", "o_orderpriority", "is_test")
 
 
-@query("random_split")
+@query("random_split", f"select o_orderkey, ({_HASH} % 1048576) / 1048576.0::double >= 0.9::double as is_test from orders")
 def random_split(spark, sf):
-    return D.random_split(table(spark, sf, "orders"), ["o_orderkey"]).groupBy("is_test").count()
+    return D.random_split(table(spark, sf, "orders"), ["o_orderkey"]).select("o_orderkey", "is_test")
 
 
-@query("shuffle_seeded", "select o_orderkey, o_orderpriority from orders")
+@query("shuffle_seeded", f"""
+select o_orderkey, o_orderpriority, row_number() over (order by {_HASH}, o_orderkey) - 1 as place from orders""")
 def shuffle_seeded(spark, sf):
-    return D.shuffled(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderkey"])
+    """The shuffled rows with their places in the result, numbered partition by partition."""
+    ordered = D.shuffled(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderkey"])
+    placed = ordered.select("*", F.lit(0).alias("all"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    counted = running_totals(write_and_read(placed, "shuffled"), ["all"], "part", ["at"], {"rows": F.lit(1).cast("long")})
+    return counted.select("o_orderkey", "o_orderpriority", F.col("before_rows").alias("place"))
 
 
 @query("class_cap", """select o_orderpriority as target_class, count(*) as flows, least(count(*), 3000) as to_generate

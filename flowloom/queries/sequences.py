@@ -297,6 +297,53 @@ def markov_sample(spark, sf):
     return drawn.select("target_class", "seq_id", *X.to_wide(F.col("packets"), length - 2))
 
 
+_UNIT = "(('0x' || substr(md5('1|{salt}|' || {c} || '|' || {seq} || '|' || {pos}), 1, 15))::bigint >> 8) / 4503599627370496.0::double"
+
+
+def _unit(salt, c, seq, pos):
+    return _UNIT.format(salt=salt, c=c, seq=seq, pos=pos)
+
+
+_WALK = _TOKENS + "," + _PAIRS + f""",
+class_size as (select target_class, least(count(*), 20000) as n from tokens group by 1),
+slots as (select target_class, unnest(range(n)) as seq_id from class_size),
+starts as (
+  select target_class, state, sum(cnt) over w - cnt as lo, sum(cnt) over w as hi, sum(cnt) over (partition by target_class) as total
+  from (select target_class, input_ids[1] as state, count(*) as cnt from tokens group by 1, 2)
+  window w as (partition by target_class order by state rows unbounded preceding)),
+moves as (
+  select m.target_class, "from", "to", sum(cnt) over w - cnt as lo, sum(cnt) over w as hi,
+    sum(cnt) over (partition by m.target_class, "from") as total, n
+  from (select target_class, "from", "to", count(*) as cnt from pairs group by 1, 2, 3) m join states using (target_class)
+  window w as (partition by m.target_class, "from" order by "to" rows unbounded preceding)),
+places as (
+  select target_class, s, row_number() over (partition by target_class order by s) - 1 as at, count(*) over (partition by target_class) as n
+  from (select distinct target_class, unnest(input_ids) as s from tokens)),
+walk as (
+  select t.target_class, t.seq_id, 0 as pos, state, [state] as ids
+  from slots t join starts b on b.target_class = t.target_class
+    and floor({_unit(0, "t.target_class", "t.seq_id", "0")} * total) >= lo and floor({_unit(0, "t.target_class", "t.seq_id", "0")} * total) < hi
+  union all
+  select target_class, seq_id, pos, state, list_append(ids, state) from (
+    select w.target_class, w.seq_id, w.pos + 1 as pos, ids, case
+        when m."to" is null or {_unit(1, "w.target_class", "w.seq_id", "(w.pos + 1)")} < m.n * (1e-6::double / (m.total + m.n * 1e-6::double)) then a.s
+        else m."to" end as state
+    from walk w
+      left join moves m on m.target_class = w.target_class and m."from" = w.state
+        and floor({_unit(0, "w.target_class", "w.seq_id", "(w.pos + 1)")} * m.total) >= m.lo
+        and floor({_unit(0, "w.target_class", "w.seq_id", "(w.pos + 1)")} * m.total) < m.hi
+      join places a on a.target_class = w.target_class and a.at = floor({_unit(0, "w.target_class", "w.seq_id", "(w.pos + 1)")} * a.n)
+    where w.pos + 1 < (select max(len(input_ids)) from tokens)) x)"""
+
+
+@query("markov_sample_tokens", lines_sql("""
+select target_class, seq_id, array_to_string(ids, ',') as input_ids from walk
+where pos + 1 = (select max(len(input_ids)) from tokens)""", more=_WALK, recursive=True))
+def markov_sample_tokens(spark, sf):
+    """Sampled sequences row by row: SQL draws the same uniforms and walks the same model."""
+    return _text(_generated(spark, sf)[0].select("target_class", "seq_id", "input_ids"), "input_ids")
+
+
 @query("markov_sample_shape", lines_sql("""
 select t.target_class, count(*) as flows, any_value(first)::integer as first_token,
   min(len(input_ids))::integer as shortest, max(len(input_ids))::integer as longest
