@@ -11,7 +11,7 @@ A null text stays null. Texts of fewer than three such lines stay as they are. A
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowloom.llm.text import SPACED_WORD, row_key
 from flowloom.plans.storage import write_and_read
@@ -21,18 +21,23 @@ _SPACES = " \t\n\x0b\x0c\r"
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """(h, key, no_id, doc_id, at): every window of every row, `at` counting lines with a word from zero."""
+    """(h, g, key, no_id, doc_id, at): every window of every row, `at` counting lines with a word from zero.
+
+    Two hashes, of 128 bits together, name a window: 64 would meet by chance in a corpus of 10^10 lines.
+    """
     lines = docs.select(
         "doc_id", row_key("doc_id", "text").alias("key"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(SPACED_WORD)).alias("__lines"),
     ).where(F.size("__lines") >= LINES)
-    hashed = lines.withColumn("__hashes", F.transform("__lines", lambda x: F.xxhash64(x)))
-    joined = F.transform(
-        F.slice("__hashes", 1, F.size("__hashes") - (LINES - 1)),
-        lambda x, i: F.xxhash64(x, *[F.get("__hashes", i + k) for k in range(1, LINES)]),
-    )
-    return hashed.select("doc_id", "key", F.posexplode(joined).alias("at", "h")).select(
-        "h", "key", F.col("doc_id").isNull().alias("no_id"), "doc_id", "at"
+    hashed = lines.withColumn("__hashes", F.transform("__lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"))))
+
+    def window(x: Column, i: Column) -> Column:
+        own = [x, *[F.get("__hashes", i + k) for k in range(1, LINES)]]
+        return F.struct(F.xxhash64(*[line["h"] for line in own]).alias("h"), F.xxhash64(*[line["g"] for line in own]).alias("g"))
+
+    joined = F.transform(F.slice("__hashes", 1, F.size("__hashes") - (LINES - 1)), window)
+    return hashed.select("doc_id", "key", F.posexplode(joined).alias("at", "w")).select(
+        "w.h", "w.g", "key", F.col("doc_id").isNull().alias("no_id"), "doc_id", "at"
     )
 
 
@@ -43,10 +48,10 @@ def removals(docs: DataFrame) -> DataFrame:
     """
     found = write_and_read(windows(docs), "windows")
     place = F.struct("no_id", "doc_id", "key", "at")
-    repeated = found.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(
-        F.col("h").alias("__h"), F.col("first.key").alias("__key"), F.col("first.at").alias("__at")
+    repeated = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(
+        F.col("h").alias("__h"), F.col("g").alias("__g"), F.col("first.key").alias("__key"), F.col("first.at").alias("__at")
     )
-    marked = found.join(repeated, F.col("h") == F.col("__h"))
+    marked = found.join(repeated, (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g")))
     same = F.col("key") == F.col("__key")
     start = F.when(same, F.greatest(F.col("at"), F.col("__at") + LINES)).otherwise(F.col("at"))
     covered = marked.where(~(same & (F.col("at") == F.col("__at")))).select("key", start.alias("start"), (F.col("at") + LINES).alias("stop"))
