@@ -76,30 +76,27 @@ def draw(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
     `sized` is read twice, for the counts and for the rows; the rows are shuffled once. Ties in order are broken by __tie.
     """
     tag = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    tagged = sized.withColumn("__tag", tag).withColumn("__slice", F.substring("__tag", 1, 2))
-    slices = write_and_read(tagged.groupBy("source", "size", "__slice").agg(F.count("*").alias("n")), "slices")
-    by_size = slices.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    # a name that is never absent: joins and windows on it share one partitioning
+    name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    tagged = sized.withColumn("__tag", tag).withColumn("__slice", F.substring("__tag", 1, 2)).withColumn("__name", name)
+    place = ["__name", "size", "__slice"]
+    slices = write_and_read(tagged.groupBy("source", *place).agg(F.count("*").alias("n")), "slices")
+    by_size = slices.groupBy("__name", "size").agg(F.sum("n").alias("n"))
     earlier = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    below = by_size.select("source", "size", F.coalesce(F.sum("n").over(earlier(["source"], "size")), F.lit(0)).alias("below"))
-    within = slices.select("source", "size", "__slice", F.coalesce(F.sum("n").over(earlier(["source", "size"], "__slice")), F.lit(0)).alias("within"))
+    below = by_size.select("__name", "size", F.coalesce(F.sum("n").over(earlier(["__name"], "size")), F.lit(0)).alias("below"))
+    within = slices.select(*place, F.coalesce(F.sum("n").over(earlier(["__name", "size"], "__slice")), F.lit(0)).alias("within"))
     totals = write_and_read(slices.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), "sources")
     goals = write_and_read(targets(totals, mix), "targets")
-    starts = within.alias("a").join(
-        below.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size"))
-    ).select(
-        F.col("a.source").alias("__source"), F.col("a.size").alias("__size"), F.col("__slice").alias("__s"), (F.col("below") + F.col("within")).alias("__start")
-    )
-    placed = tagged.join(
-        starts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")) & (F.col("__slice") == F.col("__s"))
-    ).drop("__source", "__size", "__s").withColumn(
-        "__rank", F.col("__start") + F.row_number().over(Window.partitionBy("source", "size", "__slice").orderBy("__tag", "doc_id", "__tie"))
+    starts = within.join(below, ["__name", "size"]).select(*place, (F.col("below") + F.col("within")).alias("__start"))
+    placed = tagged.join(starts, place).withColumn(
+        "__rank", F.col("__start") + F.row_number().over(Window.partitionBy(*place).orderBy("__tag", "doc_id", "__tie"))
     )
     aimed = placed.join(goals, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     upto = lambda rank: F.floor(F.col("__offset") + F.col("__each") * rank)
     return aimed.withColumn("__offset", _offset(mix.seed)).withColumn("__each", each).withColumn(
         "copies", (upto(F.col("__rank")) - upto(F.col("__rank") - 1)).cast("long")
-    ).drop("__tag", "__slice", "__start", "__rank", "__offset", "__each", "__tie")
+    ).drop("__tag", "__name", "__slice", "__start", "__rank", "__offset", "__each", "__tie")
 
 
 def plan(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
