@@ -25,7 +25,7 @@ from flowloom import constants as K
 from flowloom.operators import report as R
 from flowloom.operators.knn import NeighbourClassifier
 from flowloom.plans.running import ranked_by_hash
-from flowloom.plans.storage import write_and_read
+from flowloom.plans.storage import small_side, write_and_read
 
 
 class OneVsOne(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
@@ -103,8 +103,9 @@ class MacroF1(Evaluator):
 def balanced_weights(data: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
     """Add n / (classes * class size)."""
     sizes = data.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
+    sizes = small_side(sizes)
     total = sizes.agg(F.sum("__n").alias("n"), F.count("*").alias("c")).first()
-    return data.join(sizes, data[label] == sizes["__label"]).withColumn(
+    return data.join(sizes, data[label].eqNullSafe(sizes["__label"])).withColumn(
         name, F.lit(float(total["n"] or 0)) / (F.lit(float(total["c"])) * F.col("__n"))).drop("__label", "__n")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -44,7 +45,10 @@ def scale(data: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataFrame:
 
 @dataclass
 class FeatureConfig:
-    """Which columns make up the vector. Missing columns are left out and listed by the fitted featurizer."""
+    """Which columns make up the vector. Missing columns are left out with a warning and listed by the fitted featurizer.
+
+    `derive` may add columns to the data before fitting and before transforming; those named in `derived` join the continuous ones.
+    """
 
     packet_num: int = K.PACKET_LIMIT
     continuous: Sequence[str] | None = None
@@ -54,12 +58,17 @@ class FeatureConfig:
     raw: bool = True
     gaps: bool = False
     target: str = K.TARGET_CLASS
+    derive: Callable[[DataFrame], DataFrame] | None = None
+    derived: Sequence[str] = ()
 
     def continuous_columns(self) -> list[str]:
         if self.continuous is not None:
-            return list(self.continuous)
+            return [*self.continuous, *self.derived]
         bases = ("bulk", "packet") + (("iat",) if self.gaps else ())
-        return [side + name for side in (K.CLIENT, K.SERVER) for name in continuous_names(bases)]
+        return [side + name for side in (K.CLIENT, K.SERVER) for name in continuous_names(bases)] + list(self.derived)
+
+    def with_derived(self, data: DataFrame) -> DataFrame:
+        return self.derive(data) if self.derive else data
 
     def categorical_columns(self) -> list[str]:
         chosen = ["ip_proto"] if self.categorical is None else list(self.categorical)
@@ -85,12 +94,15 @@ class Featurizer:
     columns: tuple[list[str], list[str], list[str]] = ((), (), ())
 
     def fit(self, data: DataFrame) -> "Featurizer":
-        found = []
+        data = self.config.with_derived(data)
+        found, self.missing = [], []
         for wanted in (self.config.continuous_columns(), self.config.categorical_columns(),
                        self.config.raw_feature_columns()):
             present, missing = resolve_columns(data, wanted)
             found.append(present)
             self.missing += missing
+        if self.missing:
+            warnings.warn(f"columns that the data lacks are left out: {', '.join(self.missing)}", stacklevel=2)
         self.columns = tuple(found)
         continuous, categorical, raw = self.columns
         prepared = self._prepare(data)
@@ -116,7 +128,7 @@ class Featurizer:
 
     def transform(self, data: DataFrame) -> DataFrame:
         """Add `features` (and `label` where the target column is present)."""
-        out = self.model.transform(scale(self._prepare(data), self.scaler))
+        out = self.model.transform(scale(self._prepare(self.config.with_derived(data)), self.scaler))
         out = out.select(*data.columns, "features")
         if self.encoder is not None and self.config.target in data.columns:
             out = encode_labels(out, self.encoder, self.config.target)

@@ -118,6 +118,7 @@ def stratified_split(
     sizes = flows.groupBy(F.col(label).alias("__label")).agg(
         F.round(F.count("*") * F.lit(test_share)).cast("long").alias("__wanted")
     )
+    sizes = small_side(sizes)
     ranked = ranked_by_hash(flows, [label], ids, seed)
     return ranked.join(sizes, ranked[label].eqNullSafe(sizes["__label"]), "inner").select(
         *flows.columns, (F.col("hash_rank") < F.col("__wanted")).alias("is_test")

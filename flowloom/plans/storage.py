@@ -39,13 +39,15 @@ def write_and_read(df: DataFrame, name: str, partition_by: tuple[str, ...] = ())
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """A side of a join that is usually tiny: literal rows to broadcast when it has at most `limit` rows, else a stored table.
+def small_side(df: DataFrame, limit: int = 100_000, chars: int = 32 << 20) -> DataFrame:
+    """A side of a join that is usually tiny: literal rows to broadcast when it has at most `limit` rows and `chars` characters as text, else a
+    stored table.
 
     Deciding now spares the large side a shuffle that adaptive execution would start before it knows the size.
     """
     stored = write_and_read(df, "side")
-    if stored.count() > limit:
+    size = stored.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    if size[0] > limit or size[1] > chars:
         return stored
     rows = stored.collect()  # size checked above
     return F.broadcast(df.sparkSession.createDataFrame(rows, stored.schema))

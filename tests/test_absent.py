@@ -94,3 +94,17 @@ def test_markov_models_keep_absent_classes_and_count_unknown_ones(spark, tmp_pat
     wanted = spark.createDataFrame([("a", 20)], "target_class string, n long")
     again = M.MarkovModel.load(spark, str(tmp_path / "m"))
     assert sorted(map(str, again.sample(wanted).collect())) == sorted(map(str, model.sample(wanted).collect()))
+
+
+def test_features_derived_missing_and_refitted(spark):
+    from flowloom.operators import features as M
+
+    data = spark.createDataFrame([(1.0, 2.0, "a"), (3.0, 5.0, "b"), (4.0, 1.0, "a")], "x double, y double, target_class string")
+    config = M.FeatureConfig(continuous=["x", "gone"], categorical=[], tcp_flags=False, fingerprints=False, raw=False,
+                             derive=lambda d: d.withColumn("sum", F.col("x") + F.col("y")), derived=["sum"])
+    made = M.Featurizer(config)
+    for _ in range(2):
+        with pytest.warns(UserWarning, match="gone"):
+            made.fit(data)
+        assert made.missing == ["gone"]
+    assert all(len(r.features) == 2 for r in made.transform(data).collect())
