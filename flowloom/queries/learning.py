@@ -222,6 +222,16 @@ for _key, _name, _params in (
     query(_key, _FOUND)(_classifier(_name, **_params))
 
 
+@query("knn_lsh_recall", "select count(*) as queries, true as reached from customer where c_custkey % 4 = 0")
+def knn_lsh_recall(spark, sf):
+    """Hash tables chosen from a recall target find the exact nearest keys of customers."""
+    keys, queries = _split(spark, sf)
+    exact = N.nearest(queries, keys)
+    found = N.nearest_lsh(queries, keys, recall_target=0.995)
+    recall = N.recall(found, exact).withColumn("queries", F.lit(queries.count()).cast("long"))
+    return recall.select("queries", (F.col("recall") >= 0.995).alias("reached"))
+
+
 @query("classify_grid", _FOUND)
 def classify_grid(spark, sf):
     """The best of several trees by cross-validation."""

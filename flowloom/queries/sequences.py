@@ -123,7 +123,7 @@ def codebook_step(spark, sf):
 
 @query("codebook_kmeans")
 def codebook_kmeans(spark, sf):
-    return Q.fit_codebook(line_packets(spark, sf), k=32, max_iter=5).table()
+    return Q.fit_codebook(line_packets(spark, sf), k=256).table()
 
 
 def _text(df, *names):
