@@ -6,7 +6,7 @@ import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
