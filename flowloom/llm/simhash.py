@@ -190,7 +190,11 @@ def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame
 
     A row without doc_id stays only if no row of its group has one.
     """
-    found = write_and_read(near_duplicates(docs, words=words, bits=bits, with_key=True), "groups")
+    return first_of_each(docs, write_and_read(near_duplicates(docs, words=words, bits=bits, with_key=True), "groups"))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of `docs` that `keep_one` keeps of the groups in `found` (doc_id, key, root)."""
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")).select("first.key")
     gone = found.join(first, "key", "left_anti").select(F.col("key").alias("__gone")).distinct()
     kept = docs.withColumn("__key", row_key("doc_id", "text")).join(gone, F.col("__key") == F.col("__gone"), "left_anti")
