@@ -39,6 +39,11 @@ def op5_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(_table(spark, sf_dir, "documents"))
 
 
+def op5_backoff_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word trigrams, with the count table left partitioned by hash."""
+    return ngram_lm.score(_table(spark, sf_dir, "documents"), unit="word", send_rows=0)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality": op3_quality,
     "op4_chat": op4_chat,
     "op5_backoff": op5_backoff,
+    "op5_backoff_words": op5_backoff_words,
     "op6_decontaminate": op6_decontaminate,
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
@@ -82,6 +88,7 @@ ORACLES: dict[str, str] = {
     "op3_quality": sql.QUALITY,
     "op4_chat": sql.CHAT,
     "op5_backoff": sql.BACKOFF,
+    "op5_backoff_words": sql.BACKOFF_WORDS,
     "op6_decontaminate": sql.DECONTAMINATE,
     "op8_mixing": sql.MIXING,
     "op10_line_dedup": sql.LINE_DEDUP,

@@ -172,3 +172,9 @@ scored as (
   from rest group by r)
 select doc_id, coalesce(n_tokens, 0) as n_tokens, round(score, 6) as score from d left join scored using (r)
 """
+
+#: The same over words.
+BACKOFF_WORDS = BACKOFF.replace(
+    "unnest(regexp_extract_all(x, '(?s).')) as c, unnest(range(length(x))) as i from d",
+    "unnest(string_split(x, ' ')) as c, unnest(range(len(string_split(x, ' ')))) as i from d where x <> ''",
+)
