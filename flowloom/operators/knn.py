@@ -26,6 +26,8 @@ BLOCK_ROWS = 8192
 BROADCAST_NUMBERS = 1 << 24
 BUCKET_KEYS = 128
 MOST_BITS = 16
+#: Queries that the angle of neighbours is measured on, and hash tables beyond which an exact search copies less.
+ANGLE_SAMPLE, MOST_TABLES = 64, 128
 FOUND = "query_id {query}, key_id {key}, label {label}, distance double, rank int"
 
 # Digits to which distances are compared, so that equal vectors tie.
@@ -185,12 +187,14 @@ def nearest_lsh(
     queries: DataFrame, keys: DataFrame, k: int = 1, query_id: str = "id", key_id: str = "id", vector: str = "features",
     label: str | None = None, skip_same: bool = False, tables: int | None = None, bits: int | None = None,
     search_epsilon: float = 0.0, seed: int = K.RANDOM_SEED, block_rows: int = BLOCK_ROWS, recall_target: float = 0.995,
-    near_angle: float = 20.0,
+    near_angle: float | None = 20.0,
 ) -> DataFrame:
     """Approximate cosine neighbours: keys that share a hash code in some table, ranked by exact distance.
 
     Without `bits` the code length grows with the number of keys up to `MOST_BITS`, so that buckets keep their size. Without
     `tables` there are as many as find a neighbour within `near_angle` degrees with probability `recall_target`, whatever the bits.
+    With `near_angle=None` it is the largest angle of a k-th neighbour over `ANGLE_SAMPLE` queries that are searched exactly; where that
+    asks for more than `MOST_TABLES` tables, all queries are.
 
     A bucket of any size is searched: it is cut into blocks of keys and of queries, and each block pair returns k rows
     per query. Queries that find fewer than k candidates are searched exactly.
@@ -205,6 +209,10 @@ def nearest_lsh(
     if bits is None:
         bits = min(MOST_BITS, max(4, math.ceil(math.log2(n_keys / BUCKET_KEYS + 1))))
     if tables is None:
+        if near_angle is None:
+            near_angle = measured_angle(q, t, k, skip_same)
+            if tables_for(bits, recall_target, near_angle) > MOST_TABLES:
+                return nearest(q, t, k, vector="v", label="label", skip_same=skip_same)
         tables = tables_for(bits, recall_target, near_angle)
     hashed_q, hashed_t = lsh_candidates(q, t, tables, bits, seed, search_epsilon)
     parts = lambda side, name: side.groupBy("tab", "code").agg(
@@ -228,9 +236,19 @@ def nearest_lsh(
     return found.join(complete, "query_id", "left_semi").select(*exact.columns).unionByName(exact)
 
 
+def measured_angle(q: DataFrame, t: DataFrame, k: int, skip_same: bool) -> float:
+    """The largest angle between a query and its k-th key, over a sample of queries; 0 if there is none."""
+    sample = q.orderBy(F.xxhash64("id"), "id").limit(ANGLE_SAMPLE)
+    found = nearest(sample, t, k, vector="v", label="label", skip_same=skip_same)
+    distance = found.agg(F.max("distance")).first()[0] or 0.0
+    return math.degrees(math.acos(max(-1.0, min(1.0, 1 - distance))))
+
+
 def tables_for(bits: int, recall_target: float, near_angle: float) -> int:
     """Hash tables after which a vector at the given angle has shared a code of so many bits with the wanted probability."""
     same = (1 - near_angle / 180) ** bits
+    if same in (0.0, 1.0):
+        return 1 if same else MOST_TABLES + 1
     return max(1, math.ceil(math.log(1 - recall_target) / math.log(1 - same)))
 
 

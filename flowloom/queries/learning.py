@@ -70,13 +70,13 @@ def knn_vote(spark, sf):
 @query("knn_lsh")
 def knn_lsh(spark, sf):
     v = _vectors(spark, sf)
-    return _neighbours(N.nearest_lsh(v, v, 3, label="label", skip_same=True, tables=8, bits=4))
+    return _neighbours(N.nearest_lsh(v, v, 3, label="label", skip_same=True, near_angle=None))
 
 
 @query("knn_lsh_probing")
 def knn_lsh_probing(spark, sf):
     v = _vectors(spark, sf)
-    return _neighbours(N.nearest_lsh(v, v, 3, label="label", skip_same=True, tables=4, bits=6, search_epsilon=0.05))
+    return _neighbours(N.nearest_lsh(v, v, 3, label="label", skip_same=True, search_epsilon=0.05, near_angle=None))
 
 
 @query("confusion", _knn_sql(_COS, 5) + _VOTED + ' select label as "true", prediction as predicted, count(*) as n from pairs group by 1, 2')
@@ -231,6 +231,20 @@ def knn_lsh_recall(spark, sf):
     return recall.select("queries", (F.col("recall") >= 0.995).alias("reached"))
 
 
+@query("knn_lsh_recall_embeddings", """
+select setting, count(*) as queries, true as reached from embeddings, (values ('plain'), ('probing')) s(setting) group by 1""")
+def knn_lsh_recall_embeddings(spark, sf):
+    """Both registered searches over embeddings find nine in ten of the exact nearest keys."""
+    v = _vectors(spark, sf)
+    exact = write_and_read(N.nearest(v, v, 3, label="label", skip_same=True), "exact")
+    parts = [
+        N.recall(search(spark, sf), exact).select(
+            F.lit(name).alias("setting"), F.lit(v.count()).cast("long").alias("queries"), (F.col("recall") >= 0.9).alias("reached"))
+        for name, search in (("plain", knn_lsh), ("probing", knn_lsh_probing))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query("classify_grid", _FOUND)
 def classify_grid(spark, sf):
     """The best of several trees by cross-validation."""
