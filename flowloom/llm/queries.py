@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from flowloom.llm import chat, decontaminate, langid, line_dedup, mixing, ngram_lm, quality, secret_scan, simhash, sql, surrogates
+from flowloom.llm import (
+    centroids, chat, decontaminate, exact_dedup, langid, line_dedup, merkle, mixing, ngram_lm, quality, secret_scan, simhash, sql, surrogates,
+)
 from flowloom.llm.text import SPACED_WORD
 from flowloom.queries.registry import Query
 
@@ -69,6 +71,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", F.coalesce("__removed", F.lit(0)).cast("long").alias("n_removed"), "text")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings")).drop("compared")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
     "op1_simhash": op1_simhash,
@@ -82,6 +96,9 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_surrogates": op9_surrogates,
     "op10_line_dedup": op10_line_dedup,
+    "op11_centroids": op11_centroids,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
@@ -92,4 +109,7 @@ ORACLES: dict[str, str] = {
     "op6_decontaminate": sql.DECONTAMINATE,
     "op8_mixing": sql.MIXING,
     "op10_line_dedup": sql.LINE_DEDUP,
+    "op11_centroids": sql.CENTROIDS,
+    "op12_exact_dedup": sql.EXACT_DEDUP,
+    "op13_merkle": sql.MERKLE,
 }

@@ -178,3 +178,93 @@ BACKOFF_WORDS = BACKOFF.replace(
     "unnest(regexp_extract_all(x, '(?s).')) as c, unnest(range(length(x))) as i from d",
     "unnest(string_split(x, ' ')) as c, unnest(range(len(string_split(x, ' ')))) as i from d where x <> ''",
 )
+
+EXACT_DEDUP = r"""
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+  row_number() over (partition by coalesce(text, '') order by doc_id desc nulls last) = 1 as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window same as (partition by coalesce(text, ''))
+"""
+
+
+def _merkle(levels: int = 5) -> str:
+    """Trees of up to 16 ** `levels` leaves, one step of each level written out."""
+    field = lambda x: f"coalesce(strlen({x}::varchar) || ':' || {x}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+    def tree(name: str) -> str:
+        """From {name}0 (g, pos, h, size) the levels above it, and {name}s0 ... with what lies left and right of each node."""
+        parts = []
+        for i in range(levels):
+            run = "partition by g, pos // 16 order by pos rows between"
+            parts.append(f"""{name}s{i} as (
+  select g, pos, size, coalesce(string_agg(h, '') over ({run} unbounded preceding and 1 preceding), '') as l,
+    coalesce(string_agg(h, '') over ({run} 1 following and unbounded following), '') as r from {name}{i} where size > 1),
+{name}{i + 1} as (
+  select g, pos // 16 as pos, case when size > 1 then sha256(string_agg(h, '' order by pos)) else any_value(h) end as h, (size + 15) // 16 as size
+  from {name}{i} group by g, pos // 16, size)""")
+        return ",\n".join(parts)
+
+    def folded(name: str, start: str, pos: str, group: str) -> str:
+        parts = []
+        for i in range(levels):
+            before = start if i == 0 else f"{name}f{i - 1}"
+            parts.append(f"""{name}f{i} as (
+  select f.* replace (case when s.g is null then acc else sha256(l || acc || r) end as acc, sibs || coalesce(l || r, '') as sibs)
+  from {before} f left join {name}s{i} s on s.g = f.{group} and s.pos = f.{pos} // {16 ** i})""")
+        return ",\n".join(parts)
+
+    return f"""
+with crcs as (
+  select list(list_reduce([n]::bigint[] || [0, 0, 0, 0, 0, 0, 0, 0]::bigint[],
+    lambda c, k: case when (c & 1) = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end) order by n) as tab from range(256) t(n)),
+leafs as (
+  select doc_id, coalesce('=' || source, '') as g, {leaf("text")} as leaf,
+    {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as lowered,
+    xor(list_reduce([4294967295]::bigint[] || list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint),
+      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295::bigint) as crc
+  from documents, crcs),
+placed as (
+  select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by g) as n from leafs),
+a0 as (select g, pos, leaf as h, n as size from placed),
+{tree("a")},
+sources as (select g as source, h, row_number() over (order by g) - 1 as pos, count(*) over () as n from a{levels}),
+b0 as (select '' as g, pos, h, n as size from sources),
+{tree("b")},
+start as (
+  select p.doc_id, p.leaf, p.g, p.pos, s.pos as at, '' as top, s.h as subroot, case when crc % 5 = 0 then lowered else leaf end as acc, '' as sibs
+  from placed p join sources s on p.g = s.source),
+{folded("a", "start", "pos", "g")},
+{folded("b", f"af{levels - 1}", "at", "top")}
+select doc_id, leaf, subroot, (select h from b{levels}) as root, sha256(sibs) as proof_sha256, acc as folded_root, acc = (select h from b{levels}) as verified
+from bf{levels - 1}
+"""
+
+
+MERKLE = _merkle()
+
+
+def _centroids(k: int = 40, rounds: int = 5, seed: int = 2) -> str:
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as materialized (
+  select rn, min(struct_pack(d := list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, c := c.c)) as m
+  from kept k, c{i} c group by rn)""")
+        if i < rounds:
+            steps.append(f"""s{i} as (
+  select c, list((s - ((s % n) + n) % n) // n order by j) as v from (
+    select c, j, sum(x) as s, count(*) as n from (select m.c as c, unnest(v) as x, unnest(range(len(v))) as j from a{i} join kept using (rn)) group by c, j) group by c),
+c{i + 1} as materialized (select c{i}.c, coalesce(s{i}.v, c{i}.v)::bigint[] as v from c{i} left join s{i} using (c))""")
+    return f"""
+with kept as materialized (
+  select row_number() over () as rn, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as materialized (
+  select row_number() over (order by sha256('{seed}:' || vec_id) nulls last, v) - 1 as c, v from kept order by sha256('{seed}:' || vec_id) nulls last, v limit {k}),
+{", ".join(steps)}
+select vec_id, m.c::int as cluster, m.d as distance, sum(m.d) over (partition by m.c)::bigint as cluster_inertia, sum(m.d) over ()::bigint as inertia,
+  sha256(array_to_string(c{rounds}.v, ',')) as centroid_sha256
+from a{rounds} join kept using (rn) join c{rounds} on c{rounds}.c = m.c
+"""
+
+
+CENTROIDS = _centroids()

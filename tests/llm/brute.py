@@ -31,6 +31,22 @@ def components(fps, bits=3):
         label = new
 
 
+def similar_texts(texts):
+    """For each text the index of the first one that similar pairs reach."""
+    def words(text):
+        found = (text or "").lower().split()
+        return {tuple(found[i:i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
+
+    sets = [words(t) for t in texts]
+    label = list(range(len(sets)))
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if 5 * len(a & b) >= 4 * len(a | b) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
 def base_secrets(text):
     found = []
     keyword = r"(password|passwd|secret|token|api_?key)"
@@ -50,7 +66,7 @@ def ask(query, **tables):
 
 
 def pipeline(documents, labels, benchmark):
-    """The rows of all five stages, from the operators' SQL and plain fingerprints."""
+    """The rows of all five stages, from the operators' SQL and all pairs of shingle sets."""
     kept = ask(sql.QUALITY, documents=documents, labels=labels)
     docs = documents[documents.doc_id.isin(kept[kept.kept].doc_id)].reset_index(drop=True)
     cut = ask(sql.LINE_DEDUP, documents=docs).set_index("doc_id").loc[docs.doc_id]
@@ -58,7 +74,7 @@ def pipeline(documents, labels, benchmark):
     docs["text"] = cut.text.to_numpy()
     docs["n_chars"] = np.where(changed, docs.text.str.len(), docs.n_chars)
     docs = docs.sort_values("doc_id").reset_index(drop=True)
-    label = components([fingerprint(t) for t in docs.text])
+    label = np.array(similar_texts(docs.text))
     docs = docs[label == np.arange(len(docs))].reset_index(drop=True)
     found = ask(sql.DECONTAMINATE, documents=docs, benchmark=benchmark)
     docs = docs[~docs.doc_id.isin(found[found.contaminated].doc_id)].reset_index(drop=True)
