@@ -39,7 +39,8 @@ def _split(rows: DataFrame, width: int, level: int) -> tuple[DataFrame, bool]:
     ), "radix-groups")
     same = (F.col("group") == F.col("of")) & (F.col("digit") == F.col("shown")) & (F.col("ended") == F.col("whole"))
     alone, open_ = F.col("node").isNull(), F.col("node").isNotNull() & ~F.col("ended")
-    split = cut.join(groups, same, "left").select(
+    # always by sorting: a broadcast would end at some size, and the shuffle would then begin at once
+    split = cut.join(groups.hint("merge"), same, "left").select(
         "doc_id", "carried", F.lit(level).alias("level"), "node", F.monotonically_increasing_id().alias("row"), F.coalesce("n", F.lit(1)).alias("n"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("largest")).alias("largest"), open_.alias("open"), F.when(open_, F.col("rest")).alias("rest"),
     )
