@@ -136,7 +136,7 @@ CLASSIFIERS: dict[str, Callable[..., Estimator]] = {
     "KNeighborsClassifier": lambda **p: NeighbourClassifier(method="euclidean", **p),
     "KNeighborsCosineClassifier": lambda **p: NeighbourClassifier(method="cosine", **p),
     "KNeighborsPuffinnClassifier": lambda **p: NeighbourClassifier(method="lsh", **p),
-    "KNeighborsNGTClassifier": lambda **p: NeighbourClassifier(method="lsh", **{"searchEpsilon": 0.1, **p}),
+    "KNeighborsNGTClassifier": lambda **p: NeighbourClassifier(method="graph", **{"searchEpsilon": 0.1, **p}),
 }
 
 

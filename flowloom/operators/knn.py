@@ -279,10 +279,10 @@ def vote(neighbours: DataFrame) -> DataFrame:
 class _NeighbourParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     nNeighbors = Param(Params._dummy(), "nNeighbors", "neighbours that vote", TypeConverters.toInt)
     idCol = Param(Params._dummy(), "idCol", "unique row id of any type", TypeConverters.toString)
-    method = Param(Params._dummy(), "method", "cosine, euclidean or lsh", TypeConverters.toString)
+    method = Param(Params._dummy(), "method", "cosine, euclidean, lsh or graph", TypeConverters.toString)
     tables = Param(Params._dummy(), "tables", "hash tables; 0 takes as many as the recall target needs", TypeConverters.toInt)
     bits = Param(Params._dummy(), "bits", "sign bits per table; 0 takes them from the number of keys", TypeConverters.toInt)
-    searchEpsilon = Param(Params._dummy(), "searchEpsilon", "margin within which bits are tried both ways", TypeConverters.toFloat)
+    searchEpsilon = Param(Params._dummy(), "searchEpsilon", "margin within which bits are tried both ways (lsh) or by which walks reach beyond the k-th best (graph)", TypeConverters.toFloat)
 
 
 class NeighbourClassifier(Estimator, _NeighbourParams):
@@ -303,7 +303,7 @@ class NeighbourClassifier(Estimator, _NeighbourParams):
 class NeighbourModel(Model, _NeighbourParams):
     def __init__(self, keys: DataFrame | None = None):
         super().__init__()
-        self.keys = keys
+        self.keys, self.graph = keys, None
 
     def neighbours(self, dataset: DataFrame) -> DataFrame:
         get = self.getOrDefault
@@ -312,6 +312,12 @@ class NeighbourModel(Model, _NeighbourParams):
         if get("method") == "lsh":
             return nearest_lsh(dataset, self.keys, tables=get("tables") or None, bits=get("bits") or None,
                                search_epsilon=get("searchEpsilon"), **common)
+        if get("method") == "graph":
+            from flowloom.operators import neighbour_graph  # it builds on this module
+
+            if self.graph is None:
+                self.graph = neighbour_graph.build(self.keys, get("idCol"), self.getFeaturesCol(), self.getLabelCol())
+            return neighbour_graph.search(self.graph, dataset, get("nNeighbors"), get("idCol"), self.getFeaturesCol(), search_epsilon=get("searchEpsilon") or None)
         return nearest(dataset, self.keys, metric=get("method"), **common)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from flowloom.operators import classify as C, features as M, fidelity as E, knn as N, prepare as D, report as R
+from flowloom.operators import classify as C, features as M, fidelity as E, knn as N, neighbour_graph as G, prepare as D, report as R
 from flowloom.plans.storage import write_and_read
 from flowloom.queries.inputs import classes, line_flows, lines_sql, table
 from flowloom.queries.registry import query
@@ -245,6 +245,32 @@ def knn_lsh_recall_embeddings(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+def _graph_walk(spark, sf):
+    """The graph over all vectors, and the walks of every twentieth of them."""
+    v = _vectors(spark, sf)
+    graph, asked = G.build(v, label="label"), v.filter("id % 20 = 0")
+    return graph, asked, G.walk(graph, asked, 3, skip_same=True, recall_target=0.92)
+
+
+@query("knn_graph")
+def knn_graph(spark, sf):
+    graph, _, met = _graph_walk(spark, sf)
+    return _neighbours(G.best_of(graph, met, 3))
+
+
+@query("knn_graph_recall", """
+select count(*) filter (where vec_id % 20 = 0) as queries, (count(*) filter (where vec_id % 20 = 0) * (count(*) - 1))::bigint as all_pairs,
+  true as reached, true as under_half from embeddings""")
+def knn_graph_recall(spark, sf):
+    """Walks find nine in ten of the exact nearest keys and measure fewer than half of all pairs."""
+    graph, asked, met = _graph_walk(spark, sf)
+    exact = N.nearest(asked, _vectors(spark, sf), 3, label="label", skip_same=True)
+    found = N.recall(G.best_of(graph, met, 3), exact)
+    n, pairs = asked.count(), met.count()
+    every = n * (graph.keys.count() - 1)
+    return found.select(F.lit(n).cast("long").alias("queries"), F.lit(every).cast("long").alias("all_pairs"), (F.col("recall") >= 0.9).alias("reached"), F.lit(2 * pairs < every).alias("under_half"))
+
+
 @query("classify_grid", _FOUND)
 def classify_grid(spark, sf):
     """The best of several trees by cross-validation."""
