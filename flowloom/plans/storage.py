@@ -36,7 +36,18 @@ def write_and_read(df: DataFrame, name: str, partition_by: tuple[str, ...] = ())
     path = scratch_path(df.sparkSession, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of `write_and_read` that nothing will read again; anything else is left alone."""
+    for table in tables:
+        if (path := getattr(table, "stored_at", None)) is not None:
+            context = table.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def small_side(df: DataFrame, limit: int = 100_000, chars: int = 32 << 20) -> DataFrame:
