@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from flowloom.plans.storage import write_and_read
+from flowloom.plans.storage import discard, write_and_read
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,8 +34,9 @@ def connected(edges: DataFrame) -> DataFrame:
     current = write_and_read(tidy, "stars")
     state = _state(current)
     while state[0]:
-        current = write_and_read(_small_star(_large_star(current).distinct()).distinct(), "stars")
+        last, current = current, write_and_read(_small_star(_large_star(current).distinct()).distinct(), "stars")
         before, state = state, _state(current)
+        discard(last)
         if before == state:
             break
     nodes = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
