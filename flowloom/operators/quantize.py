@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from flowloom import constants as K
 from flowloom.functions import scaling as Z
 from flowloom.operators.packets import present_packets
+from flowloom.plans.storage import discard, write_and_read
 
 CODEBOOK_SCHEMA = "cluster_id int, c_ps double, c_ipt double"
 MAX_CODEBOOK = 1 << 20
 INLINE_CODEBOOK = 64
+#: Candidates that a round of seeding draws, as a share of the wanted centres.
+SEEDS_PER_ROUND = 0.5
 
 
 def scale_packets(series: DataFrame) -> DataFrame:
@@ -210,34 +213,140 @@ class Codebook:
             Z.unscaled_ps(x).alias("ps"), Z.unscaled_ipt(y).alias("ipt")))).cast(pair)
 
 
+def _weighted(series: DataFrame, flow: Sequence[str] | None) -> DataFrame:
+    """(x, y, w): every distinct scaled packet and how often it occurs; repeated packets are counted before the shuffle."""
+    present = present_packets(series)
+    if flow is not None:
+        several = present.filter("pos = 1").select(*flow).distinct()
+        present = present.join(several, list(flow), "left_semi")
+    scaled = scale_packets(present).select(F.col("s_ps").cast("double").alias("x"), F.col("s_ipt").cast("double").alias("y"))
+    return write_and_read(scaled.where("abs(x) + abs(y) < double('infinity')").groupBy("x", "y").agg(F.count("*").alias("w")), "packets")
+
+
+def _with_nearest(points: DataFrame, centres: np.ndarray) -> DataFrame:
+    """`points` (x, y, w) with the number of the nearest centre and the squared distance to it."""
+    index = points.sparkSession.sparkContext.broadcast(_CellIndex(centres) if len(centres) > INLINE_CODEBOOK else centres)
+
+    @F.pandas_udf("id int, d double")
+    def nearest(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        here, known = np.column_stack([xs.to_numpy(float), ys.to_numpy(float)]), index.value
+        if isinstance(known, np.ndarray):
+            ids, places = ((here[:, None, :] - known[None, :, :]) ** 2).sum(axis=2).argmin(axis=1), known
+        else:
+            ids, places = known.nearest(here), known.centres
+        return pd.DataFrame({"id": ids.astype(np.int32), "d": ((here - places[ids]) ** 2).sum(axis=1)})
+
+    return points.withColumn("near", nearest("x", "y"))
+
+
+def _plus_plus(places: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k of the weighted places, drawn by weight times squared distance to those before; one by one up to 256, beyond that k / 256 at a time."""
+    rng = np.random.default_rng(seed)
+    chosen, near = np.zeros(0, np.int64), np.where(weights > 0, 1.0, 0.0)
+    while len(chosen) < k:
+        share = near * weights
+        many = min(max(1, k // 256) if len(chosen) else 1, k - len(chosen), np.count_nonzero(share))
+        if not many:
+            break
+        new = rng.choice(len(places), many, replace=False, p=share / share.sum())
+        apart = np.min([((places - c) ** 2).sum(axis=1) for c in places[new]], axis=0)
+        near = apart if not len(chosen) else np.minimum(near, apart)
+        chosen = np.concatenate([chosen, new])
+    return places[chosen]
+
+
+def seed_centres(points: DataFrame, k: int, seed: int = K.RANDOM_SEED, rounds: int = 5) -> np.ndarray:
+    """Start centres by oversampling (k-means||): in each round every point becomes a candidate with a probability of SEEDS_PER_ROUND * k times its share of the error that is left.
+
+    Candidates, about SEEDS_PER_ROUND * k per round whatever the number of points, are weighted by the packets nearest to them, and k of them are drawn.
+    Draws depend on seed, round and point only. At most k points are all centres.
+    """
+    if points.count() <= k:
+        return np.array([[r.x, r.y] for r in points.orderBy("x", "y").select("x", "y").collect()]).reshape(-1, 2)  # at most k rows
+    draw = lambda turn: F.pmod(F.xxhash64("x", "y", F.lit(seed), F.lit(turn)), F.lit(1 << 52)) / float(1 << 52)
+    new = np.array([[r.x, r.y] for r in points.orderBy(draw(0), "x", "y").limit(1).select("x", "y").collect()])
+    candidates, told, turn = new, points.select("x", "y", "w", F.lit(-1).alias("id"), F.lit(float("inf")).alias("d")), 0
+    while True:
+        # points keep their nearest candidate so far, so each round looks at its own candidates only
+        here = _with_nearest(told, new)
+        nearer, first = F.col("near.d") < F.col("d"), len(candidates) - len(new)
+        last, told = told, write_and_read(here.select(
+            "x", "y", "w", F.when(nearer, F.col("near.id") + first).otherwise(F.col("id")).alias("id"), F.when(nearer, F.col("near.d")).otherwise(F.col("d")).alias("d")), "near")
+        discard(last)
+        total = told.agg(F.sum(F.col("d") * F.col("w"))).first()[0]
+        if not total or turn >= rounds and len(candidates) >= k:
+            break
+        turn += 1
+        drawn = told.where((F.col("d") > 0) & (draw(turn) * total < F.col("d") * F.col("w") * (SEEDS_PER_ROUND * k))).select("x", "y").collect()  # SEEDS_PER_ROUND * k on average
+        new = np.array([[r.x, r.y] for r in drawn]).reshape(-1, 2)
+        if not len(new):
+            new = np.array([[r.x, r.y] for r in told.orderBy(F.desc(F.col("d") * F.col("w")), "x", "y").limit(1).select("x", "y").collect()])
+        candidates = np.concatenate([candidates, new])
+    weights = np.zeros(len(candidates))
+    for row in told.groupBy("id").agg(F.sum("w").alias("w")).collect():  # one row per candidate
+        weights[row["id"]] = row["w"]
+    discard(told)
+    order = np.lexsort(candidates.T)
+    return _plus_plus(candidates[order], weights[order], k, seed)
+
+
+def _settle(points: DataFrame, start: np.ndarray, counts: np.ndarray, max_iter: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """Lloyd rounds from given centres, each of which already stands for `counts` packets: (centres, packets of each, earlier ones included).
+
+    Ends with centres that lie within `tol` of the mean of what they stand for and have moved at most that far before, or after `max_iter` rounds.
+    """
+    centres, still = start, False
+    for turn in range(max_iter + 1):
+        moved, held = start * counts[:, None], counts.copy()
+        sums = _with_nearest(points, centres).groupBy("near.id").agg(
+            F.sum(F.col("x") * F.col("w")).alias("x"), F.sum(F.col("y") * F.col("w")).alias("y"), F.sum("w").alias("w"))
+        for row in sums.collect():  # at most one row per centre
+            moved[row["id"]] += (row["x"], row["y"])
+            held[row["id"]] += row["w"]
+        moved = np.where(held[:, None] > 0, moved / np.maximum(held, 1)[:, None], start)
+        small = np.sqrt(((moved - centres) ** 2).sum(axis=1)).max() <= tol
+        if turn == max_iter or still and small:
+            return centres, held
+        centres, still = moved, small
+    return centres, counts
+
+
 def fit_codebook(series: DataFrame, k: int = K.CODEBOOK_SIZE, seed: int = K.RANDOM_SEED, max_iter: int = 20,
                  tol: float = 0.01, flow: Sequence[str] | None = ("flow_id",)) -> Codebook:
     """K-means over all packets of multi-packet flows. `series` is the long packet form; `flow=None` takes all its packets.
 
-    With fewer distinct packets than `k` there are as many centres as distinct packets.
+    With fewer distinct packets than `k` there are as many centres as distinct packets. Rounds end when no centre is farther than `tol` from the mean of its packets.
     """
-    present = present_packets(series)
-    if flow is not None:
-        several = present.filter("pos = 1").select(*flow).distinct()
-        present = present.join(several, list(flow), "left_semi")
-    scaled = scale_packets(present).select("s_ps", "s_ipt")
-    vectors = VectorAssembler(inputCols=["s_ps", "s_ipt"], outputCol="features").transform(scaled).select("features")
-    model = KMeans(k=k, seed=seed, tol=tol, maxIter=max_iter, initMode="k-means||").fit(vectors)
-    return Codebook(series.sparkSession, np.array(model.clusterCenters()))
+    return fit_chunks([series], k, seed, max_iter, tol, flow)[0]
+
+
+def fit_chunks(chunks: Iterable[DataFrame], k: int = K.CODEBOOK_SIZE, seed: int = K.RANDOM_SEED, max_iter: int = 20, tol: float = 0.01,
+               flow: Sequence[str] | None = ("flow_id",)) -> tuple[Codebook, np.ndarray]:
+    """A codebook from chunk after chunk, and the packets that each centre stands for.
+
+    The first chunk that has packets gives the start centres. Later chunks go on from the centres so far, which keep the weight of the packets that made them.
+    While there are fewer than `k` centres, a chunk adds its own start centres up to `k`.
+    """
+    centres, counts, spark = np.zeros((0, 2)), np.zeros(0, np.int64), None
+    for chunk in chunks:
+        spark = chunk.sparkSession
+        points = _weighted(chunk, flow)
+        if len(centres) < k:
+            new = seed_centres(points, k - len(centres), seed)
+            there = set(map(tuple, centres))
+            new = np.array([c for c in new if tuple(c) not in there]).reshape(-1, 2)
+            centres, counts = np.concatenate([centres, new]), np.concatenate([counts, np.zeros(len(new), np.int64)])
+        if len(centres):
+            centres, counts = _settle(points, centres, counts, max_iter, tol)
+        discard(points)
+    return Codebook(spark, centres), counts
 
 
 def refine_codebook(series: DataFrame, codebook: Codebook, max_iter: int = 20, tol: float = 0.01) -> Codebook:
     """Continue from given centres on further data: each round is one grouped average; only the centres reach the driver."""
-    for _ in range(max_iter):
-        step = centre_step(series, codebook)
-        moved = codebook.centres.copy()
-        for row in step.collect():  # at most one row per centre
-            moved[row["cluster_id"]] = (row["c_ps"], row["c_ipt"])
-        shift = float(np.sqrt(((moved - codebook.centres) ** 2).sum(axis=1)).max())
-        codebook = Codebook(codebook.spark, moved)
-        if shift <= tol:
-            break
-    return codebook
+    points = _weighted(series, None)
+    centres, _ = _settle(points, codebook.centres, np.zeros(codebook.size, np.int64), max_iter, tol)
+    return Codebook(codebook.spark, centres)
 
 
 def centre_step(series: DataFrame, codebook: Codebook) -> DataFrame:

@@ -123,7 +123,39 @@ def codebook_step(spark, sf):
 
 @query("codebook_kmeans")
 def codebook_kmeans(spark, sf):
-    return Q.fit_codebook(line_packets(spark, sf), k=256).table()
+    """A codebook of the full size, 16,384 centres."""
+    return Q.fit_codebook(line_packets(spark, sf)).table()
+
+
+_SEVERAL = "(select * from scaled where flow_id in (select flow_id from scaled where pos = 1))"
+
+
+@query("codebook_settled", lines_sql(f"""
+select least({K.CODEBOOK_SIZE}, count(*)) as centres, sum(n)::bigint as packets, true as settled
+from (select s_ps, s_ipt, count(*) as n from {_SEVERAL} group by 1, 2)""", more=_SCALED))
+def codebook_settled(spark, sf):
+    """Every centre of the full codebook lies within the tolerance of the mean of its own packets, which are all packets of flows of several."""
+    packets = line_packets(spark, sf)
+    several = packets.join(packets.filter("pos = 1").select("flow_id").distinct(), "flow_id", "left_semi")
+    book, counts = Q.fit_chunks([packets])
+    means = Q.centre_step(several, book).withColumnsRenamed({"c_ps": "m_ps", "c_ipt": "m_ipt"})
+    apart = F.sqrt(F.pow(F.col("c_ps") - F.col("m_ps"), 2) + F.pow(F.col("c_ipt") - F.col("m_ipt"), 2))
+    return book.table().join(means, "cluster_id", "left").agg(
+        F.count("*").alias("centres"), F.lit(int(counts.sum())).alias("packets"), (F.coalesce(F.max(apart), F.lit(0.0)) <= 0.01 + 1e-9).alias("settled"))
+
+
+@query("codebook_chunks", lines_sql(f"""
+select chunk, sum(count(*)) over (order by chunk)::bigint as packets, true as close from (select flow_id % 3 as chunk from {_SEVERAL}) group by 1""", more=_SCALED))
+def codebook_chunks(spark, sf):
+    """256 centres carried from chunk to chunk: after each, they stand for all packets so far and describe these nearly as well as a fit on them at once."""
+    packets, rows = line_packets(spark, sf), []
+    parts = [packets.filter(F.col("flow_id") % 3 == i) for i in range(3)]
+    for i in range(3):
+        book, counts = Q.fit_chunks(parts[:i + 1], k=256)
+        so_far = packets.filter(F.col("flow_id") % 3 <= i)
+        error = [Q.quantizer_error(so_far, b).first()["mae"] for b in (book, Q.fit_codebook(so_far, k=256))]
+        rows.append((i, int(counts.sum()), error[0] <= 1.25 * error[1]))
+    return spark.createDataFrame(rows, "chunk long, packets long, close boolean")
 
 
 def _text(df, *names):

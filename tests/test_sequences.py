@@ -71,6 +71,28 @@ def test_codebook_fit_refine_save(spark, tmp_path):
     assert np.allclose(Q.Codebook.load(spark, str(tmp_path / "book")).centres, refined.centres)
 
 
+def test_codebook_seeds_chunks_and_few_packets(spark):
+    rng = np.random.default_rng(2)
+    spots = np.array([(-1400.0, 1.0), (-200.0, 900.0), (60.0, 5.0), (700.0, 50.0), (1400.0, 2000.0)])
+    rows = [(i // 4, i % 4, *map(float, spots[rng.integers(5)] * rng.normal(1, 0.01, 2))) for i in range(1200)]
+    series = spark.createDataFrame(rows, "flow_id int, pos int, ps double, ipt double")
+    book, counts = Q.fit_chunks([series.filter("flow_id < 150"), series.filter("flow_id >= 150"), series.limit(0)], k=5)
+    assert counts.sum() == 1200 and (counts > 100).all()
+    scaled = np.column_stack([spots[:, 0] / 1500, np.log10(spots[:, 1])])
+    assert all(np.abs(book.centres - c).sum(axis=1).min() < 0.05 for c in scaled)
+    again, same = Q.fit_chunks([series.repartition(7).filter("flow_id < 150"), series.filter("flow_id >= 150")], k=5)
+    assert np.allclose(again.centres, book.centres) and (same == counts).all()
+    large = Q.fit_codebook(series, k=300)
+    assert large.size == 300 and Q.quantizer_error(series, large).first()["mae"] < Q.quantizer_error(series, book).first()["mae"] / 4
+    points = Q._weighted(series, None)
+    seeds = Q.seed_centres(points, 300)
+    assert len(np.unique(seeds, axis=0)) == 300 and len(Q.seed_centres(points, 5000)) == points.count()
+    grown, n = Q.fit_chunks([series.limit(2), series], k=40, flow=None)
+    assert grown.size == 40 and n.sum() == 1202
+    single = Q.fit_codebook(spark.createDataFrame([(1, 0, 5.0, 1.0), (1, 1, 5.0, 1.0), (1, 2, None, None), (2, 0, 9.0, 9.0)], "flow_id int, pos int, ps double, ipt double"))
+    assert single.size == 1
+
+
 def test_tokens_lengths_holes_and_round_trip(spark, book, tmp_path):
     vocab = T.Vocabulary.create(spark, 4).add_classes(spark.createDataFrame([("b",), ("a",), ("b",)], "target_class string"))
     assert (vocab.eof, vocab.pad, vocab.unk, vocab.bof) == (4, 5, 6, 7)
