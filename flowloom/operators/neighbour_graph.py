@@ -38,10 +38,10 @@ class GraphConfig:
     settled: float = 0.01
     seed: int = K.RANDOM_SEED
     #: Keys of each bucket and of all that walks begin at, keys looked up per query and round.
-    begin: int = 8
-    width: int = 10
+    begin: int = 3
+    width: int = 6
     #: Step by which a walk widens, and where it stops widening.
-    widen: float = 0.02
+    widen: float = 0.01
     widest: float = 1.0
     #: Queries that are searched exactly to see how many neighbours the walk has found.
     sample: int = 64
