@@ -2,12 +2,14 @@
 
 Each rule is a regular expression over ASCII. Its `sign`, a short expression that every reportable match contains, goes into the combined automaton: all signs
 become one nondeterministic automaton, subset construction makes it deterministic, partition refinement makes it minimal, and bytes that no rule tells
-apart share a column of the transition array. One pass over the bytes of a batch of texts runs it. Bytes that lead back to the start from every state cut
-the batch into independent lanes, which advance together, one byte of each per step. Only lanes that met a sign are looked at again:
-there the rule's own minimal automaton finds the leftmost longest matches.
+apart share a column of the transition array. One pass over the bytes of a batch of texts runs it in lanes that advance together, one byte of each per
+step. Lanes begin behind bytes that lead back to the start from every state where there are such, else at fixed distances: they take the start state for granted
+and run again from the state that the lane before ended in until all agree; lanes that don't settle soon are run from every state at once and the maps composed.
+Only parts between bytes that no match contains are looked at again, and only where a sign was met: the reversed automaton of the rule, run the same way,
+says where matches begin, its own where the longest ends. Time is linear in the bytes, also of one line of any length.
 
 Matches of one rule don't overlap; a match that is too short is dropped but still consumed. Offsets are code points, the end is exclusive.
-A null text is empty. Texts of any length are read whole. Repeated rows are rows of their own.
+A null text is empty. Texts of any length are read whole. Repeated rows are rows of their own. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 
 _END = 0xFF  # never part of UTF-8: stands between texts
 LANES = 4_096
+LANE_BYTES = 64  # shorter lanes don't pay
+ROUNDS = 3  # of running lanes again before all states are tried
 
 
 @dataclass(frozen=True)
@@ -103,6 +107,29 @@ class _Nfa:
                 raise ValueError(f"not supported in rules: {op}")
         return start
 
+    def turn(self, first: int, finals: dict[int, int]) -> tuple[int, dict[int, int]]:
+        """Turn all edges round; returns the new start and the new final states."""
+        edges, empty = self.edges, self.empty
+        self.edges, self.empty = [[] for _ in edges], [[] for _ in empty]
+        for s in range(len(edges)):
+            for allowed, t in edges[s]:
+                self.edges[t].append((allowed, s))
+            for t in empty[s]:
+                self.empty[t].append(s)
+        start, ends = self.state(), {}
+        for final, k in finals.items():
+            self.empty[start].append(final)
+            reached, stack = {final}, [final]  # expressions share no state but `first`
+            while stack:
+                s = stack.pop()
+                for t in [*self.empty[s], *(t for _, t in self.edges[s])]:
+                    if t == first:
+                        ends[s] = k
+                    elif t not in reached:
+                        reached.add(t)
+                        stack.append(t)
+        return start, ends
+
     def closure(self, states: frozenset[int]) -> frozenset[int]:
         found, stack = set(states), list(states)
         while stack:
@@ -140,14 +167,16 @@ class Automaton:
     dead: int
 
 
-def compile_rules(expressions: list[str], anywhere: bool) -> Automaton:
-    """The minimal automaton of several expressions; `anywhere` lets a match begin at every byte."""
+def compile_rules(expressions: list[str], anywhere: bool, backwards: bool = False) -> Automaton:
+    """The minimal automaton of several expressions; `anywhere` lets a match begin at every byte, `backwards` reads from right to left."""
     nfa = _Nfa()
     first, finals = nfa.state(), {}
     for k, text in enumerate(expressions):
         own = nfa.state()
         nfa.empty[first].append(own)
         finals[nfa.add(patterns.parse(text), own, False)] = k
+    if backwards:
+        first, finals = nfa.turn(first, finals)
     signature: dict[tuple, int] = {}
     classes = np.zeros(256, np.uint8)
     sets = list({s for edges in nfa.edges for s, _ in edges})
@@ -185,62 +214,87 @@ def compile_rules(expressions: list[str], anywhere: bool) -> Automaton:
     return Automaton(table, classes, accepts, int(still[0]) if len(still) else -1)
 
 
-class Scanner:
-    def __init__(self, rules: tuple[Rule, ...]):
-        self.rules = rules
-        self.signs = compile_rules([r.sign for r in rules], True)
-        self.own = [compile_rules([r.pattern], False) for r in rules]
-        self.heads = [compile_rules([r.head], False) if r.head else None for r in rules]
-        self.cuts = (self.signs.table == 0).all(axis=0)[self.signs.classes]  # bytes that lead back to the start from everywhere
-        for own in self.own:  # and that no match contains
-            self.cuts &= (own.table == own.dead).all(axis=0)[own.classes]
-        if not self.cuts[_END] or not self.cuts[128:].all():
-            raise ValueError("a rule reaches beyond ASCII")
+class Runner:
+    """An automaton that reads a whole batch in lanes; its matches may begin at every byte."""
+
+    def __init__(self, auto: Automaton):
+        self.auto, self.width = auto, auto.table.shape[1]
+        self.flat = (auto.table * self.width).ravel()  # states are kept multiplied by the width
+        self.hit = np.repeat(auto.accepts > 0, self.width)
+        self.resets = (auto.table == 0).all(axis=0)[auto.classes]
 
     def _lanes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, stops): pieces that begin right behind a cutting byte, about LANES of them."""
-        cuts = np.flatnonzero(self.cuts[data])
-        wanted = np.arange(1, LANES) * len(data) // LANES
-        at = np.searchsorted(cuts, wanted)
-        starts = np.unique(np.concatenate(([0], cuts[at[at < len(cuts)]] + 1)))
-        starts = starts[starts < len(data)]
-        return starts, np.concatenate((starts[1:], [len(data)]))
-
-    def marked(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The lanes in which some sign ends."""
-        starts, stops = self._lanes(data)
+        """(starts, stops) of lanes of about equal length, behind a resetting byte where one comes before the next lane."""
+        lanes = max(1, min(LANES, len(data) // LANE_BYTES))
+        wanted = np.arange(lanes + 1) * len(data) // lanes
+        cuts = np.flatnonzero(self.resets[data]) + 1
+        at = np.append(cuts, len(data) + 1)[np.searchsorted(cuts, wanted[1:-1])] if lanes > 1 else wanted[:0]
+        starts = np.concatenate(([0], np.where(at < wanted[2:], at, wanted[1:-1])))
+        return starts, np.append(starts[1:], len(data))
+
+    def _steps(self, symbols: np.ndarray, starts: np.ndarray, stops: np.ndarray, state: np.ndarray):
+        """Advance `state`, one row of states per lane, byte by byte; yields the lanes that went on and the step."""
         order = np.argsort(starts - stops, kind="stable")
-        starts, stops = starts[order], stops[order]
-        lengths = stops - starts
-        width, flat = self.signs.table.shape[1], (self.signs.table * self.signs.table.shape[1]).ravel()
-        hit, symbols = self.signs.accepts > 0, self.signs.classes[data]
-        state, seen = np.zeros(len(starts), np.int32), np.zeros(len(starts), bool)
-        active = np.searchsorted(-lengths, -np.arange(int(lengths.max(initial=0))), side="left")
-        for step, n in enumerate(active.tolist()):
-            now = flat[state[:n] + symbols[starts[:n] + step]]
-            state[:n] = now
-            seen[:n] |= hit[now // width]
-        return starts[seen], stops[seen]
-
-    def _pieces(self, data: bytes, start: int, stop: int) -> list[tuple[int, int, int]]:
-        """(start, stop, signs) of the parts between cutting bytes that hold a sign."""
-        table, classes, accepts, found = self._rows, self._classes, self._accepts, []
-        state, begin, met = 0, start, 0
-        for i in range(start, stop):
-            state = table[state][classes[data[i]]]
-            met |= accepts[state]
-            if self._cut[data[i]]:
-                if met:
-                    found.append((begin, i, met))
-                begin, met = i + 1, 0
-        if met:
-            found.append((begin, stop, met))
-        return found
+        begin, lengths = starts[order], (stops - starts)[order]
+        moving = state[order]
+        for step, n in enumerate(np.searchsorted(-lengths, -np.arange(int(lengths.max(initial=0))), side="left").tolist()):
+            read = symbols[begin[:n] + step]
+            moving[:n] = self.flat[moving[:n] + read.reshape(-1, *[1] * (state.ndim - 1))]
+            yield order[:n], moving[:n], step
+        state[order] = moving
+
+    def _run(self, symbols: np.ndarray, starts: np.ndarray, stops: np.ndarray, begin: np.ndarray):
+        """(end states, lane, place, state) of the lanes from the states they begin in; the last three where the automaton accepts."""
+        state, lanes, places, states = begin.copy(), [], [], []
+        for who, now, step in self._steps(symbols, starts, stops, state):
+            met = np.flatnonzero(self.hit[now])
+            if len(met):
+                lanes.append(who[met])
+                places.append(starts[who[met]] + step)
+                states.append(now[met])
+        joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lanes, places, states)]
+        return state, *joined
+
+    def _composed(self, symbols: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """The states that the lanes begin in, from what each lane makes of every state."""
+        maps = np.tile(np.arange(len(self.auto.table), dtype=np.int32) * self.width, (len(starts), 1))
+        for _ in self._steps(symbols, starts, stops, maps):
+            pass
+        begin = np.zeros(len(starts), np.int32)
+        for i in range(len(starts) - 1):
+            begin[i + 1] = maps[i, begin[i] // self.width]
+        return begin
+
+    def ends(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, rules as bits), by place, of the bytes at which some match ends."""
+        starts, stops = self._lanes(data)
+        symbols, begin = self.auto.classes[data], np.zeros(len(starts), np.int32)
+        end, lane, place, state = self._run(symbols, starts, stops, begin)
+        for turn in range(ROUNDS + 1):
+            truth = self._composed(symbols, starts, stops) if turn == ROUNDS else np.concatenate(([0], end[:-1])).astype(np.int32)
+            wrong = np.flatnonzero(truth != begin)
+            if not len(wrong):
+                break
+            begin[wrong] = truth[wrong]
+            again, of, where, reached = self._run(symbols, starts[wrong], stops[wrong], begin[wrong])
+            end[wrong] = again
+            stay = ~np.isin(lane, wrong)
+            lane, place, state = (np.concatenate(x) for x in ((lane[stay], wrong[of]), (place[stay], where), (state[stay], reached)))
+        order = np.argsort(place, kind="stable")
+        return place[order], self.auto.accepts[state[order] // self.width]
+
 
-    def prepare(self) -> None:
-        self._rows, self._classes = self.signs.table.tolist(), self.signs.classes.tolist()
-        self._accepts, self._cut = self.signs.accepts.tolist(), self.cuts.tolist()
-        self._own = [(a.table.tolist(), a.classes.tolist(), a.accepts.tolist(), a.dead) if a else None for a in (*self.own, *self.heads)]
+class Scanner:
+    def __init__(self, rules: tuple[Rule, ...]):
+        self.rules = rules
+        self.signs = Runner(compile_rules([r.sign for r in rules], True))
+        self.begins = [Runner(compile_rules([r.pattern], True, backwards=True)) for r in rules]
+        own = [compile_rules([r.pattern], False) for r in rules]
+        heads = [compile_rules([r.head], False) if r.head else None for r in rules]
+        self.cuts = [(a.table == a.dead).all(axis=0)[a.classes] for a in own]  # per rule: bytes that no match contains
+        if not all(cuts[128:].all() for cuts in self.cuts):
+            raise ValueError("a rule reaches beyond ASCII")
+        self._own = [(a.table.tolist(), a.classes.tolist(), a.accepts.tolist(), a.dead) if a else None for a in (*own, *heads)]
 
     def _longest(self, which: int, data: bytes, start: int, stop: int) -> int:
         """Where the longest match from `start` ends, or -1."""
@@ -254,18 +308,23 @@ class Scanner:
                 end = i + 1
         return end
 
-    def _matches(self, k: int, data: bytes, start: int, stop: int) -> list[tuple[int, int, int]]:
-        found, rule = [], self.rules[k]
-        table, classes, _, dead = self._own[k]
-        can_begin = [table[0][c] != dead for c in classes]
-        while start < stop:
-            if not can_begin[data[start]] or (end := self._longest(k, data, start, stop)) < 0:
-                start += 1
+    def _matches(self, k: int, data: bytes, array: np.ndarray, signs: np.ndarray) -> list[tuple[int, int]]:
+        """(start, end) of the leftmost longest matches of rule k in the parts between its cutting bytes that hold one of the `signs`."""
+        cuts = np.flatnonzero(self.cuts[k][array])  # the last byte is one
+        nearest = np.unique(np.searchsorted(cuts, signs))
+        starts, stops = np.where(nearest > 0, cuts[nearest - 1] + 1, 0), cuts[nearest]
+        sizes = stops - starts + 1  # with the cutting byte behind
+        before = np.cumsum(sizes) - sizes
+        places = np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
+        backwards, _ = self.begins[k].ends(array[places[::-1]])
+        found, rule, free = [], self.rules[k], 0
+        for at in places[len(places) - 1 - backwards[::-1]].tolist():
+            if at < free:
                 continue
-            head = self._longest(len(self.rules) + k, data, start, end) if rule.head else start
-            if end - head >= rule.least:
-                found.append((start, end, k))
-            start = end
+            free = self._longest(k, data, at, len(data))
+            head = self._longest(len(self.rules) + k, data, at, free) if rule.head else at
+            if free - head >= rule.least:
+                found.append((at, free))
         return found
 
     def scan(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
@@ -275,12 +334,12 @@ class Scanner:
         array = np.frombuffer(data, np.uint8)
         begins = np.concatenate(([0], np.cumsum([len(e) + 1 for e in encoded])))
         found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        for lane in zip(*(x.tolist() for x in self.marked(array))):
-            for start, stop, met in self._pieces(data, *lane):
+        places, met = self.signs.ends(array)
+        for k in range(len(self.rules)):
+            signs = places[met >> k & 1 == 1]
+            for start, end in self._matches(k, data, array, signs) if len(signs) else ():
                 at = int(np.searchsorted(begins, start, side="right")) - 1
-                for k in range(len(self.rules)):
-                    if met >> k & 1:
-                        found[at] += [(s - int(begins[at]), e - int(begins[at]), k) for s, e, k in self._matches(k, data, start, stop)]
+                found[at].append((start - int(begins[at]), end - int(begins[at]), k))
         for at, spans in enumerate(found):
             if spans:
                 points = np.cumsum((np.frombuffer(encoded[at] + b"\x00", np.uint8) & 0xC0) != 0x80) - 1
@@ -290,9 +349,7 @@ class Scanner:
 
 @cache
 def scanner(rules: tuple[Rule, ...]) -> Scanner:
-    made = Scanner(rules)
-    made.prepare()
-    return made
+    return Scanner(rules)
 
 
 def _digest(spans: list[tuple[int, int, int]], rules: tuple[Rule, ...]) -> str:
