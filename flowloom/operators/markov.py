@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from flowloom import constants as K
 from flowloom.functions.arrays import unnest
-from flowloom.operators.quantize import fit_value_codebook
+from flowloom.operators.value_clusters import ValueClusters
 from flowloom.plans.keys import join_on
 from flowloom.plans.running import HASH_BITS, equal_slices, running_totals, text_hash
 from flowloom.plans.storage import write_and_read
@@ -287,25 +287,17 @@ class _Chains:
 
 
 class QuantizedMarkov:
-    """Numeric sequences through 1-D clusters: fit, sample, and restore cluster centres."""
+    """Numeric sequences through the 1-D clusters of their class: fit, sample, and restore cluster centres."""
 
-    def __init__(self, clusters, model: MarkovModel):
+    def __init__(self, clusters: ValueClusters, model: MarkovModel):
         self.clusters, self.model = clusters, model
 
     @classmethod
-    def fit(cls, sequences: DataFrame, length: int, values: str = "values", by: str = K.TARGET_CLASS,
-            ids: Sequence[str] = ("flow_id",), limit: int = K.MARKOV_CLUSTER_LIMIT) -> "QuantizedMarkov":
-        sequences = write_and_read(sequences.select(by, values), "values")
-        flat = sequences.select(F.explode(values).alias("value"))
-        clusters = fit_value_codebook(flat, "value", limit)
-        centres = F.array(*[F.struct(F.lit(float(c[0])).alias("c"), F.lit(i).alias("id"))
-                            for i, c in enumerate(clusters.clusterCenters())])
-        nearest = lambda x: F.array_min(F.transform(
-            centres, lambda c: F.struct(F.abs(c["c"] - x).alias("d"), c["id"].alias("id"))))["id"]
-        tokens = sequences.select(by, F.transform(values, nearest).alias("input_ids"))
-        return cls(clusters, MarkovModel.fit(tokens, length, by=by))
+    def fit(cls, sequences: DataFrame, length: int, values: str = "values", by: str = K.TARGET_CLASS, limit: int = K.MARKOV_CLUSTER_LIMIT,
+            digits: int | None = None) -> "QuantizedMarkov":
+        sequences = write_and_read(sequences.select(by, values).where(F.col(by).isNotNull()), "values")
+        clusters = ValueClusters.fit(sequences, values, by, limit, digits)
+        return cls(clusters, MarkovModel.fit(clusters.encode(sequences, values), length, by=by))
 
     def sample(self, wanted: DataFrame, seed: int = K.RANDOM_SEED) -> DataFrame:
-        centres = F.array(*[F.lit(float(c[0])) for c in self.clusters.clusterCenters()])
-        drawn = self.model.sample(wanted, seed)
-        return drawn.select(self.model.by, "seq_id", F.transform("input_ids", lambda i: F.get(centres, i)).alias("values"))
+        return self.clusters.decode(self.model.sample(wanted, seed)).select(self.model.by, "seq_id", "values")

@@ -6,8 +6,6 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowloom import constants as K
@@ -364,11 +362,3 @@ def quantizer_error(series: DataFrame, codebook: Codebook) -> DataFrame:
         (F.avg(error) / 2).alias("mae"),
         F.sum(error).alias("cumulative_error"),
     )
-
-
-def fit_value_codebook(values: DataFrame, column: str, limit: int = K.MARKOV_CLUSTER_LIMIT, seed: int = K.RANDOM_SEED):
-    """1-D k-means with min(limit, distinct values) clusters; returns the fitted model."""
-    distinct = values.select(column).distinct().limit(limit).count()
-    vectors = VectorAssembler(inputCols=[column], outputCol="features").transform(
-        values.select(F.col(column).cast("double").alias(column)))
-    return KMeans(k=max(distinct, 1), seed=seed, initMode="k-means||").fit(vectors.select("features"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowloom import constants as K
 from flowloom.functions import arrays as X
 from flowloom.operators import markov as M, quantize as Q, tokens as T
+from flowloom.operators.value_clusters import ValueClusters
 from flowloom.plans.storage import write_and_read
 from flowloom.queries.inputs import classes, line_flows, line_packets, lines_sql, table
 from flowloom.queries.registry import query
@@ -336,7 +337,7 @@ def _unit(salt, c, seq, pos):
     return _UNIT.format(salt=salt, c=c, seq=seq, pos=pos)
 
 
-_WALK = _TOKENS + "," + _PAIRS + f""",
+_STEPS = _PAIRS + f""",
 class_size as (select target_class, least(count(*), 20000) as n from tokens group by 1),
 slots as (select target_class, unnest(range(n)) as seq_id from class_size),
 starts as (
@@ -366,6 +367,7 @@ walk as (
         and floor({_unit(0, "w.target_class", "w.seq_id", "(w.pos + 1)")} * m.total) < m.hi
       join places a on a.target_class = w.target_class and a.at = floor({_unit(0, "w.target_class", "w.seq_id", "(w.pos + 1)")} * a.n)
     where w.pos + 1 < (select max(len(input_ids)) from tokens)) x)"""
+_WALK = _TOKENS + "," + _STEPS
 
 
 @query("markov_sample_tokens", lines_sql("""
@@ -388,11 +390,65 @@ def markov_sample_shape(spark, sf):
         F.min(size).alias("shortest"), F.max(size).alias("longest"))
 
 
-@query("markov_sample_values")
-def markov_sample_values(spark, sf):
-    """Packet sizes through 1-D clusters and a Markov model."""
+_SLOTTED = """
+slotted as (
+  select f.flow_id, o_orderpriority as target_class, o_orderstatus as status, i, coalesce(ps, 0)::double as v
+  from (select distinct flow_id from pl) f join orders on o_orderkey = flow_id cross join range(20) r(i)
+    left join pl on pl.flow_id = f.flow_id and pl.pos = i)"""
+
+
+def _sizes(spark, sf):
+    """The first packet sizes of every order, 0 where it has fewer."""
     flows = line_flows(spark, sf).join(classes(spark, sf), "flow_id")
     slots = F.sequence(F.lit(0), F.lit(K.PACKET_LIMIT - 1))
-    values = F.transform(slots, lambda i: F.coalesce(F.get(F.col("packets"), i)["ps"], F.lit(0.0)))
-    model = M.QuantizedMarkov.fit(flows.select("target_class", values.alias("values")), K.PACKET_LIMIT)
-    return model.sample(model.model.class_sizes().withColumnRenamed("flows", "n"))
+    return flows.select("target_class", F.transform(slots, lambda i: F.coalesce(F.get(F.col("packets"), i)["ps"], F.lit(0.0))).alias("values"))
+
+
+@query("markov_sample_values", lines_sql("""
+select target_class, seq_id, array_to_string([centres[i + 1]::bigint for i in ids], ',') as sizes
+from walk join (select target_class, list(distinct v order by v) as centres from slotted group by 1) using (target_class) where pos = 19""",
+                                         more=_SLOTTED + """,
+tokens as (select target_class, status, list(place order by i)::integer[] as input_ids from (
+  select *, dense_rank() over (partition by target_class order by v) - 1 as place from slotted) group by flow_id, target_class, status),""" + _STEPS.replace(
+                                             "least(count(*), 20000)", "count(*)"), recursive=True))
+def markov_sample_values(spark, sf):
+    """Packet sizes through 1-D clusters and a Markov model; a class has fewer sizes than clusters are allowed, so each is a centre."""
+    model = M.QuantizedMarkov.fit(_sizes(spark, sf), K.PACKET_LIMIT)
+    drawn = model.sample(model.model.class_sizes().withColumnRenamed("flows", "n"))
+    return _text(drawn.select("target_class", "seq_id", F.transform("values", lambda x: F.round(x).cast("long")).alias("sizes")), "sizes")
+
+
+VALUE_CLUSTERS = 12
+
+
+def _best_cuts_sql(k: int) -> str:
+    """Optimal clusters by trying, for every number of clusters and every end, all last cuts."""
+    cost = "(b.q - a.q) - (b.s - a.s) * (b.s - a.s) / (b.w - a.w)"
+    layers = "".join(f""",
+f{j} as materialized (
+  select target_class, i, total as f, cut from (
+    select b.target_class, b.i, a.i as cut, a.f + ({cost}) as total
+    from sums b join (select * from f{j - 1} join sums using (target_class, i)) a on a.target_class = b.target_class and a.i < b.i)
+  qualify row_number() over (partition by target_class, i order by total, cut) = 1),""".rstrip(",") for j in range(2, k + 1))
+    back = f"\n,c{k} as (select target_class, max(i) as stop from sums group by 1)" + "".join(
+        f"\n,c{j - 1} as (select target_class, f.cut as stop from c{j} join f{j} f using (target_class) where f.i = c{j}.stop)" for j in range(k, 1, -1))
+    stops = " union all ".join(f"select target_class, {j - 1} as cluster, stop from c{j}" for j in range(1, k + 1))
+    return f""",
+counted as (select target_class, v, count(*) as n from slotted group by 1, 2),
+moved as (select *, v - floor(sum(v * n) over (partition by target_class) / sum(n) over (partition by target_class)) as x from counted),
+sums as (
+  select target_class, row_number() over r as i, v, n, sum(n::double) over r as w, sum(n * x) over r as s, sum(n * x * x) over r as q
+  from moved window r as (partition by target_class order by v rows unbounded preceding)
+  union all select distinct target_class, 0, null::double, 0, 0.0::double, 0.0::double, 0.0::double from moved),
+f1 as (select target_class, i, q - s * s / w as f, 0 as cut from sums where i > 0){layers}{back},
+stops as ({stops}),
+placed as (select s.*, min(t.cluster) as cluster from sums s join stops t on t.target_class = s.target_class and s.i <= t.stop where s.i > 0 group by all)"""
+
+
+@query("markov_value_clusters", lines_sql("""
+select target_class, cluster::integer as cluster, min(v)::double as low, max(v)::double as high, sum(n)::bigint as cnt, round(sum(v * n) / sum(n), 6)::double as centre
+from placed group by 1, 2""", more=_SLOTTED + _best_cuts_sql(VALUE_CLUSTERS)))
+def markov_value_clusters(spark, sf):
+    """The exact 1-D clusters of every class; SQL tries all cuts."""
+    found = ValueClusters.fit(_sizes(spark, sf), limit=VALUE_CLUSTERS).table
+    return found.withColumn("centre", F.round("centre", 6))
