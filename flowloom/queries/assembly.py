@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowloom import constants as K
 from flowloom.functions import arrays as X, stats as S
 from flowloom.functions.columns import epoch_us
-from flowloom.operators import assemble as A, flowstats as G, packets as P
+from flowloom.operators import assemble as A, flowstats as G, packets as P, plugins as U
 from flowloom.plans.running import running_totals
 from flowloom.queries.inputs import (
     CONFIG, EVENT_PACKETS, event_packets, events_sql, line_flows, line_packets, lines_sql, table,
@@ -70,6 +70,19 @@ def flow_packets(spark, sf):
     )
 
 
+@query("flow_plugin", events_sql(f"""
+select {_KEY}, pos, t, bulk, case when protocol = 6 and ip_version = 4 then tcp_window else 0 end::double as win,
+  case when protocol = 6 and ip_version = 4 then tcp_flags else 0 end::double as flag from series""", series=True))
+def flow_plugin(spark, sf):
+    """Payload, window and flags of the first packets, gathered by a plug-in from all packets of the flows."""
+    flows = A.assign_flows(A.with_flow_key(event_packets(spark, sf)), A.KEY, CONFIG)
+    tcp4 = (F.col("protocol") == 6) & (F.col("ip_version") == 4)
+    read = flows.withColumns({
+        "bulk": F.col("payload_size"), "win": F.when(tcp4, F.col("tcp_window")).otherwise(0), "flag": F.when(tcp4, F.col("tcp_flags")).otherwise(0)})
+    got = U.apply_plugin(read, A.FLOW, U.FirstPackets(["bulk", "win", "flag"], CONFIG.packet_limit))
+    return got.select(*A.FLOW, F.posexplode(F.arrays_zip("t", "bulk", "win", "flag")).alias("pos", "p")).select(*A.FLOW, "pos", "p.*")
+
+
 def _stats_sql(keys: str, source: str, tcp: bool = True, bases=(("bulk", "bulk"), ("packet", "abs(ps)"))) -> str:
     cols = []
     for prefix, side in (("client_", 0), ("server_", 1)):
