@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from flowloom.operators import assemble as A, quantize as Q
+from flowloom.operators import assemble as A, plugins as U, quantize as Q
 from flowloom.queries.inputs import CONFIG, as_packets, events_sql, flows_sql, EVENT_PACKETS, table
 from flowloom.queries.registry import query
 from flowloom.streaming import flows as S
@@ -52,6 +52,17 @@ def stream_flows(spark, sf):
         *A.KEY, "start_us", "end_us", "packets", "bytes", F.concat_ws(",", sizes).alias("first_sizes"))
 
 
+@query("stream_plugin", events_sql(f"""
+select {_KEY}, flow_start_us as start_us, pos, payload_size::double as bulk, tcp_window::double as win, tcp_flags::double as flag from series""", series=True))
+def stream_plugin(spark, sf):
+    """Payload, window and flags of the first packets of flows on a stream, gathered by the plug-in that `flow_plugin` uses."""
+    plugin = U.FirstPackets(["payload_size", "tcp_window", "tcp_flags"], CONFIG.packet_limit)
+    flows = lambda packets: S.stream_flows(packets, A.KEY, F.col("ip_size"), F.lit(0), CONFIG, DELAY, plugin=plugin)
+    each = F.posexplode(F.arrays_zip("payload_size", "tcp_window", "tcp_flags")).alias("pos", "p")
+    return _to_end(spark, sf, flows, "plugin").select(*A.KEY, "start_us", each).select(
+        *A.KEY, "start_us", "pos", F.col("p.payload_size").alias("bulk"), F.col("p.tcp_window").alias("win"), F.col("p.tcp_flags").alias("flag"))
+
+
 @query("stream_throughput", "with " + EVENT_PACKETS.strip() + f"""
 select protocol as key_protocol, (t // 1000000) * 1000000 as start_us, sum(ip_size)::bigint as bytes from packets
 group by 1, 2""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowloom.operators.assemble import FlowConfig
+from flowloom.operators.plugins import FlowPlugin
 from flowloom.plans.storage import scratch_path
 
 MAX_FILES = 64
@@ -88,6 +90,7 @@ _STATE = T.StructType([
     T.StructField("ps", T.ArrayType(T.DoubleType())), T.StructField("ipt", T.ArrayType(T.DoubleType())),
     T.StructField("wait_t", T.ArrayType(T.LongType())), T.StructField("wait_seq", T.ArrayType(T.LongType())),
     T.StructField("wait_size", T.ArrayType(T.LongType())), T.StructField("wait_dir", T.ArrayType(T.IntegerType())),
+    T.StructField("wait_read", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("plugin", T.BinaryType()),
 ])
 
 
@@ -134,59 +137,70 @@ class _OpenFlow:
 
 
 def stream_flows(packets: DataFrame, keys: Sequence[str], size: Column, direction: Column, config: FlowConfig, delay: str,
-                 on_flow: Callable[[dict], dict] | None = None, extra: T.StructType = T.StructType()) -> DataFrame:
+                 on_flow: Callable[[dict], dict] | None = None, extra: T.StructType = T.StructType(), plugin: FlowPlugin | None = None) -> DataFrame:
     """Idle and active timeouts on a stream; a flow (key, start_us) is emitted when it can no longer change.
 
     State per key: the open flow's counters, its first N packets, and packets newer than the watermark, which wait there so
     that late packets fall into place. Input is processed per micro-batch in time order, so the state is bounded by
     N and by the packets that arrive within the watermark delay. `on_flow` may add columns (`extra`) to an emitted flow.
+    `plugin` keeps its own state in that of the key, sees every packet of a flow in order and adds its result.
     """
     keys = list(keys)
     idle = int((config.idle if config.idle is not None else 1e12) * 1_000_000)
     active = int((config.active if config.active is not None else 1e12) * 1_000_000)
     limit = config.packet_limit
+    read = {c: f"__read{i}" for i, c in enumerate(plugin.columns)} if plugin else {}
+    result = T._parse_datatype_string(plugin.result) if plugin else T.StructType()
+    order = ["t", "seq", "size", "dir"]
     staged = packets.withWatermark("ts", delay).select(
         *keys, "ts", F.unix_micros("ts").alias("t"), F.col("seq").cast("long").alias("seq"), size.cast("long").alias("size"),
-        direction.cast("int").alias("dir"))
+        direction.cast("int").alias("dir"), *[F.col(c).cast("double").alias(n) for c, n in read.items()])
     out = T.StructType([staged.schema[k] for k in keys] + [
         T.StructField("start_us", T.LongType()), T.StructField("end_us", T.LongType()),
         T.StructField("packets", T.LongType()), T.StructField("bytes", T.LongType()),
         T.StructField("ps", T.ArrayType(T.DoubleType())), T.StructField("ipt", T.ArrayType(T.DoubleType())),
-    ] + list(extra.fields))
+    ] + list(result.fields) + list(extra.fields))
     names = [f.name for f in out.fields]
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         saved = state.get if state.exists else None
         flow = _OpenFlow(limit, saved[:6] if saved else None)
-        parts = [pd.DataFrame({"t": saved[6], "seq": saved[7], "size": saved[8], "dir": saved[9]})] if saved else []
-        parts += [b[["t", "seq", "size", "dir"]] for b in batches]
-        rows = pd.concat(parts, ignore_index=True).astype("int64").sort_values(["t", "seq"], kind="stable")
+        held = pickle.loads(saved[11]) if saved and saved[11] is not None else None
+        columns = [*order, *read.values()]
+        types = {c: "int64" if c in order else "float64" for c in columns}
+        parts = [pd.DataFrame(dict(zip(columns, [*saved[6:10], *saved[10]])))] if saved else []
+        parts += [b[columns] for b in batches]
+        rows = pd.concat([p.astype(types) for p in parts], ignore_index=True).sort_values(["t", "seq"], kind="stable")
         watermark = state.getCurrentWatermarkMs() * 1000
         ready, waiting = rows[rows["t"] <= watermark], rows[rows["t"] > watermark]
         done: list[dict] = []
 
         def close() -> None:
             if flow.start is not None:
-                done.append(flow.row())
+                done.append(flow.row() | (dict(zip(result.names, plugin.finish(held))) if plugin else {}))
 
         if len(ready):
             t, sizes, dirs = (ready[c].to_numpy() for c in ("t", "size", "dir"))
+            seen = {"t": t, "seq": ready["seq"].to_numpy(), **{c: ready[n].to_numpy() for c, n in read.items()}}
             bounds = _starts(t, flow.start, flow.last, idle, active)
             edges = ([0] if not bounds or bounds[0] > 0 else []) + bounds + [len(t)]
             for a, b in zip(edges[:-1], edges[1:]):
                 if a in bounds:
                     close()
                     flow.begin(int(t[a]))
+                    held = plugin.init() if plugin else None
                 flow.add(t[a:b], sizes[a:b], dirs[a:b])
+                if plugin:
+                    held = plugin.update(held, {c: v[a:b] for c, v in seen.items()})
         if flow.start is not None and watermark - flow.last > idle:
             close()
-            flow.start = None
+            flow.start, held = None, None
         if flow.start is None and not len(waiting):
             state.remove()
         else:
             flow_part = (flow.start, flow.last, flow.packets, flow.bytes, flow.ps, flow.ipt)
             state.update((flow_part if flow.start is not None else (None, None, 0, 0, [], [])) + tuple(
-                waiting[c].tolist() for c in ("t", "seq", "size", "dir")))
+                waiting[c].tolist() for c in order) + ([waiting[n].tolist() for n in read.values()], None if held is None else pickle.dumps(held)))
             due = [int(waiting["t"].min()) // 1000] if len(waiting) else []
             due += [(flow.last + idle) // 1000] if flow.start is not None else []
             state.setTimeoutTimestamp(max(min(due), state.getCurrentWatermarkMs() + 1))

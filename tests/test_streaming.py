@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from flowloom.operators import assemble as A
+from flowloom.operators import assemble as A, plugins as U
 from flowloom.schema import PACKETS
 from flowloom.streaming import flows as S
 from tests.test_assembly import frame, packet
@@ -67,3 +67,18 @@ def test_flow_hook_adds_columns(spark, tmp_path):
                          on_flow=lambda r: {**r, "mean_size": r["bytes"] / r["packets"]},
                          extra=T.StructType([T.StructField("mean_size", T.DoubleType())]))
     assert [r["mean_size"] for r in S.run_available(out, "hook").collect()] == [100.0]
+
+
+def test_plugin_on_a_stream_equals_batch(spark, tmp_path):
+    rows = traffic(5)
+    late = packet(0, ("10.9.9.9", 1), ("10.9.9.8", 2), ts=max(r["ts"] for r in rows) + dt.timedelta(days=1), seq=10**6)
+    random.Random(1).shuffle(rows)
+    folder = str(tmp_path / "in")
+    for part in (rows[0::3], rows[1::3], rows[2::3], [late]):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(folder)
+    config, plugin = A.FlowConfig(60, 70, packet_limit=4), U.FirstPackets(["ip_size", "ip_version"], 5)
+    stream = A.with_flow_key(S.read_stream(spark, folder, PACKETS, max_files=1))
+    out = S.stream_flows(stream, A.KEY, F.col("ip_size"), F.lit(0), config, "12 hours", plugin=plugin)
+    pick = lambda rows: sorted((r["key_low"], r["t"], r["ip_size"], r["ip_version"]) for r in rows)
+    flows = A.assign_flows(A.with_flow_key(frame(spark, rows)), A.KEY, config)
+    assert pick(S.run_available(out, "plugin").collect()) == pick(U.apply_plugin(flows, A.FLOW, plugin).collect())
