@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 import numpy as np
@@ -18,6 +19,8 @@ MAX_CODEBOOK = 1 << 20
 INLINE_CODEBOOK = 64
 #: Candidates that a round of seeding draws, as a share of the wanted centres.
 SEEDS_PER_ROUND = 0.5
+#: Points and centres that a search compares at once, and how often the cells beyond the outermost centres double.
+COMPARED, RINGS = 1 << 20, 12
 
 
 def scale_packets(series: DataFrame) -> DataFrame:
@@ -33,6 +36,9 @@ class _CellIndex:
 
     A centre is kept for a cell when its smallest distance to the cell does not exceed the smallest of all centres'
     largest distances, so the nearest centre of any point in the cell is always among those kept.
+
+    The outermost centres lie on edges. Beyond them cells begin narrow and double outwards, since a wide cell keeps nearly all
+    centres and many points lie on the edge or a little beyond. A search compares at most `COMPARED` points and centres at once.
     """
 
     def __init__(self, centres: np.ndarray):
@@ -53,8 +59,8 @@ class _CellIndex:
     @staticmethod
     def _edges(values: np.ndarray, side: int) -> np.ndarray:
         margin = max(float(np.ptp(values)), 1.0)
-        inner = np.unique(np.quantile(values, np.linspace(0, 1, side + 1)))
-        return np.concatenate([[values.min() - margin], inner[1:-1], [values.max() + margin]])
+        rings = margin / 2.0 ** np.arange(RINGS)
+        return np.unique(np.concatenate([values.min() - rings, np.quantile(values, np.linspace(0, 1, side + 1)), values.max() + rings]))
 
     @staticmethod
     def _spans(values: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,11 +76,15 @@ class _CellIndex:
         inside = known.copy()
         for axis in (0, 1):
             inside &= (place[axis] >= 0) & (place[axis] < len(self.edges[axis]) - 1)
-        for rows in np.array_split(np.nonzero(inside)[0], max(1, int(inside.sum()) // 20000)):
-            if len(rows):
-                self._search_cells(points, rows, place[0][rows] * (len(self.edges[1]) - 1) + place[1][rows], out)
+        cells = place[0] * (len(self.edges[1]) - 1) + place[1]
+        rows = np.nonzero(inside)[0]
+        asked = np.cumsum(self.starts[cells[rows] + 1] - self.starts[cells[rows]])
+        parts = asked // COMPARED
+        for part in np.split(rows, np.nonzero(np.diff(parts))[0] + 1):
+            if len(part):
+                self._search_cells(points, part, cells[part], out)
         beyond = np.nonzero(known & ~inside)[0]
-        for rows in np.array_split(beyond, max(1, len(beyond) * len(self.centres) // 10_000_000)):
+        for rows in np.array_split(beyond, max(1, math.ceil(len(beyond) * len(self.centres) / COMPARED))):
             if len(rows):
                 diff = points[rows][:, None, :] - self.centres[None, :, :]
                 out[rows] = (diff ** 2).sum(axis=2).argmin(axis=1)

@@ -34,6 +34,27 @@ def test_cell_index_equals_brute_force(k, seed):
     assert (got[known] == d[known].argmin(axis=1)).all() and (got[~known] == -1).all()
 
 
+def test_cell_index_is_narrow_at_the_rim(monkeypatch):
+    """Packets without a gap lie on the lower edge of the codebook; neither they nor a large batch may meet all centres at once."""
+    centres = np.array([[i / 64 - 1, j / 25] for i in range(128) for j in range(128)])
+    index = Q._CellIndex(centres)
+    searched, search = [], Q._CellIndex._search_cells
+
+    def watched(self, points, rows, cells, out):
+        searched.append((len(rows), int((self.starts[cells + 1] - self.starts[cells]).sum())))
+        search(self, points, rows, cells, out)
+
+    monkeypatch.setattr(Q._CellIndex, "_search_cells", watched)
+    points = np.column_stack([np.tile(np.linspace(-1, 63 / 64, 200), 10), np.repeat(np.linspace(-0.002, 0, 10), 200)])
+    got = index.nearest(points)
+    assert (got == ((points[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)).all()
+    assert sum(pairs for _, pairs in searched) < 100 * len(points)
+    searched.clear()
+    far = np.column_stack([np.full(3000, -2.5), np.linspace(-4, 9, 3000)])
+    assert (index.nearest(far) == ((far[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)).all()
+    assert sum(n for n, _ in searched) == len(far) and max(pairs for _, pairs in searched) <= Q.COMPARED + len(centres)
+
+
 def test_encode_absent_and_decode(spark, book):
     df = spark.createDataFrame([(60.0, 0.0), (None, 1.0), (1.0, float("inf")), (-750.0, 10.0)], "ps double, ipt double")
     ids = [r[0] for r in df.select(book.encode(F.col("ps"), F.col("ipt"))).collect()]
