@@ -68,6 +68,44 @@ def test_block_search_equals_brute_force(spark, metric):
         assert np.array_equal(np.array([r["key_id"] for r in got]).reshape(-1, 5), expected)
 
 
+def test_many_keys_stay_off_the_driver(spark, monkeypatch):
+    """Keys of many rows are dealt to tasks, each side once per group of the other; every row of a repeated query id finds its own neighbours."""
+    x, y = clustered(300)
+    df = vectors(spark, x, y.tolist())
+    twice = df.union(df.limit(5))
+    wanted = sorted(tuple(r) for r in N.nearest(twice, df, 3, label="label", skip_same=True).collect())
+    dealt, search = [], N._block_search
+
+    def watched(q, t, *rest):
+        dealt.append((q.count(), t.count()))
+        return search(q, t, *rest)
+
+    monkeypatch.setattr(N, "DRIVER_ROWS", 100, raising=False)
+    monkeypatch.setattr(N, "_block_search", watched)
+    assert sorted(tuple(r) for r in N.nearest(twice, df, 3, label="label", skip_same=True, block_rows=4).collect()) == wanted
+    assert dealt == [(305 * 6, 300 * 6)]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_tiles_keep_ties_and_odd_vectors(monkeypatch, metric):
+    """A task compares a tile at a time, with equal, zero, infinite and absent vectors as in one piece."""
+    rng = np.random.default_rng(4)
+    q, t = (rng.integers(-2, 3, (n, 2)).astype(float) for n in (200, 900))
+    q[::50], t[::30], q[5::70, 0], t[3::90, 1], q[7::90], t[11::100] = 0, 0, np.nan, np.inf, 1e200, 1e-170
+    with np.errstate(all="ignore"):
+        d = N.distances(q, t, metric)
+    largest, first = [], N._first
+    monkeypatch.setattr(N, "TILE", 1 << 12)
+    monkeypatch.setattr(N, "_first", lambda d, k: (largest.append(d.size), first(d, k))[1])
+    ids = rng.permutation(len(t))
+    d[np.arange(len(q))[:, None] == ids[None]] = np.nan
+    found = N._best(np.arange(len(q)), q, ids, t, ids % 7, 5, metric, True, 64)
+    for i in range(len(q)):
+        here = [(v, k) for v, k in zip(d[i], ids) if not np.isnan(v)]
+        assert list(found["key_id"][found["query_id"] == i]) == [k for _, k in sorted(here)[:5]]
+    assert max(largest) <= 1 << 12
+
+
 @pytest.mark.parametrize("block_rows", [8192, 16])
 def test_lsh_recall_and_share(spark, block_rows):
     x, y = clustered(800)
