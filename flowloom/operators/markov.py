@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,8 @@ from flowloom.plans.storage import write_and_read
 
 BROADCAST_STATES = 1 << 20
 BROADCAST_TRANSITIONS = 1 << 22
-SLOT_ROWS = 4096
+#: Sequences that are drawn from one slot row, and tasks that slots are dealt to.
+SLOT_ROWS, MOST_TASKS = 4096, 2048
 
 
 def state_index(states: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
@@ -136,6 +138,18 @@ def _uniforms(seed: int, by: Sequence[str], length: int) -> Column:
                        lambda pos: F.struct(unit(0, pos).alias("u"), unit(1, pos).alias("v")))
 
 
+def _drawn(seed: int, names: pd.Series, seq: pd.Series, length: int) -> np.ndarray:
+    """The numbers of `_uniforms`, (salt, row, position), for a batch; `names` are the classes as text."""
+    ends = [b"|%d" % pos for pos in range(length)]
+    out = []
+    for salt in (0, 1):
+        heads = [f"{seed}|{salt}|{name}|{number}".encode() for name, number in zip(names, seq)]
+        digests = b"".join([md5(head + end).digest() for head in heads for end in ends])
+        # the first 60 bits, without the last 8
+        out.append((np.frombuffer(digests, ">u8")[::2] >> np.uint64(64 - HASH_BITS + 8)).astype(np.float64).reshape(len(heads), length))
+    return np.stack(out) / float(1 << (HASH_BITS - 8))
+
+
 class MarkovModel:
     """Priors, transitions and states per class; every table is sparse and stays distributed."""
 
@@ -176,9 +190,13 @@ class MarkovModel:
         changes the result. Small models travel to the tasks, larger ones are joined position by position.
         """
         part = F.lit(SLOT_ROWS).cast("long")
-        slots = wanted.filter("n > 0").select(
+        wanted = write_and_read(wanted.filter("n > 0"), "wanted")
+        parts = wanted.agg(F.coalesce(F.sum(F.ceil(F.col("n") / part)), F.lit(0))).first()[0]
+        # a number of partitions is kept, while a handful of rows dealt without one would be merged into one task
+        tasks = min(max(int(parts), 1), MOST_TASKS)
+        slots = wanted.select(
             self.by, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / part))).alias("part"),
-        ).repartition(self.by, "part").select(self.by, F.explode(F.sequence(
+        ).repartition(tasks, self.by, "part").select(self.by, F.explode(F.sequence(
             F.col("part") * part, F.least((F.col("part") + 1) * part, "n") - 1)).alias("seq_id"))
         small = (self.trans.limit(BROADCAST_TRANSITIONS + 1).count() <= BROADCAST_TRANSITIONS
                  and self.states.limit(BROADCAST_STATES + 1).count() <= BROADCAST_STATES)
@@ -195,14 +213,13 @@ class MarkovModel:
         spark, by, length = slots.sparkSession, self.by, self.length
         tables = (self.states.toPandas(), self.prior.toPandas(), self.trans.toPandas())  # sizes checked by the caller
         shared = spark.sparkContext.broadcast(_Chains(by, *tables))
-        staged = slots.withColumn("r", _uniforms(seed, [by], length)).select(
-            by, "seq_id", F.col("r.u").alias("u"), F.col("r.v").alias("v"))
+        staged = slots.select(by, "seq_id", F.coalesce(F.col(by).cast("string"), F.lit("")).alias("__name"))
         schema = T.StructType([slots.schema[by], slots.schema["seq_id"], T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
 
         def run(batches):
             for batch in batches:
                 if len(batch):
-                    ids = shared.value.walk(batch[by].to_numpy(), np.stack(batch["u"]), np.stack(batch["v"]))
+                    ids = shared.value.walk(batch[by].to_numpy(), *_drawn(seed, batch["__name"], batch["seq_id"], length))
                     yield pd.DataFrame({by: batch[by], "seq_id": batch["seq_id"], "input_ids": list(ids)})
 
         return staged.mapInPandas(run, schema)

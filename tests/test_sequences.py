@@ -55,6 +55,18 @@ def test_cell_index_is_narrow_at_the_rim(monkeypatch):
     assert sum(n for n, _ in searched) == len(far) and max(pairs for _, pairs in searched) <= Q.COMPARED + len(centres)
 
 
+def test_slots_are_dealt_to_many_tasks(spark):
+    """Sequences are drawn in as many tasks as there are slot rows for, with the numbers that SQL would draw."""
+    rows = [(c, [i % 3, (i + 1) % 3, i % 2]) for c in ("a", "b|é") for i in range(12)]
+    model = M.MarkovModel.fit(spark.createDataFrame(rows, "target_class string, input_ids array<int>"), 3)
+    wanted = spark.createDataFrame([("a", 20 * M.SLOT_ROWS), ("b|é", 300)], "target_class string, n long")
+    drawn = model.sample(wanted)
+    sizes = drawn.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 20 * M.SLOT_ROWS + 300 and max(r["count"] for r in sizes) <= 8 * M.SLOT_ROWS
+    few = spark.createDataFrame([("a", 40), ("b|é", 40)], "target_class string, n long")
+    assert sorted(map(tuple, model.sample(few).collect())) == sorted(map(tuple, model.sample(few, force_joins=True).collect()))
+
+
 def test_encode_absent_and_decode(spark, book):
     df = spark.createDataFrame([(60.0, 0.0), (None, 1.0), (1.0, float("inf")), (-750.0, 10.0)], "ps double, ipt double")
     ids = [r[0] for r in df.select(book.encode(F.col("ps"), F.col("ipt"))).collect()]
