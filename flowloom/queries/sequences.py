@@ -149,7 +149,7 @@ def codebook_settled(spark, sf):
 select chunk, sum(count(*)) over (order by chunk)::bigint as packets, true as close from (select flow_id % 3 as chunk from {_SEVERAL}) group by 1""", more=_SCALED))
 def codebook_chunks(spark, sf):
     """256 centres carried from chunk to chunk: after each, they stand for all packets so far and describe these nearly as well as a fit on them at once."""
-    packets, rows = line_packets(spark, sf), []
+    packets, rows = write_and_read(line_packets(spark, sf), "line-packets"), []  # read by many rounds
     parts = [packets.filter(F.col("flow_id") % 3 == i) for i in range(3)]
     for i in range(3):
         book, counts = Q.fit_chunks(parts[:i + 1], k=256)

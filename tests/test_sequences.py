@@ -67,6 +67,22 @@ def test_slots_are_dealt_to_many_tasks(spark):
     assert sorted(map(tuple, model.sample(few).collect())) == sorted(map(tuple, model.sample(few, force_joins=True).collect()))
 
 
+def test_chunks_read_stored_packets(spark, data, monkeypatch):
+    """The many rounds over the chunks read packets that were built once."""
+    from flowloom.queries import sequences as S
+
+    plans = []
+
+    def watched(chunks, **_):
+        plans.extend(c._jdf.queryExecution().optimizedPlan().toString() for c in chunks)
+        raise StopIteration
+
+    monkeypatch.setattr(S.Q, "fit_chunks", watched)
+    with pytest.raises(StopIteration):
+        S.codebook_chunks(spark, data)
+    assert plans and not any("Window" in p for p in plans)
+
+
 def test_encode_absent_and_decode(spark, book):
     df = spark.createDataFrame([(60.0, 0.0), (None, 1.0), (1.0, float("inf")), (-750.0, 10.0)], "ps double, ipt double")
     ids = [r[0] for r in df.select(book.encode(F.col("ps"), F.col("ipt"))).collect()]
