@@ -84,14 +84,15 @@ def stream_scored(stream: DataFrame, name: str, score: Column) -> DataFrame:
     return stream.withColumn(name, score)
 
 
-_STATE = T.StructType([
-    T.StructField("start", T.LongType()), T.StructField("last", T.LongType()),
-    T.StructField("packets", T.LongType()), T.StructField("bytes", T.LongType()),
-    T.StructField("ps", T.ArrayType(T.DoubleType())), T.StructField("ipt", T.ArrayType(T.DoubleType())),
-    T.StructField("wait_t", T.ArrayType(T.LongType())), T.StructField("wait_seq", T.ArrayType(T.LongType())),
-    T.StructField("wait_size", T.ArrayType(T.LongType())), T.StructField("wait_dir", T.ArrayType(T.IntegerType())),
-    T.StructField("wait_read", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("plugin", T.BinaryType()),
-])
+#: One binary per bucket of keys: their open flows, plug-in states and waiting packets as arrays, since Spark takes a state apart field by field.
+_STATE = T.StructType([T.StructField("held", T.BinaryType())])
+#: Keys share a call and a state by their hash: a call costs Spark some 15 ms, whatever it holds.
+BUCKETS = 1 << 10
+
+
+def _whole(column: pd.Series) -> np.ndarray:
+    """Whole numbers; an absent one is an error, as a number that is not finite cannot be cast."""
+    return column.astype("int64").to_numpy()
 
 
 def _starts(t: np.ndarray, start: int | None, last: int | None, idle: int, active: int) -> list[int]:
@@ -137,12 +138,14 @@ class _OpenFlow:
 
 
 def stream_flows(packets: DataFrame, keys: Sequence[str], size: Column, direction: Column, config: FlowConfig, delay: str,
-                 on_flow: Callable[[dict], dict] | None = None, extra: T.StructType = T.StructType(), plugin: FlowPlugin | None = None) -> DataFrame:
+                 on_flow: Callable[[dict], dict] | None = None, extra: T.StructType = T.StructType(), plugin: FlowPlugin | None = None,
+                 buckets: int = BUCKETS) -> DataFrame:
     """Idle and active timeouts on a stream; a flow (key, start_us) is emitted when it can no longer change.
 
     State per key: the open flow's counters, its first N packets, and packets newer than the watermark, which wait there so
     that late packets fall into place. Input is processed per micro-batch in time order, so the state is bounded by
-    N and by the packets that arrive within the watermark delay. `on_flow` may add columns (`extra`) to an emitted flow.
+    N and by the packets that arrive within the watermark delay. Keys are dealt into `buckets` by hash; a task sees the keys of a bucket together,
+    and a bucket's state is written anew when any of them has packets, so a stream of very many keys takes more buckets. `on_flow` may add columns (`extra`) to an emitted flow.
     `plugin` keeps its own state in that of the key, sees every packet of a flow in order and adds its result.
     """
     keys = list(keys)
@@ -152,63 +155,81 @@ def stream_flows(packets: DataFrame, keys: Sequence[str], size: Column, directio
     read = {c: f"__read{i}" for i, c in enumerate(plugin.columns)} if plugin else {}
     result = T._parse_datatype_string(plugin.result) if plugin else T.StructType()
     order = ["t", "seq", "size", "dir"]
+    named = [f"__key{i}" for i in range(len(keys))]
+    kinds = [packets.schema[k].dataType for k in keys]
+    # keys travel as text, which is exact beside absent ones too
     staged = packets.withWatermark("ts", delay).select(
-        *keys, "ts", F.unix_micros("ts").alias("t"), F.col("seq").cast("long").alias("seq"), size.cast("long").alias("size"),
+        F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("__bucket"), *[F.col(k).cast("string").alias(n) for k, n in zip(keys, named)],
+        "ts", F.unix_micros("ts").alias("t"), F.col("seq").cast("long").alias("seq"), size.cast("long").alias("size"),
         direction.cast("int").alias("dir"), *[F.col(c).cast("double").alias(n) for c, n in read.items()])
-    out = T.StructType([staged.schema[k] for k in keys] + [
+    out = T.StructType([T.StructField(n, T.StringType()) for n in named] + [
         T.StructField("start_us", T.LongType()), T.StructField("end_us", T.LongType()),
         T.StructField("packets", T.LongType()), T.StructField("bytes", T.LongType()),
         T.StructField("ps", T.ArrayType(T.DoubleType())), T.StructField("ipt", T.ArrayType(T.DoubleType())),
     ] + list(result.fields) + list(extra.fields))
     names = [f.name for f in out.fields]
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        saved = state.get if state.exists else None
-        flow = _OpenFlow(limit, saved[:6] if saved else None)
-        held = pickle.loads(saved[11]) if saved and saved[11] is not None else None
-        columns = [*order, *read.values()]
-        types = {c: "int64" if c in order else "float64" for c in columns}
-        parts = [pd.DataFrame(dict(zip(columns, [*saved[6:10], *saved[10]])))] if saved else []
-        parts += [b[columns] for b in batches]
-        rows = pd.concat([p.astype(types) for p in parts], ignore_index=True).sort_values(["t", "seq"], kind="stable")
+    read_names = list(read.values())
+
+    def advance(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened, old, old_read = pickle.loads(state.get[0]) if state.exists else ({}, None, None)
+        index = {key: i for i, key in enumerate(opened)}
+        whole, floats = ([old], [old_read]) if old is not None else ([], [])
+        for b in batches:
+            code = [index.setdefault(key, len(index)) for key in zip(*[b[n] for n in named])]
+            whole.append(np.array([np.array(code, dtype="int64"), *[_whole(b[c]) for c in order]]))
+            floats.append(np.array([b[n].to_numpy(dtype="float64") for n in read_names]).reshape(len(read_names), len(b)))
+        rows = np.concatenate(whole, axis=1) if whole else np.empty((1 + len(order), 0), dtype="int64")
+        values = np.concatenate(floats, axis=1) if floats else np.empty((len(read_names), 0))
         watermark = state.getCurrentWatermarkMs() * 1000
-        ready, waiting = rows[rows["t"] <= watermark], rows[rows["t"] > watermark]
-        done: list[dict] = []
-
-        def close() -> None:
+        waits = rows[1] > watermark
+        waiting, waiting_read = rows[:, waits], values[:, waits]
+        rows, values = rows[:, ~waits], values[:, ~waits]
+        along = np.lexsort((rows[2], rows[1], rows[0]))
+        code, t, seq, sizes, dirs = rows[:, along]
+        seen = {"t": t, "seq": seq, **dict(zip(read, values[:, along]))}
+        places = np.searchsorted(code, np.arange(len(index) + 1)).tolist()
+        done, kept = [], {}
+        for key, start, stop in zip(index, places[:-1], places[1:]):
+            flow_part, held = opened.get(key, (None, None))
+            flow = _OpenFlow(limit, flow_part)
+
+            def close() -> None:
+                if flow.start is not None:
+                    row = flow.row() | (dict(zip(result.names, plugin.finish(held))) if plugin else {})
+                    done.append((on_flow(row) if on_flow else row) | dict(zip(named, key)))
+
+            if stop > start:
+                bounds = [start + i for i in _starts(t[start:stop], flow.start, flow.last, idle, active)]
+                edges = ([start] if not bounds or bounds[0] > start else []) + bounds + [stop]
+                fresh = set(bounds)
+                for a, b in zip(edges[:-1], edges[1:]):
+                    if a in fresh:
+                        close()
+                        flow.begin(int(t[a]))
+                        held = plugin.init() if plugin else None
+                    flow.add(t[a:b], sizes[a:b], dirs[a:b])
+                    if plugin:
+                        held = plugin.update(held, {c: v[a:b] for c, v in seen.items()})
+            if flow.start is not None and watermark - flow.last > idle:
+                close()
+                flow.start = None
             if flow.start is not None:
-                done.append(flow.row() | (dict(zip(result.names, plugin.finish(held))) if plugin else {}))
-
-        if len(ready):
-            t, sizes, dirs = (ready[c].to_numpy() for c in ("t", "size", "dir"))
-            seen = {"t": t, "seq": ready["seq"].to_numpy(), **{c: ready[n].to_numpy() for c, n in read.items()}}
-            bounds = _starts(t, flow.start, flow.last, idle, active)
-            edges = ([0] if not bounds or bounds[0] > 0 else []) + bounds + [len(t)]
-            for a, b in zip(edges[:-1], edges[1:]):
-                if a in bounds:
-                    close()
-                    flow.begin(int(t[a]))
-                    held = plugin.init() if plugin else None
-                flow.add(t[a:b], sizes[a:b], dirs[a:b])
-                if plugin:
-                    held = plugin.update(held, {c: v[a:b] for c, v in seen.items()})
-        if flow.start is not None and watermark - flow.last > idle:
-            close()
-            flow.start, held = None, None
-        if flow.start is None and not len(waiting):
+                kept[key] = (flow.start, flow.last, flow.packets, flow.bytes, flow.ps, flow.ipt), held
+        if not kept and not waiting.shape[1]:
             state.remove()
         else:
-            flow_part = (flow.start, flow.last, flow.packets, flow.bytes, flow.ps, flow.ipt)
-            state.update((flow_part if flow.start is not None else (None, None, 0, 0, [], [])) + tuple(
-                waiting[c].tolist() for c in order) + ([waiting[n].tolist() for n in read.values()], None if held is None else pickle.dumps(held)))
-            due = [int(waiting["t"].min()) // 1000] if len(waiting) else []
-            due += [(flow.last + idle) // 1000] if flow.start is not None else []
+            # keys of the state are numbered anew: those with an open flow, then those that only wait
+            known = list(index)
+            for i in np.unique(waiting[0]).tolist():
+                kept.setdefault(known[i], (None, None))
+            number = {key: i for i, key in enumerate(kept)}
+            waiting[0] = [number[known[i]] for i in waiting[0].tolist()]
+            state.update((pickle.dumps((kept, waiting, waiting_read)),))
+            due = [int(waiting[1].min()) // 1000] if waiting.shape[1] else []
+            due += [(part[1] + idle) // 1000 for part, _ in kept.values() if part is not None]
             state.setTimeoutTimestamp(max(min(due), state.getCurrentWatermarkMs() + 1))
         if done:
-            done = [on_flow(r) for r in done] if on_flow else done
-            frame = pd.DataFrame(done)
-            for name, value in zip(keys, key):
-                frame[name] = value
-            yield frame[names]
+            yield pd.DataFrame(done)[names]
 
-    return staged.groupBy(*keys).applyInPandasWithState(advance, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    flows = staged.groupBy("__bucket").applyInPandasWithState(advance, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return flows.select(*[F.col(n).cast(kind).alias(k) for k, n, kind in zip(keys, named, kinds)], *out.names[len(keys):])

@@ -82,3 +82,30 @@ def test_plugin_on_a_stream_equals_batch(spark, tmp_path):
     pick = lambda rows: sorted((r["key_low"], r["t"], r["ip_size"], r["ip_version"]) for r in rows)
     flows = A.assign_flows(A.with_flow_key(frame(spark, rows)), A.KEY, config)
     assert pick(S.run_available(out, "plugin").collect()) == pick(U.apply_plugin(flows, A.FLOW, plugin).collect())
+
+
+def test_keys_share_buckets(spark, tmp_path):
+    """Many keys, absent ones too, in few buckets over several batches: each flow stays with its key, and a bucket costs one call."""
+    rng = random.Random(7)
+    rows, seq = [], 0
+    for host in range(40):
+        at = 0
+        for _ in range(12):
+            at += rng.choice([5, 800, 59_000, 60_001])
+            seq += 1
+            rows.append(packet(at, ("10.0.0.1", 1000 + host), ("10.0.0.2", 80), seq=seq, size=rng.randrange(40, 1500)))
+    random.Random(2).shuffle(rows)
+    late = packet(0, ("10.9.9.9", 1), ("10.9.9.8", 2), ts=max(r["ts"] for r in rows) + dt.timedelta(days=1), seq=10**6)
+    folder = str(tmp_path / "in")
+    for part in (rows[0::2], rows[1::2], [late]):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(folder)
+    config, plugin = A.FlowConfig(60, 70, packet_limit=4), U.FirstPackets(["ip_size"], 5)
+    absent = F.when(~F.col("key_low").endswith(":1003"), F.col("key_low"))
+    pick = lambda rows: sorted((str(r["key_low"]), r["t"], r["ip_size"]) for r in rows)
+    flows = A.assign_flows(A.with_flow_key(frame(spark, rows)), A.KEY, config).withColumn("key_low", absent)
+    expected = pick(U.apply_plugin(flows, A.FLOW, plugin).collect())
+    for buckets in (1, 3):
+        stream = A.with_flow_key(S.read_stream(spark, folder, PACKETS, max_files=1)).withColumn("key_low", absent)
+        out = S.stream_flows(stream, A.KEY, F.col("ip_size"), F.lit(0), config, "12 hours", plugin=plugin, buckets=buckets)
+        assert out.schema["key_protocol"].dataType == stream.schema["key_protocol"].dataType
+        assert pick(S.run_available(out, "plugin").collect()) == expected
