@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -10,6 +11,9 @@ from flowloom import constants as K
 from flowloom.functions import stats as S
 from flowloom.plans.running import running_totals
 
+#: Packets that a task sorts and aggregates when the number of rows is known.
+TASK_ROWS = 1 << 17
+
 
 def flow_stats(
     series: DataFrame,
@@ -19,13 +23,18 @@ def flow_stats(
     extra: Sequence[str] = (),
     features: dict[str, S.Feature] | None = None,
     tcp: bool = True,
+    rows: int | None = None,
 ) -> DataFrame:
     """Client and server statistics side by side: one row per flow.
 
     A direction without packets has 0 everywhere (and no flags); a direction with one packet keeps a NULL second value.
     `direction` is 0 for the client and 1 for the server. The input holds the bounded first packets of each flow; the windows and
-    the aggregation share one partitioning by flow.
+    the aggregation share one partitioning by flow. `rows`, an upper bound of the input's rows where one is known, sets the number of
+    partitions, so that a task's sorts and aggregate keep their size as the input grows; without it Spark's own partitions are taken.
     """
+    if rows is not None:
+        parts = max(series.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS))
+        series = series.repartition(parts, *flow)
     if bases is None:
         bases = {"bulk": F.col("bulk"), "packet": F.abs(F.col("ps"))}
     side = Window.partitionBy(*flow, "__dir")

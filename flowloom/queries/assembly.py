@@ -117,12 +117,14 @@ def _flags_as_text(df):
 @query("flow_features", events_sql(_stats_sql(_KEY, "(select *, dir as d from series)"), series=True))
 def flow_features(spark, sf):
     """Captures to flow statistics: the flagship query."""
-    return _rounded(_flags_as_text(G.flow_stats(A.flow_packets(event_packets(spark, sf), CONFIG), A.FLOW)), A.FLOW)
+    series, rows = A.flow_packets(event_packets(spark, sf), CONFIG), table(spark, sf, "events").count()
+    return _rounded(_flags_as_text(G.flow_stats(series, A.FLOW, rows=rows)), A.FLOW)
 
 
 @query("flow_stats", lines_sql(_stats_sql("flow_id", "(select *, dir as d from pl)")))
 def flow_stats(spark, sf):
-    return _rounded(_flags_as_text(G.flow_stats(line_packets(spark, sf), ["flow_id"])), ["flow_id"])
+    rows = table(spark, sf, "lineitem").count()
+    return _rounded(_flags_as_text(G.flow_stats(line_packets(spark, sf), ["flow_id"], rows=rows)), ["flow_id"])
 
 
 @query("flow_stats_from_raw", lines_sql(

@@ -201,3 +201,14 @@ def test_user_plugin_sees_packets_in_order(spark):
     plugin = lambda p: pd.DataFrame({"flow_no": [p["flow_no"].iloc[0]], "sizes": [p["ps"].tolist()]})
     got = G.apply_per_flow(series, A.FLOW, plugin, "flow_no long, sizes array<double>").first()
     assert got["sizes"] == [100.0, 300.0, 50.0]
+
+
+def test_known_rows_bound_the_packets_of_a_task(spark, monkeypatch):
+    """A known number of rows sets the partitions of the statistics, whatever Spark's setting is; results stay."""
+    rows = [packet(10 * i, ("10.0.0.1", 1000 + i % 150), ("10.0.0.2", 80), seq=i, size=40 + i % 900) for i in range(900)]
+    series = A.flow_packets(frame(spark, rows))
+    monkeypatch.setattr(G, "TASK_ROWS", 30)
+    bounded = G.flow_stats(series, A.FLOW, rows=len(rows))
+    assert bounded.rdd.getNumPartitions() == 30
+    as_rows = lambda df: sorted(map(str, df.collect()))
+    assert as_rows(bounded) == as_rows(G.flow_stats(series, A.FLOW))
