@@ -280,3 +280,18 @@ def test_classifiers_learn(spark, separable, name):
 def test_folds_are_stratified(spark, separable):
     folds = C.stratified_folds(separable[0], ["flow_id"]).groupBy("label").agg(F.count_if(F.col("fold") == 0).alias("a"), F.count("*").alias("n"))
     assert all(abs(r["a"] - r["n"] / 2) <= 0.5 for r in folds.collect())
+
+
+def test_folds_are_dealt_once(spark, separable):
+    """A search reads stored folds: the rows given are not computed again by every fit."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(flow):
+        seen.add(1)
+        return flow
+
+    data = separable[0].withColumn("flow_id", counted(F.col("flow_id").cast("long")))
+    n = data.count()
+    C.search_parameters(C.CLASSIFIERS["DecisionTreeClassifier"](), {"maxDepth": [1, 2]}, data, ["flow_id"])
+    assert 0 < seen.value <= 6 * n
