@@ -60,3 +60,44 @@ def test_hubs_are_cut_into_parts(spark):
     exact = knn.nearest(keys, keys, 8, skip_same=True).select("query_id", "key_id").collect()
     edges = {tuple(r) for r in graph.edges.collect()}
     assert np.mean([tuple(r) in edges for r in exact]) > 0.9
+
+
+def test_shards_are_all_walked(keys):
+    """Keys beyond one shard: every shard has a graph of its own, every query walks all, and what is returned of them is the same in both forms."""
+    graph = G.build(keys, label="label", config=G.GraphConfig(degree=10, company=16, shard=120))
+    assert graph.shards == 4 and graph.index.select("id").distinct().count() == graph.index.count() == 400
+    shard_of = {r["id"]: r["shard"] for r in graph.index.select("id", "shard").collect()}
+    assert all(shard_of[a] == shard_of[b] and a != b for a, b in graph.edges.collect())
+    assert {r["shard"] for r in graph.starts.collect()} == {0, 1, 2, 3}
+    asked = keys.filter(F.xxhash64("id") % 5 == 0)
+    exact = knn.nearest(asked, keys, 3, label="label", skip_same=True)
+    met = G.walk(graph, asked, 3, skip_same=True, recall_target=0.95).cache()
+    best = G.walk(graph, asked, 3, skip_same=True, recall_target=0.95, best=3)
+    assert best.agg(F.sum("measured")).first()[0] == met.count() == met.select("query_id", "key_id").distinct().count()
+    assert met.filter("query_id = key_id").isEmpty() and not met.filter("looked_up").isEmpty()
+    found = [sorted(map(tuple, G.best_of(graph, m, 3).collect())) for m in (met, best)]
+    assert found[0] == found[1] and knn.recall(G.best_of(graph, best, 3), exact).first()[0] >= 0.95
+
+
+def test_rounds_and_steps_store_no_tables(keys, monkeypatch):
+    """Descent and walks go on inside tasks: tables are stored once per build and search, not once per round."""
+    names = []
+    monkeypatch.setattr(G, "write_and_read", lambda df, name, store=G.write_and_read: (names.append(name), store(df, name))[1])
+    graph = G.build(keys, label="label", config=G.GraphConfig(degree=10, company=16))
+    assert graph.rounds > 1 and len(names) <= 2
+    G.search(graph, keys.filter(F.xxhash64("id") % 5 == 0), 3, skip_same=True).count()
+    assert len(names) <= 5
+
+
+def test_rows_without_direction_are_met_by_no_walk(spark):
+    """Zero vectors, absent and infinite numbers, absent ids and vectors; many equal vectors; a label that is null."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [1.0, 0.0], None) for i in range(300)] + [(i, [1.0, float(i)], i) for i in range(300, 310)]
+    odd = [(400, [0.0, 0.0], 1), (401, [nan, 1.0], 1), (402, [1.0, inf], 1), (403, [None, 1.0], 1), (404, None, 1), (None, [1.0, 0.0], 1)]
+    keys = spark.createDataFrame(rows + odd, "id long, features array<double>, label int")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "id long, features array<double>")
+    graph = G.build(keys, label="label", config=G.GraphConfig(degree=4, company=8))
+    found = G.search(graph, asked, 3, search_epsilon=0.02).collect()
+    assert [(r.query_id, r.distance, r.label) for r in found] == [(1, 0.0, None)] * 3
+    met = {r.key_id for r in G.walk(graph, asked, 3, search_epsilon=1.0).collect()}
+    assert met <= set(range(310)) and met & set(range(300, 310))
