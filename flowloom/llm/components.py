@@ -41,3 +41,19 @@ def connected(edges: DataFrame) -> DataFrame:
             break
     nodes = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.union(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def merged(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(doc_id, key, root) of the rows of `first`, grouped by what either of two groupings (doc_id, key, root) of the same rows connects.
+
+    Groups of `first` that share a group of `second` are linked as a star, so there is at most one link per group of `first` and group of `second`.
+    """
+    seen = second.select(F.col("key").alias("__key"), F.col("root").alias("other")).distinct()
+    both = write_and_read(first.select("key", "root").distinct().join(seen, F.col("key") == F.col("__key")).select("other", "root").distinct(), "both")
+    lowest = both.groupBy(F.col("other").alias("__other")).agg(F.min("root").alias("low"), F.count("*").alias("n")).where("n > 1")
+    links = both.join(lowest, F.col("other") == F.col("__other")).select(F.col("root").alias("u"), F.col("low").alias("v"))
+    linked = connected(links).withColumnRenamed("root", "__root")
+    rows = first.join(linked, F.col("root") == F.col("node"), "left").select("doc_id", "key", F.coalesce("__root", "root").alias("root"))
+    found = write_and_read(rows, "merged")
+    discard(both)
+    return found

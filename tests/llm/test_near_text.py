@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from flowloom.llm import near_text
+from flowloom.llm import near_text, simhash
 from tests.llm.brute import similar_texts
 
 
@@ -41,6 +41,18 @@ def test_chains_and_families(spark, monkeypatch, block):
     assert near_text.bands(near_text.shingles("")) == [] and len(kept) < len(texts) / 2
 
 
+def test_fingerprints_and_shingles_link_together(spark):
+    """The first two texts share a fingerprint but few shingles, the second and third all shingles but no fingerprint."""
+    round_ = "one two three four five six seven "
+    texts = [round_ * 60 + "a b c d", round_ * 60 + "e f g h", round_ * 2 + "e f g h", "some other words that nobody else has", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
+    sets, prints = [near_text.shingles(t) for t in texts], np.array([simhash.fingerprint(t) for t in texts], np.uint64)
+    assert not near_text.similar(sets[0], sets[1]) and np.bitwise_count(prints[0] ^ prints[1]) <= 3
+    assert near_text.similar(sets[1], sets[2]) and np.bitwise_count(prints[1] ^ prints[2]) > 3
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [0, 3, 4]
+    assert corpus_pipeline.near_copies(spark, docs.limit(0), "").count() == 0
+
+
 def test_forest_connects_what_pairs_connect():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 10**6, 200)
