@@ -126,6 +126,33 @@ def test_lsh_falls_back_to_exact(spark):
     assert N.recall(found, N.nearest(df, df, 3, skip_same=True)).first()["recall"] > 0.9
 
 
+def test_lsh_sends_no_side_through_the_driver(spark, monkeypatch):
+    """Hashed rows and found ids grow with the tables; how small their files look is no reason to broadcast them."""
+    plans, store = [], N.write_and_read
+    monkeypatch.setattr(N, "write_and_read", lambda df, name: (plans.append(df._jdf.queryExecution().toString()), store(df, name))[1])
+    x, y = clustered(200)
+    df = vectors(spark, x, y.tolist())
+    wanted = sorted(map(tuple, N.nearest_lsh(df, df, 3, label="label", skip_same=True, tables=6, bits=8).collect()))
+    monkeypatch.setattr(N, "DRIVER_ROWS", -1)
+    found = N.nearest_lsh(df, df, 3, label="label", skip_same=True, tables=6, bits=8)
+    assert sorted(map(tuple, found.collect())) == wanted
+    recall = N.recall(found, N.nearest(df, df, 3, label="label", skip_same=True))
+    plans = plans[len(plans) // 2:] + [df._jdf.queryExecution().toString() for df in (found, recall)]
+    assert len(plans) >= 6 and not any("BroadcastExchange" in plan for plan in plans)
+
+
+@pytest.mark.parametrize("tab", [0, 3])
+def test_pairs_met_in_earlier_tables_are_left_out(monkeypatch, tab):
+    rng = np.random.default_rng(0)
+    left, right = rng.integers(0, 3, (60, 4)), rng.integers(0, 3, (50, 4))
+    monkeypatch.setattr(N, "TILE", 20)
+    compared = np.zeros((60, 50), int)
+    for a, b in N._unmet(left, right, tab):
+        compared[np.ix_(a, b)] += 1
+    met = (left[:, None, :tab] == right[None, :, :tab]).any(axis=2)
+    assert compared.max() == 1 and (compared[~met] == 1).all() and compared.sum() <= (~met).sum() + 0.2 * met.sum()
+
+
 def test_report_and_confusion(spark):
     rows = [(0, 0)] * 5 + [(0, 1)] + [(1, 1)] * 2 + [(1, 0)] * 2 + [(2, 1)]
     counts = R.confusion(spark.createDataFrame(rows, "label int, prediction int"))
