@@ -101,3 +101,24 @@ def test_rows_without_direction_are_met_by_no_walk(spark):
     assert [(r.query_id, r.distance, r.label) for r in found] == [(1, 0.0, None)] * 3
     met = {r.key_id for r in G.walk(graph, asked, 3, search_epsilon=1.0).collect()}
     assert met <= set(range(310)) and met & set(range(300, 310))
+
+
+def test_many_shards_are_dealt_by_direction(spark):
+    """Beyond four shards a query walks the own cell and only those shards that may hold a nearer key, and finds what all shards together hold."""
+    rows = [(f"v{i}", v, i % 20) for i, v in enumerate(clustered(1200, clusters=6, width=3))] + [("zero", [0.0] * 3, 0)]
+    keys = spark.createDataFrame(rows, "id string, features array<double>, label int")
+    asked = keys.filter(F.xxhash64("id") % 4 == 0).unionByName(spark.createDataFrame([("none", [0.0] * 3, 0)], keys.schema))
+    graph = G.build(keys, label="label", config=G.GraphConfig(shard=100))
+    sizes = [r["count"] for r in graph.index.groupBy("shard").count().collect()]
+    assert graph.shards == len(sizes) > 12 and sum(sizes) == len(rows)
+    for k in (1, 3):
+        best = G.walk(graph, asked, k, skip_same=True, search_epsilon=1.0, best=k).cache()
+        met = G.walk(graph, asked, k, skip_same=True, search_epsilon=1.0).cache()
+        assert met.count() == met.select("query_id", "key_id").distinct().count() == best.agg(F.sum("measured")).first()[0] < 0.5 * asked.count() * len(rows)
+        exact = {(r.query_id, r.key_id, r.label) for r in knn.nearest(asked, keys, k, label="label", skip_same=True).where("distance is not null").collect()}
+        for found in (met, best):
+            got = {(r.query_id, r.key_id, r.label) for r in G.best_of(graph, found, k).collect()}
+            assert len(got) == len(exact) and len(got & exact) >= 0.98 * len(exact)
+    assert "BroadcastHashJoin" not in G.best_of(graph, best, 1)._jdf.queryExecution().toString()
+    nothing = G.build(spark.createDataFrame([(i, [0.0]) for i in range(60)], "id long, features array<double>"), config=G.GraphConfig(shard=10))
+    assert G.search(nothing, spark.createDataFrame([(1, [1.0])], "id long, features array<double>"), 1, search_epsilon=1.0).count() == 0
